@@ -31,10 +31,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(_total(F.transform(a, lambda x: x * x)))
 
 
-def unit(a: Column, length: Column | None = None) -> Column:
-    """The vector over its length; a zero vector gives NULL cells."""
-    size = norm(a) if length is None else length
-    return F.transform(a, lambda x: F.try_divide(x, size))
+def unit(a: Column, length: Column) -> Column:
+    """The vector over its length, a column computed before; a zero vector stays zero."""
+    return F.transform(a, lambda x: F.when(length > 0, x / length).otherwise(0.0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -67,9 +67,9 @@ def p5(spark, sf):
 
 
 @Q.add("P6_ilike", "doc_id long, lang str",
-       "SELECT doc_id, lang FROM documents WHERE text ILIKE '%DATION%'")
+       "SELECT doc_id, lang FROM documents WHERE text ILIKE '%LICENSE%'")
 def p6(spark, sf):
-    return ds.table(spark, sf, "documents").filter(F.col("text").ilike("%DATION%")).select(
+    return ds.table(spark, sf, "documents").filter(F.col("text").ilike("%LICENSE%")).select(
         "doc_id", "lang")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import json_has, json_int
 from millrace.operators import aggregates as agg, joins
 from millrace.plans.registry import QuerySet
-from millrace.plans.sql_views import CUSTOMERS, EVENTS, ITEMS, LINES, ORDERS, mean
+from millrace.plans.sql_views import CUSTOMERS, EVENTS, ITEMS, LINES, ORDERS
 from millrace.sources import datasets as ds, sinks
 from millrace.sources.shared import shared_folder
 
@@ -86,9 +86,9 @@ def k4(spark, sf):
 @Q.add("K5_create_then_append", "priority str, row_count long",
        f"SELECT priority, COUNT(*) AS row_count FROM {ORDERS} AS o GROUP BY 1")
 def k5(spark, sf):
-    o, table = ds.orders(spark, sf), _new_name("orders")
-    sinks.create_or_append(o.filter("total_amount < 250000"), table)
-    sinks.create_or_append(o.filter("total_amount >= 250000"), table)
+    o, table, path = ds.orders(spark, sf), _new_name("orders"), shared_folder(spark, "k5")
+    sinks.create_or_append(o.filter("total_amount < 250000"), table, path)
+    sinks.create_or_append(o.filter("total_amount >= 250000"), table, path)
     return spark.table(table).groupBy("priority").agg(F.count("*").alias("row_count"))
 
 

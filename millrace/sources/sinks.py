@@ -55,12 +55,12 @@ def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int)
     return df.sparkSession.table(table)
 
 
-def create_or_append(df: DataFrame, table: str) -> None:
-    """Create a catalog table, or append by column name if it is there already."""
+def create_or_append(df: DataFrame, table: str, path: str) -> None:
+    """Create a catalog table at ``path``, or append by column name if it is there already."""
     if df.sparkSession.catalog.tableExists(table):
         df.select(*df.sparkSession.table(table).columns).write.mode("append").insertInto(table)
     else:
-        df.writeTo(table).using("parquet").create()
+        df.writeTo(table).using("parquet").option("path", path).create()
 
 
 def replace_table(df: DataFrame, table: str, path: str) -> DataFrame:
