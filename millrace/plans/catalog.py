@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("relational_queries", "window_queries", "scalar_queries", "source_queries",
-            "sink_queries", "quality_queries", "vector_queries", "text_queries")
+            "sink_queries", "quality_queries", "vector_queries", "text_queries",
+            "versioned_queries")
 
 
 def _sets():
