@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = ("relational_queries", "window_queries", "scalar_queries", "source_queries",
             "sink_queries", "quality_queries", "vector_queries", "text_queries",
-            "versioned_queries")
+            "versioned_queries", "stream_queries", "etl_queries")
 
 
 def _sets():

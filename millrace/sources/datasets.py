@@ -130,9 +130,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_items(table(spark, sf_dir, "part"))
+
+
+def as_items(part: DataFrame) -> DataFrame:
     """Catalogue items with the attributes the profiles and the recommender use."""
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"),
+    return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"),
                     F.col("p_brand").alias("category"), F.col("p_type").alias("domain"),
                     F.col("p_size").cast("long").alias("complexity"),
                     money("p_retailprice").alias("cost"))
