@@ -75,11 +75,17 @@ def hash_below(bound: int, *keys: Column) -> Column:
 
 
 def md5_vector(text: Column, dims: int = 128) -> Column:
-    """Deterministic text vector: the 16 MD5 bytes over 255, repeated to ``dims`` values."""
-    digest = F.md5(text.cast("binary"))
-    cell = lambda i: F.conv(
-        F.substring(digest, F.pmod(i, F.lit(16)) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), cell)
+    """Deterministic text vector: the 16 MD5 bytes over 255, repeated to ``dims`` values.
+
+    The digest is bound to a lambda variable, so it is computed once per text.
+    """
+    def cells(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(
+            F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
+
+    once = F.transform(F.array(F.md5(text.cast("binary"))),
+                       lambda digest: F.flatten(F.array_repeat(cells(digest), -(-dims // 16))))
+    return F.slice(F.get(once, 0), 1, dims)
 
 
 def not_in(column: Column, values: Sequence[object]) -> Column:

@@ -25,12 +25,11 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 @dataclass(frozen=True)
 class TextModel:
-    """What a TF-IDF fit needs: how to cut terms, and the fitted vocabulary table."""
+    """A fitted vocabulary: at most ``max_features`` terms with their idf."""
 
-    vocabulary: DataFrame
+    idf: dict[str, float]
     stop_words: tuple[str, ...]
     bigrams: bool
-    max_features: int
 
 
 def default_stop_words() -> list[str]:
@@ -38,22 +37,23 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def _tokens(text: Column, stop_words: Sequence[str]) -> Column:
+def _with_tokens(docs: DataFrame, text: str, stop_words: Sequence[str],
+                 bigrams: bool) -> DataFrame:
+    """Adds ``_tokens``: the terms of the row's whole text, repeats included."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
     if stop_words:
         tokens = F.filter(tokens, lambda t: ~t.isin(*stop_words))
-    return tokens
-
-
-def _with_counts(docs: DataFrame, text: str, stop_words: Sequence[str], bigrams: bool) -> DataFrame:
-    """Adds ``term_counts``: one struct (term, n) per distinct term of the row's whole text."""
-    df = docs.withColumn("_tokens", _tokens(F.col(text), stop_words))
+    df = docs.withColumn("_tokens", tokens)
     if bigrams:
-        pairs = F.zip_with(
-            F.slice("_tokens", 1, F.greatest(F.size("_tokens") - 1, F.lit(0))),
-            F.slice("_tokens", 2, F.greatest(F.size("_tokens") - 1, F.lit(0))),
-            lambda a, b: F.concat(a, F.lit(" "), b))
+        pairs_end = F.greatest(F.size("_tokens") - 1, F.lit(0))
+        pairs = F.zip_with(F.slice("_tokens", 1, pairs_end), F.slice("_tokens", 2, pairs_end),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
         df = df.withColumn("_tokens", F.concat(F.col("_tokens"), pairs))
+    return df
+
+
+def _with_counts(df: DataFrame) -> DataFrame:
+    """Replaces ``_tokens`` by ``term_counts``: a struct (term, n) per distinct term."""
     df = df.withColumn("_tokens", F.sort_array("_tokens"))
     size = F.size("_tokens")
     places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
@@ -76,46 +76,52 @@ def _rows(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.select(F.explode_outer(column).alias(name)).filter(F.col(name).isNotNull())
 
 
-def fit(docs: DataFrame, text: str, max_features: int = 128, bigrams: bool = False,
-        max_df: float = 1.0, stop_words: Sequence[str] | None = None) -> TextModel:
-    """The vocabulary: the most frequent terms (ties by term) with their idf.
+def vocabulary(docs: DataFrame, text: str, max_features: int = 128, bigrams: bool = False,
+               max_df: float = 1.0, stop_words: Sequence[str] = ()) -> DataFrame:
+    """The most frequent terms (ties by term) with document count, total and idf.
 
     Terms in more than ``max_df`` of the documents are left out first. Stop
-    words go before bigrams are formed; the default list is Spark's.
+    words go before bigrams are formed.
     """
-    words = tuple(default_stop_words() if stop_words is None else stop_words)
-    counted = _with_counts(docs.select(text), text, words, bigrams)
+    counted = _with_counts(_with_tokens(docs.select(text), text, stop_words, bigrams))
     n = docs.agg(F.count("*")).scalar()
     per_term = _rows(counted, "term_counts", "c").groupBy("c.term").agg(
         F.count("*").alias("df"), F.sum("c.n").alias("total"))
     if max_df < 1.0:
         per_term = per_term.filter(F.col("df") <= n * F.lit(max_df))
     idf = F.log((n + 1).cast("double") / (F.col("df") + 1)) + 1.0
-    vocabulary = (per_term.orderBy(F.desc("total"), "term").limit(max_features)
-                  .withColumn("idf", idf))
-    return TextModel(vocabulary, words, bigrams, max_features)
+    return per_term.withColumn("idf", idf).orderBy(F.desc("total"), "term").limit(max_features)
 
 
-def weigh(docs: DataFrame, text: str, model: TextModel) -> DataFrame:
-    """Adds ``weights``: a map from term to L2-normalised TF-IDF weight.
+def fit(docs: DataFrame, text: str, max_features: int = 128, bigrams: bool = False,
+        max_df: float = 1.0, stop_words: Sequence[str] | None = None) -> TextModel:
+    """Fit the vocabulary. The default stop words are Spark's.
 
-    The vocabulary, at most ``max_features`` rows by its limit, reaches the
-    rows as a scalar subquery.
+    The model is held by the driver, like any fitted model: ``max_features``
+    terms, however large the corpus.
     """
-    idf = model.vocabulary.agg(F.map_from_entries(
-        F.collect_list(F.struct("term", "idf")))).scalar()
-    df = _with_counts(docs, text, model.stop_words, model.bigrams).withColumn(
-        "_idf", idf)
+    words = tuple(default_stop_words() if stop_words is None else stop_words)
+    rows = vocabulary(docs, text, max_features, bigrams, max_df, words).collect()
+    return TextModel({r["term"]: r["idf"] for r in rows}, words, bigrams)
+
+
+def weigh(docs: DataFrame, text: str, model: TextModel) -> DataFrame:
+    """Adds ``weights``: a map from term to L2-normalised TF-IDF weight."""
+    terms = list(model.idf)
+    idf = F.map_from_arrays(F.array(*[F.lit(t) for t in terms]),
+                            F.array(*[F.lit(model.idf[t]) for t in terms]))
+    df = _with_tokens(docs, text, model.stop_words, model.bigrams)
+    df = _with_counts(df.withColumn("_tokens", F.filter("_tokens", lambda t: t.isin(*terms))))
     raw = F.transform("term_counts", lambda c: F.struct(
-        c["term"].alias("term"), (c["n"] * F.try_element_at(F.col("_idf"), c["term"])).alias("w")))
-    df = df.withColumn("_raw", F.filter(raw, lambda c: c["w"].isNotNull()))
+        c["term"].alias("term"), (c["n"] * F.element_at(idf, c["term"])).alias("w")))
+    df = df.withColumn("_raw", raw)
     length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"]))
     df = df.withColumn("_length", length)
     scaled = F.transform("_raw", lambda c: F.struct(
         c["term"].alias("term"),
         F.when(F.col("_length") > 0, c["w"] / F.col("_length")).alias("w")))
     return df.withColumn("weights", F.map_from_entries(scaled)).drop(
-        "term_counts", "_idf", "_raw", "_length")
+        "term_counts", "_raw", "_length")
 
 
 def long_form(weighted: DataFrame, key: str) -> DataFrame:

@@ -78,8 +78,8 @@ def e2(spark, sf):
 
 @Q.add("E3_load_and_embed", "destination str, row_count long, dims long",
        f"""SELECT 'table' AS destination, COUNT(*) AS row_count, 0 AS dims FROM {ITEMS} AS i
-           WHERE cost > 950 UNION ALL SELECT 'vectors', COUNT(*), 128 FROM {ITEMS} AS i
-           WHERE cost > 950""")
+           WHERE complexity > 10 UNION ALL SELECT 'vectors', COUNT(*), 128 FROM {ITEMS} AS i
+           WHERE complexity > 10""")
 def e3(spark, sf):
     base = shared_folder(spark, "e3")
 
@@ -89,7 +89,7 @@ def e3(spark, sf):
             F.col("id").alias("arrival")), "arrival")
 
     etl.run_job(spark, {"type": "parquet", "path": f"{sf}/part.parquet"},
-                [ds.as_items, lambda df: df.filter("cost > 950")],
+                [ds.as_items, lambda df: df.filter("complexity > 10")],
                 [{"type": "parquet", "path": f"{base}/table"},
                  {"type": "vectors", "path": f"{base}/vectors", "transform": embed}])
     count = lambda path, name, dims: spark.read.parquet(path).agg(

@@ -58,12 +58,8 @@ def _model_sql(source: str, max_features: int, bigrams: bool, max_df: float,
     return "WITH " + ", ".join(parts)
 
 
-def _docs(spark, sf):
-    return ds.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-
-
 def _doc_model(spark, sf):
-    docs = _docs(spark, sf)
+    docs = ds.documents(spark, sf)
     model = tx.fit(docs, "text", 128, stop_words=_STOP)
     return tx.weigh(docs, "text", model), model
 
@@ -90,7 +86,7 @@ def v8(spark, sf):
 @Q.add("V9_tfidf_bigrams", "id long, term str, weight dbl6",
        f"{_model_sql(_DOCS_SQL, 200, True, 0.8)} SELECT id, term, weight FROM w")
 def v9(spark, sf):
-    docs = _docs(spark, sf)
+    docs = ds.documents(spark, sf)
     model = tx.fit(docs, "text", 200, bigrams=True, max_df=0.8, stop_words=_STOP)
     return tx.long_form(tx.weigh(docs, "text", model), "id")
 
@@ -193,7 +189,7 @@ def l5(spark, sf):
 def v24(spark, sf):
     weighted, model = _doc_model(spark, sf)
     hits = tx.search(weighted, "id", {"one": "der die und rewh"}, model, 2)
-    words = _docs(spark, sf).filter(F.col("text").ilike("%rewh%"))
+    words = ds.documents(spark, sf).filter(F.col("text").ilike("%rewh%"))
     files = readers.list_files(spark, sf, "doc*.parquet")
     return tx.hybrid_search(
         hits.select(F.col("id").cast("string").alias("ref"), F.col("similarity").alias("score")),

@@ -24,6 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the input has fewer splits than that.
+
+    For work that is heavy per row on a few small files. An input with enough
+    splits of its own is returned as it is, so large tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document ids and whole texts."""
+    return spread(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "text"))
+
+
 def last_order_day(spark: SparkSession, sf_dir: str) -> Column:
     """The newest order timestamp as a scalar subquery: the default "today" of a report."""
     return table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).scalar()
