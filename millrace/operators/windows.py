@@ -72,16 +72,16 @@ def anomalies(series: DataFrame, value: str = "daily_revenue", unusual: float =
               anomalous: float = 2.0) -> DataFrame:
     """Rows further than ``unusual`` sample deviations from the mean, with z-score and label.
 
-    Mean and deviation come from a scalar subquery, so no row set is gathered
-    in one window partition.
+    The series is small, one row per day, while what it was aggregated from is
+    not: a window over the series reads that once, where a subquery for the mean
+    and deviation would run the joins behind it a second time.
     """
     v = F.col(value).cast("double")
-    stats = series.agg(F.struct(
-        ratio(F.sum(value), F.count(value)).alias("mean"),
-        F.stddev_samp(v).alias("deviation")).alias("stats")).scalar()
+    whole = Window.partitionBy()
     gap = F.abs(v - F.col("average"))
-    scored = (series.withColumn("average", stats["mean"])
-              .withColumn("deviation", stats["deviation"])
+    scored = (series.withColumn("average", ratio(F.sum(value).over(whole),
+                                                 F.count(value).over(whole)))
+              .withColumn("deviation", F.stddev_samp(v).over(whole))
               .withColumn("z_score", ratio(gap, F.col("deviation")))
               .withColumn("status", F.when(gap > anomalous * F.col("deviation"), "ANOMALY")
                           .when(gap > unusual * F.col("deviation"), "UNUSUAL")

@@ -204,8 +204,9 @@ def a12(spark, sf):
            GROUP BY 1 HAVING SUM(CASE WHEN batch_date = {LAST_DAY} - 1 THEN new_revenue
              ELSE 0 END) > 0""")
 def a13(spark, sf):
-    return agg.compare_days(ds.category_sales(spark, sf),
-                            ds.last_order_day(spark, sf).cast("date"))
+    last = ds.last_order_day(spark, sf)
+    return agg.compare_days(ds.category_sales(spark, sf, last - F.expr("INTERVAL 1 DAY")),
+                            last.cast("date"))
 
 
 _BATCH_BOUNDS = [(8, "Original Batch"), (16, "Second Batch")]

@@ -108,8 +108,11 @@ def _sales_store(spark, sf):
     parts = ds.table(spark, sf, "part").select("p_partkey",
                                                F.col("p_type").alias("product_category"))
     heads = ds.orders(spark, sf).select("order_id", F.col("order_date").alias("batch_date"))
-    arriving = lines.join(parts, "p_partkey").join(heads, "order_id")
-    st.run_batches(arriving, path, st.sales_batches(path))
+
+    def enrich(batch):
+        return batch.join(parts, "p_partkey").join(heads, "order_id")
+
+    st.run_batches(lines, path, st.sales_batches(enrich, path))
     return st.stored(spark, path)
 
 

@@ -118,21 +118,29 @@ def _customer_places(spark: SparkSession, sf_dir: str, wanted: set[str]) -> Data
     return c.join(n, c.c_nationkey == n.n_nationkey)
 
 
-def order_facts(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
-    """Orders, revenue and mean order value per day, category and region.
+def _order_amounts(spark: SparkSession, sf_dir: str, since: Column | None) -> DataFrame:
+    """Amount per order and category.
 
-    Lines are summed per (order, category) first, on the map side already, so
-    a hot product shrinks before the shuffle, the orders join meets one row per
-    pair, and the distinct order count turns into a plain row count.
+    Lines are summed on the map side already, so a hot product or order shrinks
+    before the shuffle, the orders join meets one row per pair, and a distinct
+    order count turns into a row count. With ``since`` the lines of older
+    orders are dropped before any of that.
     """
-    per_order = (order_lines(spark, sf_dir, "order_id", "product_category", "total_amount")
-                 .groupBy("order_id", "product_category")
-                 .agg(F.sum("total_amount").alias("amount")))
+    lines = order_lines(spark, sf_dir, "order_id", "product_category", "total_amount")
+    if since is not None:
+        lines = lines.join(orders(spark, sf_dir, since).select("order_id"), "order_id",
+                           "left_semi")
+    return lines.groupBy("order_id", "product_category").agg(
+        F.sum("total_amount").alias("amount"))
+
+
+def order_facts(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
+    """Orders, revenue and mean order value per day, category and region."""
     head = (orders(spark, sf_dir, since).select("order_id", "customer_id", "order_date")
             .join(_customer_places(spark, sf_dir, {"ship_state"})
                   .select("customer_id", F.col("ship_state").alias("customer_region")),
                   "customer_id"))
-    facts = (per_order.join(head, "order_id")
+    facts = (_order_amounts(spark, sf_dir, since).join(head, "order_id")
              .groupBy("order_date", "product_category", "customer_region")
              .agg(F.count("*").alias("order_count"), F.sum("amount").alias("total_revenue")))
     return facts.withColumn("avg_order_value",
@@ -173,13 +181,11 @@ def day_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.count("*").alias("sessions")))
 
 
-def category_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def category_sales(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
     """New orders and revenue per batch day and category, as a sales stream would append them."""
-    per_order = (order_lines(spark, sf_dir, "order_id", "product_category", "total_amount")
-                 .groupBy("order_id", "product_category")
-                 .agg(F.sum("total_amount").alias("amount")))
-    head = orders(spark, sf_dir).select("order_id", F.col("order_date").alias("batch_date"))
-    sales = (per_order.join(head, "order_id").groupBy("batch_date", "product_category")
+    head = orders(spark, sf_dir, since).select("order_id", F.col("order_date").alias("batch_date"))
+    sales = (_order_amounts(spark, sf_dir, since).join(head, "order_id")
+             .groupBy("batch_date", "product_category")
              .agg(F.count("*").alias("new_orders"), F.sum("amount").alias("new_revenue")))
     return sales.withColumn("avg_new_order_value",
                             ratio(F.col("new_revenue"), F.col("new_orders")))

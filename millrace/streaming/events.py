@@ -156,16 +156,20 @@ def serve_and_refresh(transform: Callable[[DataFrame], DataFrame], needs_vector:
     return write
 
 
-def sales_batches(path: str) -> Callable[[DataFrame, int], None]:
+def sales_batches(enrich: Callable[[DataFrame], DataFrame], path: str
+                  ) -> Callable[[DataFrame, int], None]:
     """A batch writer for sales per day and category of the newly arrived order lines.
 
-    The batch holds ``order_id, batch_date, product_category, total_amount``. Lines are
-    summed per order first, so the distinct order count is a row count.
+    ``enrich`` joins the batch to its dimensions and yields ``order_id,
+    batch_date, product_category, total_amount``. It runs inside the batch,
+    where adaptive execution may broadcast a small side or split a hot key,
+    which a plan of the stream itself could not. Lines are summed per order
+    first, so the distinct order count is a row count.
     """
     store = store_batch(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        per_order = batch.groupBy("batch_date", "product_category", "order_id").agg(
+        per_order = enrich(batch).groupBy("batch_date", "product_category", "order_id").agg(
             F.sum("total_amount").alias("amount"))
         sales = per_order.groupBy("batch_date", "product_category").agg(
             F.count("*").alias("new_orders"), F.sum("amount").alias("new_revenue"))
