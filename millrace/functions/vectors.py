@@ -1,4 +1,4 @@
-"""Vector arithmetic over ``array<double>`` columns, evaluated in the JVM."""
+"""Vector arithmetic on few rows of ``array<double>`` columns, evaluated in the JVM."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 
-def as_doubles(vector: Column | str) -> Column:
-    return (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>")
-
-
 def literal_vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -21,21 +17,3 @@ def _total(values: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda x, y: x * y))
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return _total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(_total(F.transform(a, lambda x: x * x)))
-
-
-def unit(a: Column, length: Column) -> Column:
-    """The vector over its length, a column computed before; a zero vector stays zero."""
-    return F.transform(a, lambda x: F.when(length > 0, x / length).otherwise(0.0))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 where either vector has no length."""
-    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 
 def as_array(small: DataFrame, max_rows: int) -> Column:
@@ -16,3 +16,11 @@ def as_array(small: DataFrame, max_rows: int) -> Column:
                      F.raise_error(F.lit(f"more than {max_rows} rows in a set meant to be small"))
                      ).otherwise(F.col("rows"))
     return rows.select(checked.alias("rows")).scalar()
+
+
+def collect_small(small: DataFrame, max_rows: int) -> list[Row]:
+    """The rows of a set that must be small, on the driver; more than ``max_rows`` is an error."""
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows in a set meant to be small")
+    return rows

@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.functions.vector_kernels import SCORE_PLACES
 from millrace.operators.ranking import best_per_id, top_n_per_group
-from millrace.operators.vectors import SCORE_PLACES
 
 # Two or more letters, digits or underscores of any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"

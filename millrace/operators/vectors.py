@@ -1,59 +1,58 @@
 """Vector search, similarity statistics, clustering and projection.
 
-A vector table has the columns ``id`` and ``vector`` (``array<double>``), and
-optionally ``category``.
+A vector table has the columns ``id`` (integer) and ``vector`` (array of float
+or double, one size), and optionally ``category``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from millrace.functions import vectors as vec
+from millrace.functions import vector_kernels as kernels, vectors as vec
 from millrace.functions.scalars import md5_vector
 from millrace.operators.ranking import dense_row_number, most_frequent, top_n_per_group
-from millrace.operators.small_sets import as_array
+from millrace.operators.small_sets import as_array, collect_small
 
 MAX_SMALL = 10_000
-# Scores are rounded before they are ranked, so ranks do not hang on summation order.
-SCORE_PLACES = 9
+_SCORES = "query_id string, id long, distance double, similarity double"
 
 
-def _literal_queries(queries: Mapping[str, Sequence[float]]) -> Column:
-    return F.array(*[F.struct(F.lit(name).alias("query_id"),
-                              vec.literal_vector(values).alias("vector"))
-                     for name, values in queries.items()])
+def _scorable(corpus: DataFrame) -> DataFrame:
+    return corpus.filter(F.col("vector").isNotNull()).select(
+        F.col("id").cast("long").alias("id"), "vector")
 
 
 def query_product(corpus: DataFrame, queries: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Distance and cosine of every corpus row to every query vector.
+    """Squared L2 distance and cosine of every corpus row to every query vector.
 
-    The queries are literals in the plan; each row meets them in place.
+    The queries travel with the task; the corpus is neither joined nor shuffled.
     """
-    paired = corpus.withColumn("q", F.explode(_literal_queries(queries)))
-    return paired.select(
-        F.col("q.query_id").alias("query_id"), "id",
-        F.round(vec.squared_distance(F.col("vector"), F.col("q.vector")), SCORE_PLACES).alias(
-            "distance"),
-        F.round(vec.cosine(F.col("vector"), F.col("q.vector")), SCORE_PLACES).alias("similarity"))
+    matrix = np.array(list(queries.values()), dtype=float)
+    return _scorable(corpus).mapInArrow(kernels.all_of_batch(list(queries), matrix), _SCORES)
 
 
 def nearest(corpus: DataFrame, queries: Mapping[str, Sequence[float]], k: int = 10,
             metric: str = "distance", category: object | None = None) -> DataFrame:
     """The ``k`` nearest rows per query under squared L2 ``distance`` or ``similarity`` (cosine).
 
-    With ``category`` only rows of that category are ranked.
+    With ``category`` only rows of that category are ranked. Each batch keeps its
+    own ``k`` best per query, so what is shuffled does not grow with the rows of a batch.
     """
     if category is not None:
         corpus = corpus.filter(F.col("category") == F.lit(category))
-    scored = query_product(corpus.select("id", "vector"), queries)
-    best = F.asc("distance") if metric == "distance" else F.desc("similarity")
-    return top_n_per_group(scored, ["query_id"], [best, F.asc("id")], k, F.col("id"))
+    matrix = np.array(list(queries.values()), dtype=float)
+    by_distance = metric == "distance"
+    kept = _scorable(corpus).mapInArrow(
+        kernels.best_of_batch(list(queries), matrix, k, by_distance), _SCORES)
+    best = F.asc("distance") if by_distance else F.desc("similarity")
+    return top_n_per_group(kept, ["query_id"], [best, F.asc("id")], k, F.col("id"))
 
 
 def nearest_or_first(corpus: DataFrame, vector: Sequence[float] | None, k: int) -> DataFrame:
@@ -66,13 +65,11 @@ def nearest_or_first(corpus: DataFrame, vector: Sequence[float] | None, k: int)
 
 def more_like_first(corpus: DataFrame, k: int = 5) -> DataFrame:
     """Rows most like the one with the lowest id, by distance, with cosine beside it."""
-    query = corpus.agg(F.min_by("vector", "id")).scalar()
-    paired = corpus.select("id", "vector", query.alias("_q"))
-    scored = paired.select(
-        "id", F.round(vec.squared_distance(F.col("vector"), F.col("_q")), SCORE_PLACES).alias(
-            "distance"),
-        F.round(vec.cosine(F.col("vector"), F.col("_q")), SCORE_PLACES).alias("similarity"))
-    return scored.orderBy("distance", "id").limit(k)
+    first = corpus.select("id", "vector").orderBy("id").limit(1).collect()
+    if not first:
+        return query_product(corpus, {"first": [0.0]}).drop("query_id")
+    hits = nearest(corpus, {"first": first[0]["vector"]}, k)
+    return hits.select("id", "distance", "similarity").orderBy("distance", "id")
 
 
 def append_records(existing: DataFrame | None, records: DataFrame, key: str,
@@ -99,37 +96,47 @@ def table_info(corpus: DataFrame) -> DataFrame:
                       F.countDistinct("category").alias("categories"))
 
 
-def with_unit(corpus: DataFrame) -> DataFrame:
-    length = corpus.withColumn("norm", vec.norm(F.col("vector")))
-    return length.withColumn("unit", vec.unit(F.col("vector"), F.col("norm")))
+def category_centroids(corpus: DataFrame, normalise: bool = False) -> DataFrame:
+    """Mean vector (of the unit vectors if ``normalise``) and size per category.
+
+    Every batch sums its own rows first; the shuffle carries one vector for each
+    batch and category.
+    """
+    kind = corpus.schema["category"].dataType.simpleString()
+    part = corpus.filter(F.col("vector").isNotNull()).select("category", "vector").mapInArrow(
+        kernels.batch_sums(normalise), f"category {kind}, total array<double>, size long")
+    return part.groupBy("category").agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total"),
+        F.sum("size").alias("size")).select(
+        "category", F.transform("total", lambda x: x / F.col("size")).alias("vector"), "size")
 
 
-def category_centroids(corpus: DataFrame, column: str = "vector") -> DataFrame:
-    """Mean vector and size per category."""
-    return corpus.groupBy("category").agg(
-        Summarizer.mean(array_to_vector(F.col(column))).alias("m"), F.count("*").alias("size")
-    ).select("category", vector_to_array("m").alias("vector"), "size")
+def _mean_unit(corpus: DataFrame) -> DataFrame:
+    return category_centroids(corpus.withColumn("category", F.lit(0)), True)
 
 
 def mean_similarity(corpus: DataFrame) -> DataFrame:
-    """Mean cosine over all ordered pairs, from the squared norm of the mean unit vector."""
-    row = with_unit(corpus).agg(Summarizer.mean(array_to_vector(F.col("unit"))).alias("m"),
-                                F.count("*").alias("n")).select(
-        vector_to_array("m").alias("m"), "n")
-    whole = vec.dot(F.col("m"), F.col("m"))
-    n = F.col("n").cast("double")
-    return row.select(
-        F.col("n").alias("row_count"), whole.alias("mean_similarity"),
+    """Mean cosine over all ordered pairs, from the squared norm of the mean unit vector.
+
+    A row without length counts as similar to nothing, itself included.
+    """
+    whole = vec.dot(F.col("vector"), F.col("vector"))
+    n = F.col("size").cast("double")
+    return _mean_unit(corpus).select(
+        F.col("size").alias("row_count"), whole.alias("mean_similarity"),
         F.try_divide(whole * n * n - n, n * (n - 1)).alias("mean_between_distinct"))
 
 
 def mean_similarity_per_row(corpus: DataFrame) -> DataFrame:
-    """Each row's mean cosine to all rows: its unit vector times the mean unit vector."""
-    units = with_unit(corpus)
-    center = units.agg(Summarizer.mean(array_to_vector(F.col("unit"))).alias("m")).select(
-        vector_to_array("m").alias("m")).scalar()
-    return units.withColumn("_center", center).select(
-        "id", vec.dot(F.col("unit"), F.col("_center")).alias("mean_similarity"))
+    """Each row's mean cosine to all rows: its unit vector times the mean unit vector.
+
+    The mean vector, one row, is computed first.
+    """
+    center = _mean_unit(corpus).collect()
+    weights = np.array(center[0]["vector"] if center else [], dtype=float)
+    return _scorable(corpus).mapInArrow(
+        kernels.one_per_row("mean_similarity", lambda rows: kernels.units(rows) @ weights),
+        "id long, mean_similarity double")
 
 
 def similarity_blocks(corpus: DataFrame) -> DataFrame:
@@ -140,7 +147,7 @@ def similarity_blocks(corpus: DataFrame) -> DataFrame:
     single rows would have their square as its size; ``query_product`` gives
     chosen lines of it.
     """
-    centers = category_centroids(with_unit(corpus), "unit")
+    centers = category_centroids(corpus, True)
     others = as_array(centers, MAX_SMALL)
     pairs = centers.select("category", "vector", "size", F.explode(others).alias("o"))
     return pairs.select(
@@ -158,18 +165,24 @@ def similarity_stats(scored: DataFrame) -> DataFrame:
 
 
 def norms(corpus: DataFrame) -> DataFrame:
-    return corpus.select("id", vec.norm(F.col("vector")).alias("norm"))
+    return _scorable(corpus).mapInArrow(kernels.one_per_row("norm", kernels.lengths),
+                                        "id long, norm double")
 
 
 def assign_nearest(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each row with its nearest centroid (``category, vector``), lowest category on ties."""
-    cells = as_array(centroids.select("category", "vector"), MAX_SMALL)
-    gap = F.transform("_cells", lambda c: F.struct(
-        F.round(vec.squared_distance(F.col("vector"), c["vector"]), SCORE_PLACES).alias("distance"),
-        c["category"].alias("cluster")))
-    return (corpus.withColumn("_cells", cells).withColumn("_best", F.array_min(gap))
-            .withColumn("cluster", F.col("_best.cluster"))
-            .withColumn("distance", F.col("_best.distance")).drop("_best", "_cells"))
+    """Each row with its nearest centroid (``category, vector``), lowest category on ties.
+
+    The centroids, at most ``MAX_SMALL``, travel with the task.
+    """
+    rows = sorted(collect_small(centroids.select("category", "vector"), MAX_SMALL),
+                  key=lambda r: r["category"])
+    find = kernels.nearest_udf(np.array([r["vector"] for r in rows], dtype=float))
+    kind = centroids.schema["category"].dataType
+    names = F.array(*[F.lit(r["category"]).cast(kind) for r in rows])
+    return (corpus.filter(F.col("vector").isNotNull())
+            .withColumn("_best", find(F.col("vector")))
+            .withColumn("cluster", F.get(names, F.col("_best.place")))
+            .withColumn("distance", F.col("_best.distance")).drop("_best"))
 
 
 def kmeans_clusters(corpus: DataFrame, k: int = 4, seed: int = 42):

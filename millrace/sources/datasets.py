@@ -168,7 +168,7 @@ def as_items(part: DataFrame) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"),
-                    F.col("embedding").cast("array<double>").alias("vector"),
+                    F.col("embedding").alias("vector"),
                     F.col("label").alias("category"))
 
 
