@@ -262,14 +262,16 @@ def f11(spark, sf):
         F.coalesce("p.width", F.lit(0)).alias("width"))
 
 
-@Q.add("F12_array_functions", "vec_id long, dims long, head str, label_path str",
-       """SELECT vec_id, len(embedding) AS dims, CAST(len(embedding[1:10]) AS VARCHAR) AS head,
+@Q.add("F12_array_functions", "vec_id long, dims long, head_sum dbl6, label_path str",
+       """SELECT vec_id, len(embedding) AS dims,
+          list_sum(CAST(embedding[1:10] AS DOUBLE[])) AS head_sum,
           array_to_string(['label', CAST(label AS VARCHAR)], ', ') AS label_path
           FROM embeddings""")
 def f12(spark, sf):
     return ds.table(spark, sf, "embeddings").select(
         "vec_id", F.size("embedding").alias("dims"),
-        F.size(F.slice("embedding", 1, 10)).cast("string").alias("head"),
+        F.aggregate(F.slice("embedding", 1, 10), F.lit(0.0), lambda acc, x: acc + x).alias(
+            "head_sum"),
         F.array_join(F.array(F.lit("label"), F.col("label").cast("string")), ", ").alias(
             "label_path"))
 

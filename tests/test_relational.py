@@ -163,3 +163,22 @@ def test_composed_query(orders):
                         [F.sum("amount").alias("t")]).collect()
     assert [(r["customer_id"], float(r["t"])) for r in rows] == [(1, 150.0)]
     assert agg.composed(orders, ["amount > 100"]).count() == 2
+
+
+def test_hash_values_repeat_and_stay_in_range(spark):
+    from millrace.functions.scalars import hash_below, hash_pick
+    df = spark.range(1000).select(
+        "id", hash_below(7, F.col("id")).alias("n"), hash_pick(["x", "y"], F.col("id")).alias("c"))
+    one, two = sorted(df.collect()), sorted(df.repartition(9).collect())
+    assert one == two
+    assert {r["n"] for r in one} == set(range(7)) and {r["c"] for r in one} == {"x", "y"}
+
+
+def test_hot_parent_is_joined_as_one_row(spark):
+    parents = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id INT, g STRING")
+    kids = spark.range(900).select(F.when(F.col("id") < 600, 1).otherwise(2).alias("pid"),
+                                   F.lit(1).cast("decimal(12,2)").alias("amount"))
+    got = {r["g"]: r for r in joins.parent_totals(parents, kids, "id", "pid", ["g"],
+                                                  "amount").collect()}
+    assert (got["a"]["child_count"], got["a"]["parent_count"], got["a"]["total"]) == (900, 2, 900)
+    assert (got["b"]["child_count"], got["b"]["joined_rows"], got["b"]["mean"]) == (0, 1, None)

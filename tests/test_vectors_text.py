@@ -167,3 +167,19 @@ def test_search_and_recommendation(spark):
 def test_default_stop_words_are_removed(spark):
     docs = spark.createDataFrame([(1, "the cluster and the tables")], "id INT, text STRING")
     assert set(tx.fit(docs, "text").idf) == {"cluster", "tables"}
+
+
+def test_vectors_of_the_wrong_size_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [1.0], 1)],
+                               "id LONG, vector ARRAY<DOUBLE>, category INT").coalesce(1)
+    with pytest.raises(Exception, match="vectors of"):
+        vx.norms(df).collect()
+    with pytest.raises(Exception, match="where 3 is wanted"):
+        vx.nearest(df.filter("id = 0"), {"q": [0.0, 0.0, 0.0]}, 1).collect()
+
+
+def test_missing_vectors_are_not_scored(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, None, 1)],
+                               "id LONG, vector ARRAY<DOUBLE>, category INT")
+    assert [r["id"] for r in vx.nearest(df, {"q": [0.0, 0.0]}, 5).collect()] == [0]
+    assert vx.category_centroids(df).first()["size"] == 1
