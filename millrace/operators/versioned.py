@@ -207,9 +207,9 @@ def compact(log: DataFrame, key: str, version: int, files: int) -> DataFrame:
 
 
 def describe(spark: SparkSession, view: str) -> DataFrame:
-    """Columns of a table or view with their types."""
-    return spark.sql(f"DESCRIBE TABLE {view}").select(
-        F.col("col_name").alias("column_name"), "data_type")
+    """Columns of a table or view with their types and nullability."""
+    rows = [(c.name, c.dataType, c.nullable) for c in spark.catalog.listColumns(view)]
+    return spark.createDataFrame(rows, "column_name STRING, data_type STRING, is_nullable BOOLEAN")
 
 
 def tables(spark: SparkSession, pattern: str | None = None) -> DataFrame:

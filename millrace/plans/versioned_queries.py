@@ -239,9 +239,9 @@ _ORDER_TYPES = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstat
                 ("o_orderpriority", "string")]
 
 
-@Q.add("T14_table_columns", "column_name str, data_type str, filled_rows long",
-       " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS data_type, COUNT({c}) AS "
-                          "filled_rows FROM orders" for c, t in _ORDER_TYPES))
+@Q.add("T14_table_columns", "column_name str, data_type str, is_nullable bool, filled_rows long",
+       " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS data_type, TRUE AS is_nullable, "
+                          f"COUNT({c}) AS filled_rows FROM orders" for c, t in _ORDER_TYPES))
 def t14(spark, sf):
     orders = ds.table(spark, sf, "orders")
     orders.createOrReplaceTempView("millrace_orders_raw")

@@ -24,6 +24,9 @@ def build_session(app_name: str = "millrace", master: str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Keyed stream state of any size lives on local disk and is checkpointed, not on the heap.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
     if shuffle_partitions:
