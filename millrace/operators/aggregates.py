@@ -49,6 +49,14 @@ def kpi_totals(df: DataFrame, sums: Sequence[str], mean: str) -> DataFrame:
         "_sum", "_count")
 
 
+def distinct_totals(df: DataFrame, distinct: str, amount: str, approximate: bool = False
+                    ) -> DataFrame:
+    """Rows, distinct values of a column and total; the estimate spares a shuffle of the values."""
+    count = F.approx_count_distinct(distinct) if approximate else F.countDistinct(distinct)
+    return df.agg(F.count("*").alias("total_records"), count.alias("distinct_values"),
+                  F.sum(amount).alias("total_revenue"))
+
+
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Row count per value of each column, in long form, from one scan.
 

@@ -185,10 +185,9 @@ def a11(spark, sf):
        f"""SELECT COUNT(*) AS total_records, COUNT(DISTINCT product_category) AS categories,
            SUM(total_amount) AS total_revenue FROM {LINES} AS l""")
 def a12(spark, sf):
-    return ds.order_lines(spark, sf, "product_category", "total_amount").agg(
-        F.count("*").alias("total_records"),
-        F.countDistinct("product_category").alias("categories"),
-        F.sum("total_amount").alias("total_revenue"))
+    lines = ds.order_lines(spark, sf, "product_category", "total_amount")
+    return agg.distinct_totals(lines, "product_category", "total_amount").withColumnRenamed(
+        "distinct_values", "categories")
 
 
 @Q.add("A13_day_comparison", "product_category str, today_revenue dbl, yesterday_revenue dbl, "

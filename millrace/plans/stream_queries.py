@@ -36,10 +36,13 @@ def r1(spark, sf):
         F.sum("value").alias("total"))
 
 
-@Q.add("R2_rolling_counts", "window_start ts, event_type str, event_count long",
-       f"""SELECT DATE_TRUNC('hour', event_time) - h * INTERVAL 1 HOUR AS window_start, event_type,
-           COUNT(*) AS event_count FROM {EVENTS} AS e CROSS JOIN range(24) AS s(h)
-           GROUP BY 1, 2""")
+_ROLLING_SQL = f"""SELECT DATE_TRUNC('hour', event_time) - h * INTERVAL 1 HOUR AS window_start,
+    event_type, COUNT(*) AS event_count FROM {EVENTS} AS e CROSS JOIN range(24) AS s(h)
+    GROUP BY 1, 2"""
+_ROLLING_COLUMNS = "window_start ts, event_type str, event_count long"
+
+
+@Q.add("R2_rolling_counts", _ROLLING_COLUMNS, _ROLLING_SQL)
 def r2(spark, sf):
     path = shared_folder(spark, "r2")
     st.run_batches(st.hourly_counts(_event_stream(spark, sf)), path, st.store_batch(path),
@@ -47,6 +50,14 @@ def r2(spark, sf):
     return st.rolling_counts(st.newest_per_key(st.stored(spark, path), ["hour", "event_type"]))
 
 
+@Q.add("R2_rolling_counts_with_late_rows", _ROLLING_COLUMNS, _ROLLING_SQL)
+def r2_late(spark, sf):
+    path = shared_folder(spark, "r2-late")
+    st.run_batches(_event_stream(spark, sf), path, st.hourly_batches(path))
+    return st.rolling_counts(st.merged(st.stored(spark, path), ["hour", "event_type"],
+                                       ["event_count"]))
+
+
 _DAY_SQL = f"""SELECT CAST(event_time AS DATE) AS analysis_date, COUNT(*) AS total_events,
     COUNT(DISTINCT CAST(json_extract_string(event_data, '$.k') AS BIGINT)) AS unique_users,
     SUM(CASE WHEN json_extract_string(event_data, '$.session_id') IS NOT NULL THEN 1.0 ELSE 0.0 END)
@@ -57,9 +68,9 @@ _DAY_SQL = f"""SELECT CAST(event_time AS DATE) AS analysis_date, COUNT(*) AS tot
        "session_share dbl", _DAY_SQL)
 def r3(spark, sf):
     path = shared_folder(spark, "r3")
-    st.run_batches(st.user_days(_event_stream(spark, sf)), path, st.store_batch(path), "update")
-    rows = st.newest_per_key(st.stored(spark, path), ["analysis_date", "user_key"])
-    return st.day_stats(rows)
+    st.run_batches(_event_stream(spark, sf), path, st.user_day_batches(path))
+    return st.day_stats(st.merged(st.stored(spark, path), ["analysis_date", "user_key"],
+                                  ["events", "with_session"]))
 
 
 @Q.add("R4_summary_log", "total_events long, unique_users long, total dbl",

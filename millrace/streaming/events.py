@@ -84,7 +84,11 @@ def ingest(messages: DataFrame, schema: StructType | str, path: str) -> None:
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
-    """Events per type and hour: the state is one row per pair, not 24 as sliding windows keep."""
+    """Events per type and hour as stream state: one row per pair, not 24 as sliding windows keep.
+
+    Rows that arrive more than ``LATENESS`` after a window closed are not in it;
+    ``hourly_batches`` counts those too.
+    """
     return (with_event_time(events, "event_time")
             .groupBy(F.window("event_time", "1 hour").alias("w"), "event_type")
             .agg(F.count("*").alias("event_count"))
@@ -100,20 +104,42 @@ def rolling_counts(hours: DataFrame, length: int = 24) -> DataFrame:
             .agg(F.sum("event_count").alias("event_count")))
 
 
-def user_days(events: DataFrame) -> DataFrame:
-    """Events and session flags per day and user.
+def partial_batches(keys: Sequence[Column], sums: Sequence[Column], path: str
+                    ) -> Callable[[DataFrame, int], None]:
+    """A batch writer that stores each batch's own sums per key.
 
-    A stream cannot count distinct values exactly. Keeping one row per (day,
-    user) makes the count of users a count of rows, and spreads a busy day over
-    its users.
+    Sums of batches add up, so no state is kept between them and no late row is
+    ever left out; ``merged`` adds them when they are read.
     """
-    return (with_event_time(events, "event_time")
-            .groupBy(F.window("event_time", "1 day").alias("w"),
-                     json_int("event_data", "$.k").alias("user_key"))
-            .agg(F.count("*").alias("events"),
-                 F.sum(json_has("event_data", "$.session_id")).alias("with_session"))
-            .select(F.col("w.start").cast("date").alias("analysis_date"), "user_key", "events",
-                    "with_session"))
+    store = store_batch(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(batch.groupBy(*keys).agg(*sums), batch_id)
+    return write
+
+
+def merged(df: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """The sums per key over all stored batches."""
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def hourly_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Events per type and hour, batch by batch."""
+    return partial_batches([F.date_trunc("hour", "event_time").alias("hour"), F.col("event_type")],
+                           [F.count("*").alias("event_count")], path)
+
+
+def user_day_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Events and session flags per day and user, batch by batch.
+
+    A stream cannot count distinct values exactly. One row per (day, user) makes
+    the number of users a row count, and spreads a busy day over its users.
+    """
+    return partial_batches(
+        [F.col("event_time").cast("date").alias("analysis_date"),
+         json_int("event_data", "$.k").alias("user_key")],
+        [F.count("*").alias("events"),
+         F.sum(json_has("event_data", "$.session_id")).alias("with_session")], path)
 
 
 def day_stats(user_rows: DataFrame) -> DataFrame:

@@ -128,14 +128,28 @@ def test_stream_in_batches_equals_batch(spark, event_files):
     path, rows = event_files
     out = shared_folder(spark, "test-r3")
     stream = st.file_stream(spark, path, EVENT_SCHEMA, files_per_batch=1)
-    st.run_batches(st.user_days(stream), out, st.store_batch(out), "update")
-    assert st.stored(spark, out).select("batch_id").distinct().count() >= 3
-    stats = st.day_stats(st.newest_per_key(st.stored(spark, out), ["analysis_date", "user_key"]))
+    st.run_batches(stream, out, st.user_day_batches(out))
+    assert st.stored(spark, out).select("batch_id").distinct().count() == 3
+    stats = st.day_stats(st.merged(st.stored(spark, out), ["analysis_date", "user_key"],
+                                   ["events", "with_session"]))
     for r in stats.collect():
         assert (r["total_events"], r["unique_users"], r["session_share"]) == (40, 7, 0.25)
     assert stats.count() == 3
 
 
+def test_late_rows_count_in_partial_sums(spark, event_files):
+    """A batch of old events that arrives last is added, and a repeated batch is not."""
+    out = shared_folder(spark, "test-late")
+    rows = spark.createDataFrame(event_files[1], EVENT_SCHEMA)
+    write = st.user_day_batches(out)
+    write(rows.filter("event_time >= '2024-01-03'"), 0)
+    write(rows.filter("event_time < '2024-01-03'"), 1)
+    write(rows.filter("event_time < '2024-01-03'"), 1)
+    merged = st.merged(st.stored(spark, out), ["analysis_date", "user_key"],
+                       ["events", "with_session"])
+    assert {r["total_events"] for r in st.day_stats(merged).collect()} == {40}
+
+
 def test_restarted_stream_adds_nothing(spark, event_files):
     path, rows = event_files
     out = shared_folder(spark, "test-restart")
