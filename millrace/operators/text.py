@@ -163,26 +163,30 @@ def score(weighted: DataFrame, queries: Mapping[str, str], model: TextModel) ->
 
 
 def search(weighted: DataFrame, key: str, queries: Mapping[str, str], model: TextModel,
-           k: int = 3) -> DataFrame:
-    """The ``k`` most similar documents per query, by cosine, then key."""
-    scored = score(weighted, queries, model).drop("weights")
-    return top_n_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc(key)], k,
+           k: int = 3, columns: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` most similar documents per query, by cosine, then key.
+
+    Only keys and scores are sorted; ``columns`` of the few hits are joined back after.
+    """
+    scored = score(weighted.select(key, "weights"), queries, model).drop("weights")
+    hits = top_n_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc(key)], k,
                            F.col(key))
+    return hits.join(weighted.select(key, *columns), key) if columns else hits
 
 
 def recommend(weighted: DataFrame, key: str, text: str, query: str, model: TextModel,
               k: int = 3) -> DataFrame:
     """The ``k`` most similar documents whose text is not the query itself."""
     others = weighted.filter(F.lower(text) != query.lower())
-    return search(others, key, {"query": query}, model, k)
+    return search(others, key, {"query": query}, model, k, [text])
 
 
 def recommend_for_profile(weighted: DataFrame, key: str, interests: Sequence[str],
                           model: TextModel, max_complexity: int, domains: Sequence[str],
                           per_interest: int = 2, k: int = 10) -> DataFrame:
     """Best hits per interest, within complexity and domains, each item once, with a reason."""
-    hits = search(weighted, key, {i: i for i in interests}, model, 3).filter(
-        F.col("rank") <= per_interest)
+    hits = search(weighted, key, {i: i for i in interests}, model, 3,
+                  ["complexity", "domain"]).filter(F.col("rank") <= per_interest)
     kept = hits.filter((F.col("complexity") <= max_complexity) & F.col("domain").isin(*domains))
     order = [F.desc("similarity"), F.asc(key), F.asc("query_id")]
     return best_per_id(kept, key, order, k, F.col(key)).withColumn(

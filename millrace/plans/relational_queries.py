@@ -421,7 +421,7 @@ def a29(spark, sf):
         F.avg("avg_order_value").alias("avg_order_value"), F.count("*").alias("record_count"))
 
 
-def _facts_since(spark, sf, interval):
+def facts_since(spark, sf, interval):
     since = ds.last_order_day(spark, sf) - F.expr(f"INTERVAL {interval}")
     return ds.order_facts(spark, sf, since)
 
@@ -431,7 +431,7 @@ def _facts_since(spark, sf, interval):
            COUNT(DISTINCT product_category) AS categories_sold FROM {FACTS} AS f
            WHERE order_date >= {LAST_DAY} - INTERVAL 30 DAY GROUP BY 1""")
 def a30(spark, sf):
-    return _facts_since(spark, sf, "30 days").groupBy("order_date").agg(
+    return facts_since(spark, sf, "30 days").groupBy("order_date").agg(
         F.sum("total_revenue").alias("daily_revenue"),
         F.countDistinct("product_category").alias("categories_sold")).orderBy("order_date")
 
@@ -443,7 +443,7 @@ def a30(spark, sf):
            FROM {FACTS} AS f WHERE order_date >= {LAST_DAY} - INTERVAL 7 DAY
            GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def a31(spark, sf):
-    return _category_report(_facts_since(spark, sf, "7 days")).orderBy(
+    return _category_report(facts_since(spark, sf, "7 days")).orderBy(
         F.desc("category_revenue"), "product_category").limit(10)
 
 
@@ -452,7 +452,7 @@ def a31(spark, sf):
            COUNT(*) AS order_count, AVG(avg_order_value) AS avg_order_value FROM {FACTS} AS f
            WHERE order_date >= {LAST_DAY} - INTERVAL 30 DAY GROUP BY 1""")
 def a32(spark, sf):
-    return _facts_since(spark, sf, "30 days").groupBy(
+    return facts_since(spark, sf, "30 days").groupBy(
         F.col("customer_region").alias("region")).agg(
         F.sum("total_revenue").alias("revenue"), F.count("*").alias("order_count"),
         F.avg("avg_order_value").alias("avg_order_value")).orderBy(F.desc("revenue"))
@@ -474,7 +474,7 @@ def a33(spark, sf):
            FROM {FACTS} AS f WHERE product_category = 'PROMO'
            AND order_date >= {LAST_DAY} - INTERVAL 30 DAY GROUP BY 1""")
 def a34(spark, sf):
-    facts = _facts_since(spark, sf, "30 days").filter(F.col("product_category") == "PROMO")
+    facts = facts_since(spark, sf, "30 days").filter(F.col("product_category") == "PROMO")
     return facts.groupBy("order_date").agg(F.sum("total_revenue").alias("revenue"),
                                            F.sum("order_count").alias("orders")).orderBy(
         "order_date")

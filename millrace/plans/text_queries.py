@@ -119,7 +119,8 @@ def v11(spark, sf):
            UNION ALL SELECT 'domain', domain, COUNT(*) FROM m GROUP BY 2""")
 def v12(spark, sf):
     weighted, model = _item_model(spark, sf)
-    hits = tx.search(weighted, "id", _ITEM_QUERIES, model, 5)
+    hits = tx.search(weighted, "id", _ITEM_QUERIES, model, 5,
+                     ["complexity", "cost", "category", "domain"])
     return tx.match_profile(hits, ["complexity", "cost"], ["category", "domain"])
 
 

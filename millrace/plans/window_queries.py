@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import json_has, json_int
 from millrace.operators import ranking, windows
 from millrace.plans.registry import QuerySet
-from millrace.plans.relational_queries import _facts_since
+from millrace.plans.relational_queries import facts_since
 from millrace.plans.sql_views import CUSTOMERS, EVENTS, FACTS, GRID, LAST_DAY, mean
 from millrace.sources import datasets as ds
 
@@ -63,7 +63,7 @@ def w3(spark, sf):
            SELECT *, CAST(cohort_revenue - prev_month_revenue AS DOUBLE)
              / NULLIF(CAST(prev_month_revenue AS DOUBLE), 0) * 100 AS mom_growth_pct FROM p""")
 def w4(spark, sf):
-    return windows.monthly_cohorts(_facts_since(spark, sf, "12 months")).orderBy(
+    return windows.monthly_cohorts(facts_since(spark, sf, "12 months")).orderBy(
         F.desc("cohort_month"), F.desc("cohort_revenue"))
 
 
@@ -74,7 +74,7 @@ def w4(spark, sf):
            EXTRACT(WEEK FROM order_date) AS week_of_year FROM {_DAILY} AS d
            WHERE order_date >= {LAST_DAY} - INTERVAL 90 DAY""")
 def w5(spark, sf):
-    return windows.seasonality(_facts_since(spark, sf, "90 days")).orderBy("order_date")
+    return windows.seasonality(facts_since(spark, sf, "90 days")).orderBy("order_date")
 
 
 def _anomaly_sql(where: str) -> str:
@@ -95,7 +95,7 @@ _ANOMALY_COLUMNS = ("order_date str, daily_revenue dbl, average dbl4, z_score db
 @Q.add("W6_anomalies", _ANOMALY_COLUMNS,
        _anomaly_sql(f"WHERE order_date >= {LAST_DAY} - INTERVAL 60 DAY"))
 def w6(spark, sf):
-    series = windows.daily_series(_facts_since(spark, sf, "60 days"))
+    series = windows.daily_series(facts_since(spark, sf, "60 days"))
     return windows.anomalies(series).orderBy(F.desc("z_score"))
 
 
