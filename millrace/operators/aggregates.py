@@ -70,6 +70,38 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
         F.count("*").alias("row_count"))
 
 
+def item_summary(df: DataFrame, distinct: dict[str, str], means: Sequence[str],
+                 spreads: Sequence[str]) -> DataFrame:
+    """Row count, distinct counts, means and value distributions as (field, value, amount) rows.
+
+    ``distinct`` maps columns to the field name of their distinct count. The data
+    is read once: it is summed per combination of the named columns, those sums per
+    single value, and every figure comes from the latter.
+    """
+    columns = list(dict.fromkeys([*distinct, *spreads]))
+    cube = df.groupBy(*columns).agg(F.count("*").alias("n"),
+                                    *[F.sum(m).alias(f"sum_{m}") for m in means])
+    kinds = F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value")), *[
+        F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value"))
+        for c in columns])
+    sums = ["n"] + [f"sum_{m}" for m in means]
+    per_value = cube.select(F.explode(kinds).alias("k"), *sums).groupBy("k.kind", "k.value").agg(
+        *[F.sum(c).alias(c) for c in sums])
+
+    def row(kind, field, value, amount):
+        return F.when(F.col("kind") == kind, F.struct(
+            F.lit(field).alias("field"), value.alias("value"),
+            amount.cast("double").alias("amount")))
+
+    rows = [row("", "items", F.lit(""), F.col("n"))]
+    rows += [row("", f"avg_{m}", F.lit(""), mean_of(F.col(f"sum_{m}"), F.col("n"))) for m in means]
+    rows += [row(c, field, F.lit(""), F.lit(1))
+             for c, field in distinct.items()]
+    rows += [row(c, c, F.col("value"), F.col("n")) for c in spreads]
+    return per_value.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).groupBy(
+        "r.field", "r.value").agg(F.sum("r.amount").alias("amount"))
+
+
 def compare_days(sales: DataFrame, day: Column) -> DataFrame:
     """Revenue of a day against the day before, for categories that sold on both sides."""
     today, yesterday = F.col("batch_date") == day, F.col("batch_date") == F.date_sub(day, 1)

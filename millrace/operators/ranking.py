@@ -77,12 +77,14 @@ def latest_row(df: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
     return picked.select(*keys, "_row.*")
 
 
-def most_frequent(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
-    """The most frequent value per group, lowest on ties.
+def most_frequent(df: DataFrame, groups: Sequence[str], value: str, name: str,
+                  weight: str | None = None) -> DataFrame:
+    """The most frequent value per group, lowest on ties; ``weight`` counts a row several times.
 
     Counting (group, value) pairs first keeps the state of a group with very
     many distinct values out of a single aggregation buffer.
     """
-    pairs = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    count = F.count("*") if weight is None else F.sum(weight)
+    pairs = df.groupBy(*groups, value).agg(count.alias("_n"))
     pick = F.min_by(F.col(value), F.struct(-F.col("_n"), F.col(value)))
     return pairs.groupBy(*groups).agg(pick.alias(name))

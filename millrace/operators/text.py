@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.vector_kernels import SCORE_PLACES
 from millrace.operators.ranking import best_per_id, top_n_per_group
@@ -194,17 +194,16 @@ def recommend_for_profile(weighted: DataFrame, key: str, interests: Sequence[str
 
 
 def match_profile(hits: DataFrame, means: Sequence[str], counts: Sequence[str]) -> DataFrame:
-    """Means and value counts of the matches, in long form."""
-    row = hits.agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in means])
-    mean_rows = row.select(F.inline(F.array(*[
-        F.struct(F.lit(f"avg_{m}").alias("field"), F.lit("").alias("value"),
-                 F.col(m).alias("amount")) for m in means])))
-    out = mean_rows
-    for column in counts:
-        out = out.union(hits.groupBy(F.col(column).cast("string").alias("value")).agg(
-            F.count("*").cast("double").alias("amount")).select(
-            F.lit(column).alias("field"), "value", "amount"))
-    return out
+    """Means and value counts of the matches, in long form, from one pass."""
+    cell = lambda field, value, amount: F.struct(
+        field.alias("field"), value.cast("string").alias("value"),
+        amount.cast("double").alias("amount"))
+    cells = [cell(F.lit(f"avg_{m}"), F.lit(""), F.col(m)) for m in means]
+    cells += [cell(F.lit(c), F.col(c), F.lit(1)) for c in counts]
+    mean_fields = [f"avg_{m}" for m in means]
+    return hits.select(F.inline(F.array(*cells))).groupBy("field", "value").agg(
+        F.when(F.col("field").isin(*mean_fields), F.avg("amount")).otherwise(F.sum("amount"))
+        .alias("amount"))
 
 
 def hybrid_search(hits: DataFrame, keyword_rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import vector_kernels as kernels, vectors as vec
-from millrace.functions.scalars import md5_vector
+from millrace.functions.scalars import md5_vector, ratio
 from millrace.operators.ranking import dense_row_number, most_frequent, top_n_per_group
 from millrace.operators.small_sets import as_array, collect_small
 
@@ -198,12 +198,20 @@ def kmeans_clusters(corpus: DataFrame, k: int = 4, seed: int = 42):
 
 def cluster_profile(clustered: DataFrame, means: Sequence[str], modes: Sequence[str],
                     sample: str, samples: int = 3) -> DataFrame:
-    """Size, means, most frequent attributes and the first sample rows of each cluster."""
-    out = clustered.groupBy("cluster").agg(
-        F.count("*").alias("size"), *[F.avg(F.col(m).cast("double")).alias(f"avg_{m}")
-                                      for m in means])
+    """Size, means, most frequent attributes and the first sample rows of each cluster.
+
+    The rows are summed per combination of cluster and attributes first; sizes,
+    means and modes all come from those sums.
+    """
+    base = clustered.groupBy("cluster", *modes).agg(
+        F.count("*").alias("_n"),
+        *[F.sum(F.col(m).cast("double")).alias(f"_sum_{m}") for m in means],
+        *[F.count(m).alias(f"_count_{m}") for m in means])
+    out = base.groupBy("cluster").agg(
+        F.sum("_n").alias("size"),
+        *[ratio(F.sum(f"_sum_{m}"), F.sum(f"_count_{m}")).alias(f"avg_{m}") for m in means])
     for column in modes:
-        out = out.join(most_frequent(clustered, ["cluster"], column, f"dominant_{column}"),
+        out = out.join(most_frequent(base, ["cluster"], column, f"dominant_{column}", "_n"),
                        "cluster")
     picked = top_n_per_group(clustered.select("cluster", "id", sample), ["cluster"],
                              [F.asc("id")], samples, F.col("id"))

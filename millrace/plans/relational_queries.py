@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import mean_of, size_class, trunc_date
+from millrace.functions.scalars import size_class, trunc_date
 from millrace.functions.scalars import bucket_label, json_has, json_int
 from millrace.operators import aggregates as agg, joins, windows
 from millrace.operators.ranking import most_frequent
@@ -311,32 +311,10 @@ _MATURITY_SQL = ("CASE WHEN complexity < 13 THEN 'Emerging' WHEN complexity < 26
            UNION ALL SELECT 'maturity', maturity, COUNT(*) FROM i GROUP BY 2
            UNION ALL SELECT 'domain', domain, COUNT(*) FROM i GROUP BY 2""")
 def a22(spark, sf):
-    # All figures derive from one grouped pass; its rows are value combinations, not items.
     items = ds.items(spark, sf).withColumn(
         "maturity", bucket_label(F.col("complexity"), _MATURITY_BOUNDS, "Declining"))
-    cube = items.groupBy("category", "domain", "maturity").agg(
-        F.count("*").alias("n"), F.sum("complexity").alias("complexity"),
-        F.sum("cost").alias("cost"))
-    row = cube.agg(F.sum("n").alias("items"), F.sum("complexity").alias("complexity"),
-                   F.sum("cost").alias("cost"))
-    as_row = lambda name, c: F.struct(F.lit(name).alias("field"), F.lit("").alias("value"),
-                                      c.cast("double").alias("amount"))
-    means = row.select(F.explode(F.array(
-        as_row("items", F.col("items")),
-        as_row("avg_complexity", mean_of(F.col("complexity"), F.col("items"))),
-        as_row("avg_cost", mean_of(F.col("cost"), F.col("items"))))).alias("r")).select("r.*")
-
-    def distinct(column, label):
-        return cube.agg(F.countDistinct(column).cast("double").alias("amount")).select(
-            F.lit(label).alias("field"), F.lit("").alias("value"), "amount")
-
-    def spread(column):
-        return cube.groupBy(F.col(column).alias("value")).agg(
-            F.sum("n").cast("double").alias("amount")).select(
-            F.lit(column).alias("field"), "value", "amount")
-
-    return (means.union(distinct("category", "categories")).union(distinct("domain", "domains"))
-            .union(spread("maturity")).union(spread("domain")))
+    return agg.item_summary(items, {"category": "categories", "domain": "domains"},
+                            ["complexity", "cost"], ["maturity", "domain"])
 
 
 @Q.add("A23_hierarchy_totals", "level long, maturity str, domain str, category str, total dbl, "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import aggregates as agg
 from millrace.plans.registry import QuerySet
 from millrace.plans.sql_views import CUSTOMERS, LAST_EVENT, ORDERS
-from millrace.sources import datasets as ds, generators as gen, readers, sinks
+from millrace.sources import datasets as ds, generators as gen, readers
 from millrace.sources.shared import shared_folder
 
 Q = QuerySet()

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import json_has, json_int
 from millrace.operators import ranking, windows
 from millrace.plans.registry import QuerySet
 from millrace.plans.relational_queries import facts_since
-from millrace.plans.sql_views import CUSTOMERS, EVENTS, FACTS, GRID, LAST_DAY, mean
+from millrace.plans.sql_views import CUSTOMERS, EVENTS, FACTS, GRID, LAST_DAY
 from millrace.sources import datasets as ds
 
 Q = QuerySet()
