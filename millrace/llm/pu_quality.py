@@ -32,7 +32,10 @@ def _share(data: bytes, signs: bytes) -> int:
 
 
 def features(text: bytes | None) -> list[float]:
-    """Shape and repetition measures of a whole text; zeros for a null or empty one."""
+    """Shape and repetition measures of a whole text; zeros for a null or empty one.
+
+    Signs of junk level off, since a little of it tells as much as a lot.
+    """
     data = text or b""
     words = data.split()
     n = len(words)
@@ -44,14 +47,14 @@ def features(text: bytes | None) -> list[float]:
     return [
         math.log1p(n) / 5,
         min(3.0, sum(map(len, words)) / n / 10),
-        _share(data, _UPPER) / letters,
+        math.tanh(3 * _share(data, _UPPER) / letters),
         min(1.0, _share(data, _DIGITS) / n),
-        min(2.0, _share(data, _SYMBOLS) / n),
+        math.tanh(3 * _share(data, _SYMBOLS) / n),
         min(2.0, _share(data, _STOPPERS) / n),
-        min(2.0, data.count(b"!") / n),
+        math.tanh(3 * data.count(b"!") / n),
         sum(map(_STOPS.__contains__, lower)) / n,
         min(1.0, len(set(lower)) / n ** 0.8),
-        sum(map(operator.eq, lower, lower[1:])) / n,
+        math.tanh(3 * sum(map(operator.eq, lower, lower[1:])) / n),
         1 - len(set(lines)) / len(lines),
         min(3.0, math.log1p(n / len(lines)) / 3),
     ]
