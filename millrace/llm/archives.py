@@ -189,9 +189,13 @@ def read_warc(files: DataFrame, check_payload: bool = True) -> DataFrame:
 
 
 def page_records(records: DataFrame) -> DataFrame:
-    """Per page: payload size, hex digest, record type and the page id that a revisit refers to."""
+    """Per page: payload size, hex digest, record type and the page id that a revisit refers to.
+
+    The planner knows the records only by the size of their file list, so the
+    join is told not to broadcast them.
+    """
     targets = records.where("record_type <> 'revisit'").select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).hint("merge")
     asked = records.where("record_type = 'revisit'").join(targets, "refers_to_id", "left")
     plain = records.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
     both = asked.select(*plain.columns).unionByName(plain)
