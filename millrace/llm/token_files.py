@@ -15,25 +15,59 @@ from millrace.llm.seekable import Entry, TokenFileReader, TokenFileWriter, crc32
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, first_doc long, last_doc long"
 
 
+_TAIL = ".,;:!?#%&*$|"
+
+
 class _Chunks(dict):
-    """Packed ids of chunks of text between spaces; at most ``limit`` chunks are kept."""
+    """Packed ids of chunks of text between spaces.
+
+    Two generations of at most about ``limit`` chunks each: chunks still in use
+    move to the young one, so that common words are encoded once per worker.
+    """
 
     def __init__(self, path: str, limit: int) -> None:
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self._tokenizer, self._limit = Tokenizer.from_file(path), limit
+        self._tokenizer, self._limit, self._old = Tokenizer.from_file(path), limit, {}
 
     def fill(self, chunks: set[str]) -> None:
-        missing = [c for c in chunks if c not in self]
-        if len(self) + len(missing) > self._limit:
+        if len(self) > self._limit:
+            self._old = dict(self)
             self.clear()
             self[""] = b""
-            missing = [c for c in chunks if c]
+        split = []
+        for chunk in chunks:
+            if chunk not in self:
+                known = self._old.get(chunk)
+                if known is None:
+                    split.append((chunk, *_stem(chunk)))
+                else:
+                    self[chunk] = known
+        need = {part for _, *parts in split for part in parts if part not in self}
+        known = {part: self._old[part] for part in need if part in self._old}
+        self.update(known)
+        missing = list(need - known.keys())
         for at in range(0, len(missing), 20_000):
             block = missing[at:at + 20_000]
-            for chunk, code in zip(block, self._tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                self[chunk] = np.array(code.ids, "<u4").tobytes()
+            for part, code in zip(block, self._tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+                self[part] = np.array(code.ids, "<u4").tobytes()
+        for chunk, head, tail in split:
+            self[chunk] = self[head] + self[tail]
+
+
+def _stem(chunk: str) -> tuple[str, str]:
+    """A word and the punctuation behind it, whose ids in turn are those of the chunk.
+
+    Tokens never span a letter and punctuation behind it unless an apostrophe
+    is near, and case does not count; ``<`` may begin a special token.
+    """
+    head = chunk.rstrip(_TAIL)
+    if head == chunk or not head or not head[-1].isalpha() or "'" in chunk:
+        head = chunk
+    if head.isascii() and "<" not in head:
+        return head.lower(), chunk[len(head):]
+    return head, chunk[len(head):]
 
 
 def encoder(tokenizer_path: str, cache_limit: int = 400_000):
@@ -178,7 +212,7 @@ def fetch(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
     index and the frames of wanted documents are decompressed.
     """
     wanted = doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc_id")).distinct()
-    asked = directory(manifest).join(wanted, "doc_id").select("path", "doc_id", "first", "n_tokens")
+    asked = directory(manifest).hint("merge").join(wanted, "doc_id").select("path", "doc_id", "first", "n_tokens")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 

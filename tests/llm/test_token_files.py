@@ -23,14 +23,21 @@ def whole(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85\xa0'sStTeEΣσİ́<|endoftext>0aé"), st.characters(
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85\xa0'sStTeEΣσİ́<|endoftext>0aé.,;:!?#%&*$|̸"), st.characters(
     exclude_categories=("Cs",))), max_size=40))
 def test_chunks_encode_like_whole_texts(text):
     ids = np.frombuffer(op.encoder(PATH)([text])[0], "<u4").tolist()
     assert ids == whole(text)
 
 
+def test_cache_generations():
+    cache = op._Chunks(PATH, 3)
+    for words in (["The", "the.", "and"], ["or,", "if"], ["The", "x!!"], ["the.", "<|endoftext|>", "IT'S."]):
+        cache.fill(set(words))
+        assert [np.frombuffer(cache[w], "<u4").tolist() for w in words] == [whole(w) for w in words]
+
+
 def brute(docs):
     start, out = 0, []
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
