@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import as_bytes
+from millrace.llm.common import as_bytes, written
 from millrace.llm.quality_rules import STOP_WORDS
 
 FOLDS = 5
@@ -133,20 +133,25 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: flo
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Model:
-    """Fit on raw features: rank with a rough prior, estimate the prior on rows left out, fit again."""
+    """Fit on raw features: rank with a rough prior, estimate the prior on rows left out, fit again.
+
+    The prior is the median over several halvings, which steadies it on small samples.
+    """
     width = 2 * len(NAMES)
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(width), np.ones(width), None, 0.5)
     whole = np.concatenate([_expand(positive), _expand(unlabelled)])
     mean, scale = whole.mean(axis=0), whole.std(axis=0) + 1e-3
     p, u = (np.clip((_expand(x) - mean) / scale, -6, 6) for x in (positive, unlabelled))
+    priors = []
     if min(len(p), len(u)) >= 20:
         rng = np.random.default_rng(seed)
-        half_p, half_u = rng.random(len(p)) < 0.5, rng.random(len(u)) < 0.5
-        rough = fit_nnpu(p[half_p], u[half_u], 0.5, steps=200)
-        prior = estimate_prior(p[~half_p] @ rough[:-1], u[~half_u] @ rough[:-1])
-    else:
-        prior = 0.5
+        for _ in range(4):
+            in_p, in_u = rng.random(len(p)) < 0.5, rng.random(len(u)) < 0.5
+            for half_p, half_u in ((in_p, in_u), (~in_p, ~in_u)):
+                rough = fit_nnpu(p[half_p], u[half_u], 0.5, steps=100)
+                priors.append(estimate_prior(p[~half_p] @ rough[:-1], u[~half_u] @ rough[:-1]))
+    prior = float(np.median(priors)) if priors else 0.5
     return Model(mean, scale, fit_nnpu(p, u, prior), prior)
 
 
@@ -172,8 +177,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     n_good, n_docs = good.count(), docs.count()
-    picked = good.where(_share_of_hash(F.col("doc_id"), max_positive / max(1, n_good), 11)).withColumn(
-        "trusted", F.lit(True))
+    picked = written(good.where(_share_of_hash(F.col("doc_id"), max_positive / max(1, n_good), 11)).withColumn(
+        "trusted", F.lit(True)), "quality-positives")
+    if picked.count() <= 2 * max_positive:  # as the thinning makes sure but for odds; texts then stay where they are
+        picked = F.broadcast(picked)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = texts.join(picked, "doc_id", "left").where(F.col("trusted") | _share_of_hash(
         F.col("doc_id"), max_unlabelled / max(1, n_docs), 13)).select(
