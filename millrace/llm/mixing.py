@@ -100,6 +100,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, rounds:
     topic) reach the driver, which scales the two short margins; more than
     ``max_pairs`` of them is an error. A round is one small aggregation.
     """
+    if cells.isEmpty():
+        return cells.select("source", "lang", "topic", "tokens", F.lit(1.0).alias("ratio")), Fit({}, {}, 0, 0.0)
     targets = dict(targets or {})
     pairs = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(max_pairs + 1).collect()
     if len(pairs) > max_pairs:
@@ -116,7 +118,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, rounds:
     else:
         wanted = F.pow(F.col("n").cast("double"), TEMPER["source"])
     by_source = written(by_source.select("source", "cells", wanted.alias("wanted")), "mix-sources")
-    whole = by_source.agg(F.sum("wanted")).first()[0] or 1.0
+    whole = by_source.agg(F.sum("wanted")).first()[0]
     by_source = by_source.withColumn("wanted", F.col("wanted") / whole)
 
     fit = Fit({k: 1.0 for k in targets["lang"]}, {k: 1.0 for k in targets["topic"]}, 0, float("inf"))
@@ -135,8 +137,6 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, rounds:
         ))).alias("cell")).select("source", "cell.*")
 
     for fit.rounds in range(1, rounds + 1):
-        if not pairs:
-            break
         sums = {(r["lang"], r["topic"]): r["weight"] for r in fitted().groupBy("lang", "topic").agg(
             F.sum("weight").alias("weight")).collect()}
         fit.error = 0.0
@@ -152,7 +152,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping] | None = None, rounds:
             sums = {pair: weight * steps.get(pair[at], 1.0) for pair, weight in sums.items()}
         if fit.error < tolerance:
             break
-    total = sum(r["tokens"] for r in pairs) or 1
+    total = sum(r["tokens"] for r in pairs)
     return fitted().select("source", "lang", "topic", "tokens",
                            (F.col("weight") * float(total) / F.col("tokens")).alias("ratio")), fit
 
