@@ -26,8 +26,12 @@ def trend(df: DataFrame, unit: str, when: str, amount: str = "total_amount") ->
 
 
 def hourly_trend(df: DataFrame, when: str, day: Column, amount: str) -> DataFrame:
-    """Count and sum per hour of one day; the day is a range test on the bare column."""
-    start = F.date_trunc("day", day)
+    """Count and sum per hour of one day.
+
+    The day is a range test on the bare column: its bounds are cast to the
+    column's type, not the column to theirs, so that it reaches the scan.
+    """
+    start = F.date_trunc("day", day).cast(df.schema[when].dataType)
     one_day = df.filter((F.col(when) >= start) & (F.col(when) < start + F.expr("INTERVAL 1 DAY")))
     return one_day.groupBy(F.date_trunc("hour", when).alias("hour")).agg(
         F.count("*").alias("row_count"), F.sum(amount).alias("amount"))

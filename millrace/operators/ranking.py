@@ -69,10 +69,14 @@ def share_of_total(counts: DataFrame, value: str, name: str = "percentage",
     return counts.withColumn(name, F.round(exact, places))
 
 
-def latest_row(df: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
-    """The newest row per key (or of the whole input), as one partial aggregate."""
+def latest_row(df: DataFrame, keys: Sequence[str], order_by: str, tie: str | None = None) -> DataFrame:
+    """The newest row per key (or of the whole input), as one partial aggregate.
+
+    Of rows of the same time the one with the largest ``tie`` counts.
+    """
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(order_by)).alias("_row")
+    rank = F.struct(order_by, tie) if tie else F.col(order_by)
+    newest = F.max_by(F.struct(*rest), rank).alias("_row")
     picked = df.groupBy(*keys).agg(newest) if keys else df.agg(newest)
     return picked.select(*keys, "_row.*")
 

@@ -120,14 +120,22 @@ def kept_exports(manifest: DataFrame, now: Column, days: int) -> DataFrame:
 
 def restore(spark: SparkSession, root: str, data_set: str, export_id: str,
             target: str) -> DataFrame:
-    """Restore a data set from a recorded export and check the result against the manifest."""
+    """Restore a data set from a recorded export.
+
+    The export is checked against the manifest before ``target`` is touched, so
+    a damaged export leaves the data as they were; the copy is checked after.
+    """
     recorded = spark.read.parquet(f"{root}/manifest").filter(
         (F.col("export_id") == export_id) & (F.col("data_set") == data_set))
     if recorded.isEmpty():
         raise LookupError(f"no export {export_id} of {data_set}")
-    spark.read.parquet(f"{root}/{export_id}/{data_set}").write.mode("overwrite").parquet(target)
+    def check(df: DataFrame, what: str) -> None:
+        if fingerprint(df).join(recorded, ["row_count", "fingerprint"]).isEmpty():
+            raise ValueError(f"{what} {data_set} differs from its manifest")
+
+    exported = spark.read.parquet(f"{root}/{export_id}/{data_set}")
+    check(exported, "exported")
+    exported.write.mode("overwrite").parquet(target)
     restored = spark.read.parquet(target)
-    seal = fingerprint(restored)
-    if seal.join(recorded, ["row_count", "fingerprint"]).isEmpty():
-        raise ValueError(f"restored {data_set} differs from its manifest")
+    check(restored, "restored")
     return restored

@@ -157,11 +157,10 @@ def x2(spark, sf):
 
 @Q.add("X3_transformation_list", "product_category str, big_lines long, revenue dbl",
        f"""SELECT product_category, COUNT(*) AS big_lines, SUM(total_amount) AS revenue
-           FROM {LINES} AS l WHERE total_amount > 50000 GROUP BY 1
-           ORDER BY revenue DESC LIMIT 3""")
+           FROM {LINES} AS l WHERE total_amount > 50000 GROUP BY 1""")
 def x3(spark, sf):
     return etl.apply_all(ds.order_lines(spark, sf, "product_category", "total_amount"), [
         lambda df: df.filter("total_amount > 50000"),
         lambda df: df.groupBy("product_category").agg(F.count("*").alias("big_lines"),
                                                       F.sum("total_amount").alias("revenue")),
-        lambda df: df.orderBy(F.desc("revenue")).limit(3)])
+        lambda df: df.orderBy(F.desc("revenue"), "product_category")])

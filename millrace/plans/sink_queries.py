@@ -48,11 +48,11 @@ def k2(spark, sf):
 
 @Q.add("K3_append_results", "id long, prediction dbl, batch long",
        f"""SELECT id, cost * 2 AS prediction, 1 AS batch FROM {ITEMS} AS i WHERE domain = 'PROMO'
-           UNION ALL SELECT id, cost * 2, 2 FROM {ITEMS} AS i WHERE domain <> 'PROMO'""")
+           UNION ALL SELECT id, cost * 2, 2 FROM {ITEMS} AS i WHERE domain IS DISTINCT FROM 'PROMO'""")
 def k3(spark, sf):
     path = shared_folder(spark, "k3")
     scored = ds.items(spark, sf).select("id", (F.col("cost") * 2).alias("prediction"), "domain")
-    promo = F.col("domain") == "PROMO"
+    promo = F.col("domain").eqNullSafe("PROMO")  # never null, so both sides hold every row
     sinks.append_parquet(scored.filter(promo).withColumn("batch", F.lit(1)), path)
     sinks.append_parquet(scored.filter(~promo).withColumn("batch", F.lit(2)), path)
     return spark.read.parquet(path)
@@ -87,8 +87,9 @@ def k4(spark, sf):
        f"SELECT priority, COUNT(*) AS row_count FROM {ORDERS} AS o GROUP BY 1")
 def k5(spark, sf):
     o, table, path = ds.orders(spark, sf), _new_name("orders"), shared_folder(spark, "k5")
-    sinks.create_or_append(o.filter("total_amount < 250000"), table, path)
-    sinks.create_or_append(o.filter("total_amount >= 250000"), table, path)
+    small = F.coalesce(F.col("total_amount") < 250000, F.lit(False))  # never null: both sides hold every row
+    sinks.create_or_append(o.filter(small), table, path)
+    sinks.create_or_append(o.filter(~small), table, path)
     return spark.table(table).groupBy("priority").agg(F.count("*").alias("row_count"))
 
 

@@ -26,7 +26,7 @@ CUSTOMERS = """(SELECT c.c_custkey AS customer_id, c.c_name AS customer_name,
     || 'example.com' AS email,
   n.n_name AS country, c.c_mktsegment AS tier, c.c_nationkey,
   CAST(c.c_acctbal AS DECIMAL(12,2)) AS balance
-  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+  FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
 ORDERS = """(SELECT o_orderkey AS order_id, o_custkey AS customer_id,
   CAST(o_orderdate AS DATE) AS order_date, o_orderstatus AS order_status,

@@ -45,9 +45,9 @@ _ROLLING_COLUMNS = "window_start ts, event_type str, event_count long"
 @Q.add("R2_rolling_counts", _ROLLING_COLUMNS, _ROLLING_SQL)
 def r2(spark, sf):
     path = shared_folder(spark, "r2")
-    st.run_batches(st.hourly_counts(_event_stream(spark, sf)), path, st.store_batch(path),
-                   "update")
-    return st.rolling_counts(st.newest_per_key(st.stored(spark, path), ["hour", "event_type"]))
+    st.run_batches(_event_stream(spark, sf), path, st.hourly_batches(path))
+    return st.rolling_counts(st.merged(st.stored(spark, path), ["hour", "event_type"],
+                                       ["event_count"]))
 
 
 @Q.add("R2_rolling_counts_with_late_rows", _ROLLING_COLUMNS, _ROLLING_SQL)
@@ -79,12 +79,14 @@ def r3(spark, sf):
 def r4(spark, sf):
     path = shared_folder(spark, "r4")
 
-    def summary(batch):
-        return batch.agg(F.count("*").alias("total_events"),
-                         F.countDistinct(json_int("event_data", "$.k")).alias("unique_users"),
-                         F.sum("value").alias("total"))
+    def summary(user_rows):
+        return st.merged(user_rows, ["user_key"], ["events", "total"]).agg(
+            F.sum("events").alias("total_events"), F.count("user_key").alias("unique_users"),
+            F.sum("total").alias("total"))
 
-    st.run_batches(_event_stream(spark, sf), path, st.summary_log(summary, path))
+    st.run_batches(_event_stream(spark, sf), path, st.summary_log(
+        [json_int("event_data", "$.k").alias("user_key")],
+        [F.count("*").alias("events"), F.sum("value").alias("total")], summary, path))
     log = st.stored(spark, path)
     return log.orderBy(F.desc("created_at"), F.desc("batch_id")).limit(1)
 
@@ -124,7 +126,7 @@ def _sales_store(spark, sf):
         return batch.join(parts, "p_partkey").join(heads, "order_id")
 
     st.run_batches(lines, path, st.sales_batches(enrich, path))
-    return st.stored(spark, path)
+    return st.sales(st.stored(spark, path))
 
 
 @Q.add("R6_sales_batches", "batch_date str, product_category str, new_orders long, "

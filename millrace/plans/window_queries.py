@@ -126,11 +126,11 @@ def w8(spark, sf):
 
 @Q.add("W9_latest_row", "event_type str, event_id long, event_time ts, value dbl",
        f"""SELECT event_type, event_id, event_time, value FROM (SELECT *, ROW_NUMBER() OVER (
-             PARTITION BY event_type ORDER BY event_time DESC) AS rn FROM {EVENTS} AS e) AS r
+             PARTITION BY event_type ORDER BY event_time DESC, event_id DESC) AS rn FROM {EVENTS} AS e) AS r
            WHERE rn = 1""")
 def w9(spark, sf):
     e = ds.events(spark, sf).select("event_type", "event_id", "event_time", "value")
-    return ranking.latest_row(e, ["event_type"], "event_time")
+    return ranking.latest_row(e, ["event_type"], "event_time", tie="event_id")
 
 
 @Q.add("W10_top_rows_per_group", "tier str, rank long, customer_id long, balance dbl",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -90,7 +91,8 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 def read_first_nonempty(readers: Sequence[tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """The first source that can be read and holds a row, labelled with its name.
 
-    A source that fails to load counts as missing, like an empty one.
+    A missing path, table or column moves on to the next source, like an empty
+    one; any other failure is raised, since it says nothing about the data.
     """
     errors = []
     for name, reader in readers:
@@ -99,8 +101,8 @@ def read_first_nonempty(readers: Sequence[tuple[str, Callable[[], DataFrame]]])
             if not df.isEmpty():
                 return df.withColumn("source", F.lit(name))
             errors.append(f"{name}: empty")
-        except Exception as error:  # any failure of a source moves on to the next one
-            errors.append(f"{name}: {type(error).__name__}")
+        except AnalysisException as error:
+            errors.append(f"{name}: {error.getCondition()}")
     raise LookupError("no source holds data: " + ", ".join(errors))
 
 

@@ -158,13 +158,21 @@ def approximate_day_stats(events: DataFrame) -> DataFrame:
                     "approx_users"))
 
 
-def summary_log(summary: Callable[[DataFrame], DataFrame], path: str
+def summary_log(keys: Sequence[Column], sums: Sequence[Column],
+                summary: Callable[[DataFrame], DataFrame], path: str
                 ) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends one summary row per batch with its time."""
-    store = store_batch(path)
+    """A batch writer that appends, per batch, one timed summary of all batches so far.
+
+    Each batch's sums per key are stored, and ``summary`` gets the stored rows
+    of this batch and those before it, so the newest row covers everything.
+    """
+    partials = f"{path}/partials"
+    store_partial, store = partial_batches(keys, sums, partials), store_batch(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store(summary(batch).withColumn("created_at", F.current_timestamp()), batch_id)
+        store_partial(batch, batch_id)
+        so_far = stored(batch.sparkSession, partials).filter(F.col("batch_id") <= batch_id)
+        store(summary(so_far).withColumn("created_at", F.current_timestamp()), batch_id)
     return write
 
 
@@ -189,17 +197,25 @@ def sales_batches(enrich: Callable[[DataFrame], DataFrame], path: str
     ``enrich`` joins the batch to its dimensions and yields ``order_id,
     batch_date, product_category, total_amount``. It runs inside the batch,
     where adaptive execution may broadcast a small side or split a hot key,
-    which a plan of the stream itself could not. Lines are summed per order
-    first, so the distinct order count is a row count.
+    which a plan of the stream itself could not. A row per order is stored, so
+    an order whose lines arrive in several batches still counts once; ``sales``
+    adds the batches up when they are read.
     """
     store = store_batch(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         per_order = enrich(batch).groupBy("batch_date", "product_category", "order_id").agg(
             F.sum("total_amount").alias("amount"))
-        sales = per_order.groupBy("batch_date", "product_category").agg(
-            F.count("*").alias("new_orders"), F.sum("amount").alias("new_revenue"))
-        store(sales.withColumn("avg_new_order_value",
-                               ratio(F.col("new_revenue"), F.col("new_orders")))
-              .withColumn("processed_at", F.current_timestamp()), batch_id)
+        store(per_order.withColumn("processed_at", F.current_timestamp()), batch_id)
     return write
+
+
+def sales(order_rows: DataFrame) -> DataFrame:
+    """One row per day and category over all stored batches."""
+    days = ["batch_date", "product_category"]
+    per_order = order_rows.groupBy(*days, "order_id").agg(
+        F.sum("amount").alias("amount"), F.max("processed_at").alias("processed_at"))
+    return per_order.groupBy(*days).agg(
+        F.count("*").alias("new_orders"), F.sum("amount").alias("new_revenue"),
+        F.max("processed_at").alias("processed_at")).withColumn(
+        "avg_new_order_value", ratio(F.col("new_revenue"), F.col("new_orders")))

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import json_int
 from millrace.plans import etl
 from millrace.sources import generators as gen, readers, sinks
 from millrace.sources.shared import shared_folder
@@ -90,7 +91,8 @@ def test_export_refuses_unknown_and_changed_copies(spark):
         etl.restore(spark, root, "numbers", "e2", f"{root}/back2")
     df.filter("id < 99").write.mode("append").parquet(f"{root}/e1/numbers")
     with pytest.raises(ValueError, match="differs"):
-        etl.restore(spark, root, "numbers", "e1", f"{root}/back3")
+        etl.restore(spark, root, "numbers", "e1", f"{root}/back")
+    assert spark.read.parquet(f"{root}/back").count() == 100  # a damaged export touches nothing
 
 
 def test_fingerprint_ignores_order_but_not_repeats(spark):
@@ -150,6 +152,41 @@ def test_late_rows_count_in_partial_sums(spark, event_files):
     assert {r["total_events"] for r in st.day_stats(merged).collect()} == {40}
 
 
+def test_order_over_two_batches_counts_once(spark):
+    out = shared_folder(spark, "test-sales")
+    lines = spark.createDataFrame(
+        [(1, "2024-01-01", "a", 10), (1, "2024-01-01", "a", 5), (2, "2024-01-01", "a", 1), (1, "2024-01-01", "b", 2)],
+        "order_id LONG, batch_date STRING, product_category STRING, total_amount LONG")
+    write = st.sales_batches(lambda batch: batch, out)
+    for i, part in enumerate(("total_amount = 10", "total_amount = 5", "total_amount < 5")):
+        write(lines.filter(part), i)
+    write(lines.filter("total_amount < 5"), 2)  # a repeated batch
+    got = st.sales(st.stored(spark, out)).select("product_category", "new_orders", "new_revenue").collect()
+    assert sorted(map(tuple, got)) == [("a", 2, 16), ("b", 1, 2)]
+
+
+def test_newest_summary_covers_all_batches(spark, event_files):
+    path, rows = event_files
+    out = shared_folder(spark, "test-summary")
+
+    def summary(user_rows):
+        return st.merged(user_rows, ["user_key"], ["events"]).agg(
+            F.sum("events").alias("events"), F.count("user_key").alias("users"))
+
+    st.run_batches(st.file_stream(spark, path, EVENT_SCHEMA, files_per_batch=1), out, st.summary_log(
+        [json_int("event_data", "$.k").alias("user_key")], [F.count("*").alias("events")], summary, out))
+    log = st.stored(spark, out).orderBy("batch_id").collect()
+    assert [(r["events"], r["users"]) for r in log] == [(40, 7), (80, 7), (120, 7)]
+
+
+def test_splits_keep_null_rows(spark):
+    rows = spark.createDataFrame([(1, "PROMO", 5), (2, None, None), (3, "x", 300000)], "id INT, domain STRING, a INT")
+    promo = F.col("domain").eqNullSafe("PROMO")
+    small = F.coalesce(F.col("a") < 250000, F.lit(False))
+    for side in (promo, small):
+        assert rows.filter(side).count() + rows.filter(~side).count() == 3
+
+
 def test_restarted_stream_adds_nothing(spark, event_files):
     path, rows = event_files
     out = shared_folder(spark, "test-restart")

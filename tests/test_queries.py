@@ -10,8 +10,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from millrace.plans import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.all_queries(), catalog.all_sql()
 # Their Spark result has no SQL twin; invariants are tested elsewhere.
 ROWS_ONLY = {"F17_repeatable_random", "V18_kmeans_clusters", "V21_principal_plane"}
 
