@@ -99,9 +99,13 @@ def merge_changes(current: DataFrame, source: DataFrame, key: str, updated: Sequ
                   version: int) -> DataFrame:
     """Change rows of an upsert: matched keys take the ``updated`` columns, others are inserted.
 
-    A key that occurs twice in the source is an error, raised where it is found.
+    A key that occurs twice in the source is an error, raised where it is found,
+    and so is an updated column that the source lacks.
     """
     fields = [c for c in source.columns if c != key]
+    absent = sorted(set(updated) - set(fields))
+    if absent:
+        raise ValueError(f"updated columns that the source lacks: {absent}")
     single = source.groupBy(key).agg(F.count("*").alias("_n"),
                                      F.any_value(F.struct(*fields)).alias("_s"))
     checked = single.select(key, F.when(

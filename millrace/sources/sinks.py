@@ -81,8 +81,10 @@ def append_if_any(summary: DataFrame, count_column: str, path: str) -> None:
 
 
 def append_new_keys(df: DataFrame, existing: DataFrame, keys: Sequence[str], path: str) -> None:
-    """Append the rows whose key the target lacks."""
-    append_parquet(df.join(existing.select(*keys).distinct(), list(keys), "left_anti"), path)
+    """Append the rows whose key the target lacks, one row per key; null keys match each other."""
+    known = existing.select(*[F.col(k).alias(f"_known_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]
+    append_parquet(df.dropDuplicates(list(keys)).join(known, same, "left_anti"), path)
 
 
 def fan_out(df: DataFrame, *writers: Callable[[DataFrame], object]) -> None:

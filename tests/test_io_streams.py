@@ -79,6 +79,11 @@ def test_append_new_keys_only(spark):
                           spark.read.parquet(path), ["k"], path)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [
         ("a", 1), ("b", 2), ("c", 3)]
+    for _ in range(2):
+        sinks.append_new_keys(spark.createDataFrame([(None, 5), (None, 5), ("c", 4)], "k STRING, v INT"),
+                              spark.read.parquet(path), ["k"], path)
+    assert spark.read.parquet(path).filter("k IS NULL").count() == 1
+    assert spark.read.parquet(path).count() == 4
 
 
 def test_export_refuses_unknown_and_changed_copies(spark):
