@@ -12,9 +12,13 @@ from millrace.functions.scalars import mean_of, percent_change, trunc_date
 
 def revenue_by(df: DataFrame, keys: Sequence[str | Column], amount: str = "total_amount",
                count_name: str = "order_count", total_name: str = "total_revenue",
-               mean_name: str | None = "avg_order_value") -> DataFrame:
-    """Row count, exact total and mean of an amount per key."""
-    out = df.groupBy(*keys).agg(F.count("*").alias(count_name), F.sum(amount).alias(total_name))
+               mean_name: str | None = "avg_order_value", rows: str | None = None) -> DataFrame:
+    """Row count, exact total and mean of an amount per key.
+
+    ``rows`` names a column that says how many rows a presummed row stands for.
+    """
+    count = F.count("*") if rows is None else F.sum(rows)
+    out = df.groupBy(*keys).agg(count.alias(count_name), F.sum(amount).alias(total_name))
     if mean_name:
         out = out.withColumn(mean_name, mean_of(F.col(total_name), F.col(count_name)))
     return out
@@ -37,10 +41,12 @@ def hourly_trend(df: DataFrame, when: str, day: Column, amount: str) -> DataFram
         F.count("*").alias("row_count"), F.sum(amount).alias("amount"))
 
 
-def product_performance(lines: DataFrame) -> DataFrame:
-    out = lines.groupBy("product_name").agg(
-        F.count("*").alias("order_count"), F.sum("quantity").alias("total_quantity"),
-        F.sum("total_amount").alias("total_revenue"), F.sum("unit_price").alias("_prices"))
+def product_performance(sums: DataFrame) -> DataFrame:
+    """Lines, quantity, revenue and mean line price per product name, from sums of order lines."""
+    out = sums.groupBy("product_name").agg(
+        F.sum("line_count").alias("order_count"), F.sum("quantity").alias("total_quantity"),
+        F.sum("total_amount").alias("total_revenue"),
+        F.sum(F.col("unit_price") * F.col("line_count")).alias("_prices"))
     return out.withColumn("avg_price", mean_of(F.col("_prices"), F.col("order_count"))).drop(
         "_prices")
 
@@ -53,11 +59,15 @@ def kpi_totals(df: DataFrame, sums: Sequence[str], mean: str) -> DataFrame:
         "_sum", "_count")
 
 
-def distinct_totals(df: DataFrame, distinct: str, amount: str, approximate: bool = False
-                    ) -> DataFrame:
-    """Rows, distinct values of a column and total; the estimate spares a shuffle of the values."""
+def distinct_totals(df: DataFrame, distinct: str, amount: str, approximate: bool = False,
+                    rows: str | None = None) -> DataFrame:
+    """Rows, distinct values of a column and total; the estimate spares a shuffle of the values.
+
+    ``rows`` names a column that says how many rows a presummed row stands for.
+    """
+    total = F.count("*") if rows is None else F.sum(rows)
     count = F.approx_count_distinct(distinct) if approximate else F.countDistinct(distinct)
-    return df.agg(F.count("*").alias("total_records"), count.alias("distinct_values"),
+    return df.agg(total.alias("total_records"), count.alias("distinct_values"),
                   F.sum(amount).alias("total_revenue"))
 
 

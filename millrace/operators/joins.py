@@ -40,15 +40,15 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str,
 
 
 def cross_source_summary(relational: DataFrame, lake: DataFrame, key: str,
-                         relational_amount: str, lake_amount: str,
+                         relational_amount: str, lake_amount: str, lake_rows: str,
                          also: Sequence[str]) -> DataFrame:
-    """Per-key totals of a relational source beside those of lake files.
+    """Per-key totals of a relational source beside those of presummed lake files.
 
     Both sides are reduced to one row per key before they meet, which gives the
     same sums as joining the lake rows and grouping afterwards.
     """
     left = relational.groupBy(key, *also).agg(F.sum(relational_amount).alias("relational_total"))
-    right = lake.groupBy(key).agg(F.count(lake_amount).alias("_n"),
+    right = lake.groupBy(key).agg(F.sum(lake_rows).alias("_n"),
                                   F.sum(lake_amount).alias("lake_total"))
     return left.join(right, key, "left").withColumn(
         "lake_count", F.coalesce("_n", F.lit(0))).drop("_n")

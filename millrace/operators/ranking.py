@@ -70,15 +70,15 @@ def share_of_total(counts: DataFrame, value: str, name: str = "percentage",
 
 
 def latest_row(df: DataFrame, keys: Sequence[str], order_by: str, tie: str | None = None) -> DataFrame:
-    """The newest row per key (or of the whole input), as one partial aggregate.
+    """The newest row per key (or of the whole input).
 
-    Of rows of the same time the one with the largest ``tie`` counts.
+    Of rows of the same time the one with the largest ``tie`` counts. Each task
+    keeps its newest row of a key before the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(order_by, tie) if tie else F.col(order_by)
-    newest = F.max_by(F.struct(*rest), rank).alias("_row")
-    picked = df.groupBy(*keys).agg(newest) if keys else df.agg(newest)
-    return picked.select(*keys, "_row.*")
+    order = [F.desc(order_by), *([F.desc(tie)] if tie else [])]
+    if not keys:
+        return df.orderBy(*order).limit(1)
+    return top_n_per_group(df, keys, order, 1, F.col(tie or order_by), "_n").drop("_n")
 
 
 def most_frequent(df: DataFrame, groups: Sequence[str], value: str, name: str,

@@ -51,7 +51,7 @@ def e1(spark, sf):
            FROM {CUSTOMERS} c LEFT JOIN {ORDERS} o ON c.customer_id = o.customer_id GROUP BY 1""")
 def e2(spark, sf):
     base = shared_folder(spark, "e2")
-    ds.customers(spark, sf).select("customer_id", "customer_name", "email", "country").write.option(
+    ds.customers(spark, sf, country=True).select("customer_id", "customer_name", "email", "country").write.option(
         "header", True).csv(f"{base}/customers")
     ds.orders(spark, sf).write.option("header", True).csv(f"{base}/orders")
     customers = readers.read_csv(spark, f"{base}/customers", "customer_id BIGINT, "
@@ -159,8 +159,9 @@ def x2(spark, sf):
        f"""SELECT product_category, COUNT(*) AS big_lines, SUM(total_amount) AS revenue
            FROM {LINES} AS l WHERE total_amount > 50000 GROUP BY 1""")
 def x3(spark, sf):
-    return etl.apply_all(ds.order_lines(spark, sf, "product_category", "total_amount"), [
+    return etl.apply_all(ds.order_lines(spark, sf), [
         lambda df: df.filter("total_amount > 50000"),
-        lambda df: df.groupBy("product_category").agg(F.count("*").alias("big_lines"),
+        lambda df: ds.line_sums(spark, sf, "product_category", lines=df),
+        lambda df: df.groupBy("product_category").agg(F.sum("line_count").alias("big_lines"),
                                                       F.sum("total_amount").alias("revenue")),
         lambda df: df.orderBy(F.desc("revenue"), "product_category")])

@@ -23,7 +23,7 @@ Q = QuerySet()
            SUM(o.total_amount) AS total_amount FROM {CUSTOMERS} c
            LEFT JOIN {ORDERS} o ON c.customer_id = o.customer_id GROUP BY 1, 2""")
 def j1(spark, sf):
-    out = joins.parent_totals(ds.customers(spark, sf), ds.orders(spark, sf), "customer_id",
+    out = joins.parent_totals(ds.customers(spark, sf, country=True), ds.orders(spark, sf), "customer_id",
                               "customer_id", ["customer_name", "country"], "total_amount")
     return out.withColumnsRenamed({"child_count": "order_count", "total": "total_amount"})
 
@@ -39,10 +39,10 @@ def j1(spark, sf):
 def j2(spark, sf):
     per_customer = ds.orders(spark, sf).groupBy("customer_id").agg(
         F.sum("total_amount").alias("amount"))
-    relational = ds.customers(spark, sf).join(per_customer, "customer_id", "left")
-    lake = ds.order_lines(spark, sf, "customer_name", "total_amount")
+    relational = ds.customers(spark, sf, country=True).join(per_customer, "customer_id", "left")
+    lake = ds.line_sums(spark, sf, "customer_name")
     return joins.cross_source_summary(relational, lake, "customer_name", "amount",
-                                      "total_amount", ["country"])
+                                      "total_amount", "line_count", ["country"])
 
 
 @Q.add("J3_orphan_orders", "order_id long, customer_id long",
@@ -78,8 +78,8 @@ def a1(spark, sf):
            {mean('total_amount')} AS avg_order_value FROM {LINES} AS l GROUP BY 1
            ORDER BY revenue DESC""")
 def a2(spark, sf):
-    lines = ds.order_lines(spark, sf, "product_category", "total_amount")
-    return agg.revenue_by(lines, ["product_category"], total_name="revenue").orderBy(
+    sums = ds.line_sums(spark, sf, "product_category")
+    return agg.revenue_by(sums, ["product_category"], total_name="revenue", rows="line_count").orderBy(
         F.desc_nulls_last("revenue"))
 
 
@@ -87,10 +87,10 @@ def a2(spark, sf):
        f"""SELECT product_category, SUM(total_amount) AS total_revenue, COUNT(*) AS order_count
            FROM {LINES} AS l GROUP BY 1""")
 def a3(spark, sf):
-    lines = ds.order_lines(spark, sf, "product_category", "total_amount")
-    return (lines.groupBy("product_category").agg({"total_amount": "sum", "*": "count"})
+    sums = ds.line_sums(spark, sf, "product_category")
+    return (sums.groupBy("product_category").agg({"total_amount": "sum", "line_count": "sum"})
             .withColumnsRenamed({"sum(total_amount)": "total_revenue",
-                                 "count(1)": "order_count"}))
+                                 "sum(line_count)": "order_count"}))
 
 
 @Q.add("A4_product_region_sales", "product_name str, ship_state str, total_sales dbl, "
@@ -98,18 +98,18 @@ def a3(spark, sf):
        f"""SELECT product_name, ship_state, SUM(total_amount) AS total_sales,
            COUNT(*) AS sale_count FROM {LINES} AS l GROUP BY 1, 2""")
 def a4(spark, sf):
-    lines = ds.order_lines(spark, sf, "product_name", "ship_state", "total_amount")
-    return agg.revenue_by(lines, ["product_name", "ship_state"], count_name="sale_count",
-                          total_name="total_sales", mean_name=None)
+    sums = ds.line_sums(spark, sf, "product_name", "ship_state")
+    return agg.revenue_by(sums, ["product_name", "ship_state"], count_name="sale_count",
+                          total_name="total_sales", mean_name=None, rows="line_count")
 
 
 @Q.add("A5_region_totals", "ship_state str, total_sales dbl, sale_count long",
        f"""SELECT ship_state, SUM(total_amount) AS total_sales, COUNT(*) AS sale_count
            FROM {LINES} AS l GROUP BY 1""")
 def a5(spark, sf):
-    lines = ds.order_lines(spark, sf, "ship_state", "total_amount")
-    return agg.revenue_by(lines, ["ship_state"], count_name="sale_count",
-                          total_name="total_sales", mean_name=None)
+    sums = ds.line_sums(spark, sf, "ship_state")
+    return agg.revenue_by(sums, ["ship_state"], count_name="sale_count",
+                          total_name="total_sales", mean_name=None, rows="line_count")
 
 
 def _trend_sql(unit: str) -> str:
@@ -145,8 +145,7 @@ def a8(spark, sf):
            SUM(total_amount) AS total_revenue, {mean('unit_price')} AS avg_price
            FROM {LINES} AS l GROUP BY 1""")
 def a9(spark, sf):
-    return agg.product_performance(ds.order_lines(
-        spark, sf, "product_name", "quantity", "unit_price", "total_amount"))
+    return agg.product_performance(ds.line_sums(spark, sf, "product_name", "unit_price"))
 
 
 @Q.add("A10_country_analytics", "country str, customer_count long, total_orders long, "
@@ -156,7 +155,7 @@ def a9(spark, sf):
            {mean('o.total_amount', 'COUNT(o.order_id)')} AS avg_order_value
            FROM {CUSTOMERS} c LEFT JOIN {ORDERS} o ON c.customer_id = o.customer_id GROUP BY 1""")
 def a10(spark, sf):
-    out = joins.parent_totals(ds.customers(spark, sf), ds.orders(spark, sf), "customer_id",
+    out = joins.parent_totals(ds.customers(spark, sf, country=True), ds.orders(spark, sf), "customer_id",
                               "customer_id", ["country"], "total_amount")
     return out.withColumnsRenamed({
         "parent_count": "customer_count", "child_count": "total_orders",
@@ -171,7 +170,7 @@ def a10(spark, sf):
            COALESCE({mean('o.total_amount', 'COUNT(o.order_id)')}, 0) AS avg_order_value
            FROM {CUSTOMERS} c LEFT JOIN {ORDERS} o ON c.customer_id = o.customer_id GROUP BY 1""")
 def a11(spark, sf):
-    out = joins.parent_totals(ds.customers(spark, sf), ds.orders(spark, sf), "customer_id",
+    out = joins.parent_totals(ds.customers(spark, sf, country=True), ds.orders(spark, sf), "customer_id",
                               "customer_id", ["country"], "total_amount")
     return out.select(
         F.col("country").alias("city"), F.col("joined_rows").alias("customer_count"),
@@ -185,8 +184,8 @@ def a11(spark, sf):
        f"""SELECT COUNT(*) AS total_records, COUNT(DISTINCT product_category) AS categories,
            SUM(total_amount) AS total_revenue FROM {LINES} AS l""")
 def a12(spark, sf):
-    lines = ds.order_lines(spark, sf, "product_category", "total_amount")
-    return agg.distinct_totals(lines, "product_category", "total_amount").withColumnRenamed(
+    sums = ds.line_sums(spark, sf, "product_category")
+    return agg.distinct_totals(sums, "product_category", "total_amount", rows="line_count").withColumnRenamed(
         "distinct_values", "categories")
 
 

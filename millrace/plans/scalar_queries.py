@@ -19,7 +19,7 @@ Q = QuerySet()
 @Q.add("P1_projection", "id long, name str, country str",
        f"SELECT customer_id AS id, customer_name AS name, country FROM {CUSTOMERS} AS c")
 def p1(spark, sf):
-    return ds.customers(spark, sf).select(F.col("customer_id").alias("id"),
+    return ds.customers(spark, sf, country=True).select(F.col("customer_id").alias("id"),
                                           F.col("customer_name").alias("name"), "country")
 
 
@@ -108,8 +108,10 @@ def p8(spark, sf):
            FROM {LINES} AS l GROUP BY 1
            HAVING SUM(CASE WHEN total_amount > 90000 THEN 1 ELSE 0 END) > 0""")
 def p9(spark, sf):
-    return ds.order_lines(spark, sf, "product_name", "total_amount").groupBy("product_name").agg(
-        F.count_if(F.col("total_amount") > 90000).alias("big_lines")).filter("big_lines > 0")
+    big = ds.order_lines(spark, sf).withColumn("total_amount", F.when(
+        F.col("total_amount") > 90000, F.lit(1).cast("decimal(12,2)")))
+    return ds.line_sums(spark, sf, "product_name", lines=big).groupBy("product_name").agg(
+        F.sum("total_amount").alias("big_lines")).filter("big_lines > 0")
 
 
 @Q.add("P10_dropdown_filter", "domain str, item_count long, total_cost dbl",
@@ -165,7 +167,7 @@ def f1(spark, sf):
 def f2(spark, sf):
     big = ds.orders(spark, sf).filter("total_amount > 499000").groupBy("customer_id").agg(
         F.sum("total_amount").alias("amount"))
-    return ds.customers(spark, sf).join(big, "customer_id", "left").groupBy("country").agg(
+    return ds.customers(spark, sf, country=True).join(big, "customer_id", "left").groupBy("country").agg(
         F.coalesce(F.sum("amount"), F.lit(0)).alias("big_order_revenue"))
 
 
@@ -238,7 +240,7 @@ def f8(spark, sf):
        f"SELECT customer_id, 'Customer ' || customer_id || ' from ' || country AS label "
        f"FROM {CUSTOMERS} AS c")
 def f9(spark, sf):
-    return ds.customers(spark, sf).select("customer_id", F.concat(
+    return ds.customers(spark, sf, country=True).select("customer_id", F.concat(
         F.lit("Customer "), F.col("customer_id").cast("string"), F.lit(" from "),
         F.col("country")).alias("label"))
 

@@ -21,8 +21,8 @@ _CATEGORY_COLUMNS = "product_category str, order_count long, total_revenue dbl"
 
 
 def _category_revenue(spark, sf):
-    return agg.revenue_by(ds.order_lines(spark, sf, "product_category", "total_amount"),
-                          ["product_category"], mean_name=None)
+    return agg.revenue_by(ds.line_sums(spark, sf, "product_category"), ["product_category"],
+                          mean_name=None, rows="line_count")
 
 
 def _new_name(label):
@@ -39,7 +39,7 @@ def k1(spark, sf):
            COALESCE(SUM(o.total_amount), 0) AS total_revenue FROM {CUSTOMERS} c
            LEFT JOIN {ORDERS} o ON c.customer_id = o.customer_id GROUP BY 1""")
 def k2(spark, sf):
-    report = joins.parent_totals(ds.customers(spark, sf), ds.orders(spark, sf), "customer_id",
+    report = joins.parent_totals(ds.customers(spark, sf, country=True), ds.orders(spark, sf), "customer_id",
                                  "customer_id", ["country"], "total_amount").select(
         F.col("country").alias("city"), F.col("joined_rows").alias("customer_count"),
         F.coalesce("total", F.lit(0)).alias("total_revenue"))
@@ -66,10 +66,9 @@ def k3(spark, sf):
            SELECT 'bucket', 'rows', COUNT(*) FROM {CUSTOMERS} AS c""")
 def k4(spark, sf):
     by_status = sinks.write_partitioned(ds.orders(spark, sf), shared_folder(spark, "k4-status"),
-                                        ["order_status"], F.col("order_id"))
-    by_day = sinks.write_partitioned(
-        sinks.by_day(ds.events(spark, sf), "event_time"), shared_folder(spark, "k4-day"),
-        ["event_day"], F.col("event_id"))
+                                        ["order_status"])
+    by_day = sinks.write_partitioned(sinks.by_day(ds.events(spark, sf), "event_time"),
+                                     shared_folder(spark, "k4-day"), ["event_day"])
     bucketed = sinks.save_bucketed(ds.customers(spark, sf), _new_name("users"),
                                    shared_folder(spark, "k4-bucket"), "customer_id", 16)
 
@@ -103,10 +102,11 @@ def k6(spark, sf):
        f"""SELECT product_category, CAST(DATE_TRUNC('month', order_date) AS DATE) AS month,
            COUNT(*) AS orders, SUM(total_amount) AS revenue FROM {LINES} AS l GROUP BY 1, 2""")
 def k7(spark, sf):
-    lines = ds.order_lines(spark, sf, "product_category", "order_date", "total_amount")
+    sums = ds.line_sums(spark, sf, "product_category", "order_date")
     summary = agg.revenue_by(
-        lines, ["product_category", F.date_trunc("month", "order_date").cast("date")
-                .alias("month")], count_name="orders", total_name="revenue", mean_name=None)
+        sums, ["product_category", F.date_trunc("month", "order_date").cast("date")
+                .alias("month")], count_name="orders", total_name="revenue", mean_name=None,
+        rows="line_count")
     return sinks.replace_view(spark, "millrace_sales_summary", summary)
 
 

@@ -86,7 +86,7 @@ def s6(spark, sf):
     return readers.bound_query(
         spark, "SELECT country, count(*) AS customers FROM {customers} "
         "WHERE balance BETWEEN :low AND :high GROUP BY country", {"low": 1000, "high": 5000},
-        customers=ds.customers(spark, sf))
+        customers=ds.customers(spark, sf, country=True))
 
 
 @Q.add("S7_registered_frame", "tier str, customers long",

@@ -1,4 +1,4 @@
-"""The star schema behind the queries: order lines, order facts and small views.
+"""The star schema behind the queries: order line sums, order facts and small views.
 
 Each builder reads only the columns it hands on and joins only the dimensions
 those columns live in. The dimensions carry no broadcast hint: Catalyst
@@ -17,27 +17,21 @@ _FROM_PART = {"product_name", "product_category", "unit_price"}
 _FROM_CUSTOMER = {"customer_name"}
 _FROM_NATION = {"ship_city"}
 _FROM_REGION = {"ship_state"}
-_FROM_LINE = {"order_id", "line_number", "quantity", "total_amount"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the input has fewer splits than that.
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document ids and whole texts.
 
-    For work that is heavy per row on a few small files. An input with enough
-    splits of its own is returned as it is, so large tables are not shuffled.
+    Read in the splits of the files. A session whose files hold few row groups may set
+    ``spark.millrace.textPartitions`` to have the rows dealt out to that many tasks.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document ids and whole texts."""
-    return spread(table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), "text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    tasks = spark.conf.get("spark.millrace.textPartitions", None)
+    return docs.repartition(int(tasks)) if tasks else docs
 
 
 def last_order_day(spark: SparkSession, sf_dir: str) -> Column:
@@ -49,18 +43,23 @@ def last_event_time(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer, with its country if it has one; an overdrawn account's e-mail lacks the @ sign."""
+def customers(spark: SparkSession, sf_dir: str, country: bool = False) -> DataFrame:
+    """Every customer; an overdrawn account's e-mail lacks the @ sign.
+
+    With ``country`` the nations are joined, and a customer without one has NULL there.
+    """
     c = table(spark, sf_dir, "customer")
-    n = table(spark, sf_dir, "nation")
     address = F.concat(
         F.translate(F.lower("c_name"), "#", "_"),
         F.when(F.col("c_acctbal") < 0, "").otherwise("@"), F.lit("example.com"))
-    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"),
-        address.alias("email"), F.col("n_name").alias("country"),
-        F.col("c_mktsegment").alias("tier"), money("c_acctbal").alias("balance"),
-        "c_nationkey")
+    columns = [F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"),
+               address.alias("email"), F.col("c_mktsegment").alias("tier"),
+               money("c_acctbal").alias("balance"), "c_nationkey"]
+    if country:
+        n = table(spark, sf_dir, "nation")
+        c = c.join(n, c.c_nationkey == n.n_nationkey, "left")
+        columns.insert(3, F.col("n_name").alias("country"))
+    return c.select(*columns)
 
 
 def orders(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
@@ -75,32 +74,52 @@ def orders(spark: SparkSession, sf_dir: str, since: Column | None = None) -> Dat
         F.col("o_orderpriority").alias("priority"), money("o_totalprice").alias("total_amount"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str, *columns: str,
-                since: Column | None = None) -> DataFrame:
-    """One row per order line with the asked columns and only the joins they need."""
-    wanted = set(columns)
-    unknown = wanted - (_FROM_LINE | _FROM_ORDERS | _FROM_PART | _FROM_CUSTOMER
-                        | _FROM_NATION | _FROM_REGION)
-    if unknown:
-        raise ValueError(f"unknown order line columns: {sorted(unknown)}")
-    line = table(spark, sf_dir, "lineitem").select(
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw order lines with the keys of their order and product."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part_id"),
-        F.col("l_linenumber").alias("line_number"),
         F.col("l_quantity").cast("int").alias("quantity"),
         money("l_extendedprice").alias("total_amount"))
+
+
+def line_sums(spark: SparkSession, sf_dir: str, *columns: str,
+              lines: DataFrame | None = None) -> DataFrame:
+    """Order lines summed per product, per order or per both, with the asked columns beside them.
+
+    Columns: ``columns``, ``line_count``, ``quantity`` and ``total_amount``. Lines are summed on
+    the keys of the joins that ``columns`` need, before those joins: a product or order that
+    owns a large part of all lines leaves each map task as one row. Sums and counts of these
+    rows are exactly those of the lines. ``lines`` are all order lines unless given.
+    """
+    wanted = set(columns)
+    unknown = wanted - (_FROM_ORDERS | _FROM_PART | _FROM_CUSTOMER | _FROM_NATION | _FROM_REGION)
+    if unknown:
+        raise ValueError(f"unknown order line columns: {sorted(unknown)}")
+    keys = (["part_id"] if wanted & _FROM_PART else []) + (["order_id"] if wanted - _FROM_PART else [])
+    lines = order_lines(spark, sf_dir) if lines is None else lines
+    sums = lines.groupBy(*keys).agg(
+        F.count("*").alias("line_count"), F.sum("quantity").alias("quantity"),
+        F.sum("total_amount").alias("total_amount"))
+    return _with_dimensions(spark, sf_dir, sums, wanted).select(
+        *columns, "line_count", "quantity", "total_amount")
+
+
+def _with_dimensions(spark: SparkSession, sf_dir: str, line: DataFrame,
+                     wanted: set[str]) -> DataFrame:
+    """Joins to rows with ``part_id`` or ``order_id`` the dimensions that hold the wanted columns."""
     if wanted & _FROM_PART:
         part = table(spark, sf_dir, "part").select(
             F.col("p_partkey").alias("part_id"), F.col("p_name").alias("product_name"),
             F.col("p_type").alias("product_category"), money("p_retailprice").alias("unit_price"))
         line = line.join(part, "part_id")
     needs_place = bool(wanted & (_FROM_NATION | _FROM_REGION))
-    if since is not None or wanted & _FROM_ORDERS or wanted & _FROM_CUSTOMER or needs_place:
-        head = orders(spark, sf_dir, since).select(
+    if wanted & _FROM_ORDERS or wanted & _FROM_CUSTOMER or needs_place:
+        head = orders(spark, sf_dir).select(
             "order_id", "customer_id", "order_date", "order_status")
         if wanted & _FROM_CUSTOMER or needs_place:
             head = head.join(_customer_places(spark, sf_dir, wanted), "customer_id")
         line = line.join(head, "order_id")
-    return line.select(*columns)
+    return line
 
 
 def _customer_places(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
@@ -126,7 +145,7 @@ def _order_amounts(spark: SparkSession, sf_dir: str, since: Column | None) -> Da
     order count turns into a row count. With ``since`` the lines of older
     orders are dropped before any of that.
     """
-    lines = order_lines(spark, sf_dir, "order_id", "product_category", "total_amount")
+    lines = _with_dimensions(spark, sf_dir, order_lines(spark, sf_dir), {"product_category"})
     if since is not None:
         lines = lines.join(orders(spark, sf_dir, since).select("order_id"), "order_id",
                            "left_semi")

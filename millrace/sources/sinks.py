@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def overwrite_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -28,29 +28,30 @@ def append_to_database(df: DataFrame, url: str, table: str, **options: str) -> N
 
 
 def by_day(df: DataFrame, timestamp: str, name: str = "event_day") -> DataFrame:
-    """Adds the day column a time-partitioned table is laid out by.
-
-    Rows are spread by (day, hash) before the write, so a day that holds much
-    of the data is written by many tasks and not by one.
-    """
+    """Adds the day column a time-partitioned table is laid out by."""
     return df.withColumn(name, F.col(timestamp).cast("date"))
 
 
-def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], spread: Column,
-                      files_per_partition: int = 8) -> DataFrame:
-    """Write a partitioned table with at most ``files_per_partition`` files for each value.
+def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str],
+                      rows_per_file: int = 5_000_000) -> DataFrame:
+    """Write a partitioned table in few files for each value.
 
-    The shuffle key is the partition value plus a hash slot of a row id, so the
-    rows of a heavy value go to several tasks.
+    The rows are rebalanced by the partition values: adaptive execution joins
+    small shuffle partitions and splits those of a heavy value by their size,
+    so that it is written by as many tasks as it needs.
     """
-    slot = F.pmod(F.xxhash64(spread), F.lit(files_per_partition))
-    laid_out = df.withColumn("_slot", slot).repartition(*partition_by, "_slot").drop("_slot")
-    return overwrite_parquet(laid_out, path, partition_by)
+    laid_out = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    laid_out.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(
+        *partition_by).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
-    """A bucketed and sorted table: joins and aggregates on ``key`` then need no shuffle."""
-    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    """A bucketed and sorted table: joins and aggregates on ``key`` then need no shuffle.
+
+    The rows are shuffled by bucket first, so that each bucket is one file.
+    """
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
      .option("path", path).saveAsTable(table))
     return df.sparkSession.table(table)
 

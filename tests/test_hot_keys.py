@@ -25,7 +25,8 @@ HOT = {
         ELSE event_type END AS event_type, value, CASE WHEN event_id % 3 = 0
         THEN '{{"k": 1}}' ELSE props END AS props FROM '{p}'""",
 }
-NAMES = ["J1_customer_orders", "J2_cross_source_customers", "J3_orphan_orders", "J4_order_facts",
+NAMES = ["A2_category_revenue", "A4_product_region_sales", "A9_product_performance",
+         "K7_dashboard_view", "X3_transformation_list", "J1_customer_orders", "J2_cross_source_customers", "J3_orphan_orders", "J4_order_facts",
          "A10_country_analytics", "A15_id_lists", "A26_dominant_value", "A36_daily_event_stats",
          "W10_top_rows_per_group", "Q6_check_suite", "V2_nearest", "V8_tfidf",
          "V11_semantic_search", "V13_similarity_blocks", "V19_cluster_profile", "R3_day_stats",

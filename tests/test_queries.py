@@ -56,6 +56,24 @@ def test_query(name, spark, sf_dir, duck):
     assert mine == theirs
 
 
+@pytest.mark.parametrize("name", ["A2_category_revenue", "A4_product_region_sales", "A9_product_performance",
+                                  "J2_cross_source_customers", "K7_dashboard_view", "P9_having"])
+def test_lines_are_summed_below_the_joins(name, spark, sf_dir):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset(limit)
+    below, depth = plan.splitlines(), None
+    at = next(i for i, line in enumerate(below) if "lineitem.parquet" in line)
+    for line in reversed(below[:at]):  # the nearest operator above the scan that is no projection or filter
+        if "Aggregate" in line or "Join" in line:
+            depth = line
+            break
+    assert "HashAggregate" in depth
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["order_date", "daily_revenue", "average", "z_score", "status"]
