@@ -1,157 +1,158 @@
-"""Versioned tables as change logs: time travel, evolution, upsert, rollback, maintenance.
+"""Versions of a table as frames: evolution, upsert, delete, diff, time travel, rollback.
 
-A log is an ordinary frame (or partitioned Parquet folder) of change rows: the
-table's columns, ``_op`` ('put' or 'delete') and ``_version``. The state of the
-table at a version is the newest change of every key up to it, which is one
-aggregate; nothing here keeps state outside the rows. On a catalog with a table
-format, its own ``MERGE`` and ``VERSION AS OF`` serve instead.
-
-One writer at a time: a commit writes its change rows first and its row in the
-commit table last, and readers skip versions that have no commit row.
+The first part works on states: frames with one row per key. The second part
+works on a change log, an ordinary frame of change rows: the table's columns,
+``_op`` ('put' or 'delete') and ``_version``. Nothing here stores anything; on
+a catalog with a table format, its own ``MERGE`` and ``VERSION AS OF`` serve.
+A null key matches no other, as in SQL.
 """
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-COMMITS = ("version BIGINT, committed_at TIMESTAMP, operation STRING")
+# States --------------------------------------------------------------------------------------
 
 
-def puts(rows: DataFrame, version: int) -> DataFrame:
-    return rows.withColumn("_op", F.lit("put")).withColumn("_version", F.lit(version).cast("long"))
+def evolve(*parts: DataFrame) -> DataFrame:
+    """One frame of parts with different columns; a row without a column reads NULL there."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
-def deletes(rows: DataFrame, version: int) -> DataFrame:
-    return rows.withColumn("_op", F.lit("delete")).withColumn(
-        "_version", F.lit(version).cast("long"))
+def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Read through a name map, so a rename touches no stored file."""
+    return df.withColumnsRenamed(dict(names))
 
 
-def evolve(*logs: DataFrame) -> DataFrame:
-    """One log of parts with different columns; a row without a column reads NULL there."""
-    out = logs[0]
-    for log in logs[1:]:
-        out = out.unionByName(log, allowMissingColumns=True)
-    return out
+def delete_where(state: DataFrame, condition: Column) -> DataFrame:
+    """The state without the rows a condition selects; a row for which it is unknown stays."""
+    return state.filter(~F.coalesce(condition, F.lit(False)))
 
 
-def _newest(columns: Sequence[str], until: Column | None) -> Column:
-    at = F.col("_version")
-    return F.max_by(F.struct(*columns), at if until is None else F.when(at <= until, at))
+def _single(source: DataFrame, key: str, updated: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The source as (key, _s), where a repeated key is an error, and its other columns."""
+    fields = [c for c in source.columns if c != key]
+    absent = sorted(set(updated) - set(fields))
+    if absent:
+        raise ValueError(f"updated columns that the source lacks: {absent}")
+    rows = source.groupBy(key).agg(F.count("*").alias("_n"), F.any_value(F.struct(*fields)).alias("_s"))
+    repeated = F.raise_error(F.concat(F.lit("duplicate merge key "), F.coalesce(
+        F.col(key).cast("string"), F.lit("NULL"))))
+    return rows.select(key, F.when(F.col("_n") > 1, repeated).otherwise(F.col("_s")).alias("_s")), fields
 
 
-def _columns(log: DataFrame, key: str) -> list[str]:
-    return ["_op"] + [c for c in log.columns if c not in (key, "_op", "_version")]
+def _merged(current: DataFrame, source: DataFrame, key: str, updated: Sequence[str],
+            how: str) -> DataFrame:
+    single, fields = _single(source, key, updated)
+    joined = current.withColumn("_hit", F.lit(True)).join(single, key, how)
 
+    def value(name):
+        own = F.col(f"_s.{name}") if name in fields else F.lit(None)
+        if name not in current.columns:
+            return own.alias(name)
+        if name in updated:
+            return F.when(F.col("_s").isNotNull(), own).otherwise(F.col(name)).alias(name)
+        return F.when(F.col("_hit"), F.col(name)).otherwise(own).alias(name)
 
-def as_of_version(log: DataFrame, key: str, version: int | Column | None = None) -> DataFrame:
-    """The table as it was at a version (the latest one by default)."""
-    if version is not None:
-        log = log.filter(F.col("_version") <= version)
-    state = log.groupBy(key).agg(_newest(_columns(log, key), None).alias("_row"))
-    return state.filter(F.col("_row._op") == "put").select(key, "_row.*").drop("_op")
+    names = [c for c in current.columns if c != key] + [c for c in fields if c not in current.columns]
+    return joined.select(key, *[value(c) for c in names])
 
 
-def version_at(commits: DataFrame, moment: Column) -> Column:
-    """The last version committed at or before a moment."""
-    return commits.filter(F.col("committed_at") <= moment).agg(F.max("version")).scalar()
+def upsert(current: DataFrame, source: DataFrame, key: str, updated: Sequence[str]) -> DataFrame:
+    """The state after an upsert: matched keys take the ``updated`` columns, others are inserted.
 
+    One outer join. A key that occurs twice in the source is an error, raised
+    where it is found, and so is an updated column that the source lacks.
+    """
+    return _merged(current, source, key, updated, "full")
 
-def as_of_timestamp(log: DataFrame, commits: DataFrame, key: str, moment: Column) -> DataFrame:
-    return as_of_version(log, key, version_at(commits, moment))
 
+def merge_rows(current: DataFrame, source: DataFrame, key: str, updated: Sequence[str]) -> DataFrame:
+    """Only the rows an upsert writes; the current rows of other keys leave before the join."""
+    touched = current.join(source.select(key), key, "left_semi")
+    return _merged(touched, source, key, updated, "full")
 
-def _two_states(log: DataFrame, key: str, old: int, new: int | None) -> DataFrame:
-    columns = _columns(log, key)
-    pair = log.groupBy(key).agg(
-        _newest(columns, F.lit(old)).alias("old"),
-        _newest(columns, None if new is None else F.lit(new)).alias("new"))
-    alive = lambda side: F.when(F.col(f"{side}._op") == "put", F.col(side))
-    return pair.select(key, alive("old").alias("old"), alive("new").alias("new"))
-
-
-def diff(log: DataFrame, key: str, old: int, new: int) -> DataFrame:
-    """Keys added, removed or changed between two versions, from one pass over the log."""
-    both = _two_states(log, key, old, new)
-    change = (F.when(F.col("old").isNull() & F.col("new").isNotNull(), "added")
-              .when(F.col("old").isNotNull() & F.col("new").isNull(), "removed")
-              .when(F.col("old") != F.col("new"), "changed"))
-    return both.select(key, change.alias("change")).filter(F.col("change").isNotNull())
-
-
-def compare_counts(log: DataFrame, key: str, versions: Mapping[str, int]) -> DataFrame:
-    """Row count of several versions, from one pass over the log."""
-    columns = _columns(log, key)
-    labels = list(versions)
-    states = log.groupBy(key).agg(*[
-        _newest(columns, F.lit(versions[name]))["_op"].alias(f"s{i}")
-        for i, name in enumerate(labels)])
-    row = states.agg(*[F.count_if(F.col(f"s{i}") == "put").alias(f"s{i}")
-                       for i in range(len(labels))])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("timepoint"), F.col(f"s{i}").alias("record_count"))
-        for i, name in enumerate(labels)])))
-
-
-def merge_changes(current: DataFrame, source: DataFrame, key: str, updated: Sequence[str],
-                  version: int) -> DataFrame:
-    """Change rows of an upsert: matched keys take the ``updated`` columns, others are inserted.
-
-    A key that occurs twice in the source is an error, raised where it is found,
-    and so is an updated column that the source lacks.
-    """
-    fields = [c for c in source.columns if c != key]
-    absent = sorted(set(updated) - set(fields))
-    if absent:
-        raise ValueError(f"updated columns that the source lacks: {absent}")
-    single = source.groupBy(key).agg(F.count("*").alias("_n"),
-                                     F.any_value(F.struct(*fields)).alias("_s"))
-    checked = single.select(key, F.when(
-        F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate merge key "),
-                                                F.col(key).cast("string")))
-    ).otherwise(F.col("_s")).alias("_s"))
-    matched = current.withColumn("_hit", F.lit(True))
-    joined = checked.join(matched, key, "left")
 
-    def value(name):
-        own = F.col(f"_s.{name}") if name in fields else F.lit(None)
-        if name in updated or name not in current.columns:
-            return own.alias(name)
-        return F.when(F.col("_hit"), F.col(name)).otherwise(own).alias(name)
+def _paired(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    fields = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c != key]
+
+    def packed(df, name):
+        columns = [F.col(c) if c in df.columns else F.lit(None).cast(
+            (old if c in old.columns else new).schema[c].dataType).alias(c) for c in fields]
+        return df.select(key, F.struct(*columns).alias(name))
+
+    return packed(old, "old").join(packed(new, "new"), key, "full")
+
+
+def _change(absent: str, added: str, changed: str, same: str | None = None) -> Column:
+    return (F.when(F.col("new").isNull(), absent).when(F.col("old").isNull(), added)
+            .when(~F.col("old").eqNullSafe(F.col("new")), changed).otherwise(F.lit(same)))
 
-    names = [c for c in current.columns if c != key] + [
-        c for c in fields if c not in current.columns]
-    return puts(joined.select(key, *[value(c) for c in names]), version)
 
+def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Keys added, removed or changed between two states."""
+    return _paired(old, new, key).select(key, _change("removed", "added", "changed").alias(
+        "change")).filter(F.col("change").isNotNull())
 
-def delete_changes(current: DataFrame, condition: Column, version: int) -> DataFrame:
-    """Change rows that remove the rows a condition selects."""
-    return deletes(current.filter(condition), version)
 
+def compare_counts(states: Mapping[str, DataFrame]) -> DataFrame:
+    """Row count of several states."""
+    counts = [df.agg(F.count("*").alias("record_count")).select(
+        F.lit(name).alias("timepoint"), "record_count") for name, df in states.items()]
+    return evolve(*counts)
 
-def rollback_preview(log: DataFrame, key: str, to: int) -> DataFrame:
+
+def rollback_preview(old: DataFrame, now: DataFrame, key: str) -> DataFrame:
     """How many current rows a rollback would keep, remove, restore or change back."""
-    both = _two_states(log, key, to, None)
-    action = (F.when(F.col("new").isNull() & F.col("old").isNotNull(), "Would Restore")
-              .when(F.col("old").isNull() & F.col("new").isNotNull(), "Would Remove")
-              .when(F.col("old") != F.col("new"), "Would Revert")
-              .when(F.col("new").isNotNull(), "Would Keep"))
-    return both.select(action.alias("action")).filter(F.col("action").isNotNull()).groupBy(
-        "action").agg(F.count("*").alias("records"))
+    action = _change("Would Restore", "Would Remove", "Would Revert", "Would Keep")
+    return _paired(old, now, key).groupBy(action.alias("action")).agg(F.count("*").alias("records"))
+
+
+# Change logs ---------------------------------------------------------------------------------
+
+
+def puts(rows: DataFrame, version: int | Column) -> DataFrame:
+    version = version if isinstance(version, Column) else F.lit(version)
+    return rows.withColumn("_op", F.lit("put")).withColumn("_version", version.cast("long"))
 
 
-def rollback_changes(log: DataFrame, key: str, to: int, version: int) -> DataFrame:
+def deletes(rows: DataFrame, version: int) -> DataFrame:
+    return rows.withColumn("_op", F.lit("delete")).withColumn("_version", F.lit(version).cast("long"))
+
+
+def rollback_changes(old: DataFrame, now: DataFrame, key: str, version: int) -> DataFrame:
     """Change rows of a new version whose state equals that of an old one."""
-    both = _two_states(log, key, to, None)
-    fields = [c for c in log.columns if c not in (key, "_op", "_version")]
-    differs = ~F.col("old").eqNullSafe(F.col("new"))
-    row = F.coalesce(F.col("old"), F.col("new"))
+    both = _paired(old, now, key).filter(~F.col("old").eqNullSafe(F.col("new")))
     op = F.when(F.col("old").isNull(), "delete").otherwise("put")
-    return both.filter(differs).select(
-        key, *[row[f].alias(f) for f in fields], op.alias("_op"),
-        F.lit(version).cast("long").alias("_version"))
+    return both.select(key, F.coalesce("old", "new").alias("_row"), op.alias("_op")).select(
+        key, "_row.*", "_op", F.lit(version).cast("long").alias("_version"))
+
+
+def as_of_version(log: DataFrame, key: str, version: int | Column | None = None) -> DataFrame:
+    """The table as it was at a version (the latest one by default).
+
+    Each task keeps the newest rows of a key before the shuffle. A key that one
+    version put twice keeps both rows.
+    """
+    if version is not None:
+        log = log.filter(F.col("_version") <= version)
+    newest = Window.partitionBy(key).orderBy(F.desc("_version"))
+    state = log.withColumn("_rank", F.rank().over(newest)).filter("_rank = 1 AND _op = 'put'")
+    return state.drop("_rank", "_op", "_version")
+
+
+def version_at(commits: DataFrame, moment: Column) -> Column:
+    """The last version committed at or before a moment."""
+    return commits.filter(F.col("committed_at") <= moment).agg(F.max("version")).scalar()
+
+
+def as_of_timestamp(log: DataFrame, commits: DataFrame, key: str, moment: Column) -> DataFrame:
+    return as_of_version(log, key, version_at(commits, moment))
 
 
 def expire(log: DataFrame, key: str, before: int) -> DataFrame:
@@ -160,11 +161,6 @@ def expire(log: DataFrame, key: str, before: int) -> DataFrame:
     return base.unionByName(log.filter(F.col("_version") > before))
 
 
-def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Read through a name map, so a rename touches no stored file."""
-    return df.withColumnsRenamed(dict(names))
-
-
 def history(log: DataFrame, commits: DataFrame) -> DataFrame:
     """Commits with the number of rows each one put and deleted."""
     counts = log.groupBy(F.col("_version").alias("version")).agg(
@@ -173,43 +169,16 @@ def history(log: DataFrame, commits: DataFrame) -> DataFrame:
     return commits.join(counts, "version", "left").na.fill(0, ["rows_put", "rows_deleted"])
 
 
-def write_commit(spark: SparkSession, changes: DataFrame, path: str, version: int,
-                 operation: str, committed_at: datetime.datetime) -> None:
-    """Store the change rows of one version, then the commit row that makes them visible."""
-    changes.drop("_version").write.mode("overwrite").parquet(
-        f"{path}/changes/_version={version}")
-    spark.createDataFrame([(version, committed_at, operation)], COMMITS).coalesce(1).write.mode(
-        "append").parquet(f"{path}/commits")
-
-
-def read_commits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/commits")
+# Catalog and files ---------------------------------------------------------------------------
 
 
-def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The committed change rows; columns that older versions lack read as NULL.
-
-    Versions are folders, so a filter on ``_version`` skips whole files.
-    """
-    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
-    log = reader.parquet(f"{path}/changes").withColumn("_version", F.col("_version").cast("long"))
-    done = read_commits(spark, path).select(F.col("version").alias("_version"))
-    return log.join(done, "_version", "left_semi")
-
-
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Data files with their format and row count."""
-    return (spark.read.option("mergeSchema", True).parquet(path)
-            .groupBy(F.col("_metadata.file_path").alias("file_path"))
+def file_inventory(df: DataFrame) -> DataFrame:
+    """Data files behind a Parquet frame with their format and row count."""
+    return (df.groupBy(F.col("_metadata.file_path").alias("file_path"))
             .agg(F.count("*").alias("record_count"))
             .withColumn("file_format", F.lit("parquet")))
 
 
-def compact(log: DataFrame, key: str, version: int, files: int) -> DataFrame:
-    """The latest state as one put per row, laid out in ``files`` files by key hash."""
-    return puts(as_of_version(log, key), version).repartition(files, key)
-
-
 def describe(spark: SparkSession, view: str) -> DataFrame:
     """Columns of a table or view with their types and nullability."""
     rows = [(c.name, c.dataType, c.nullable) for c in spark.catalog.listColumns(view)]
