@@ -32,16 +32,31 @@ def as_matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
     return flat.reshape(len(column), sizes[0])
 
 
+def present(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors of a batch are not NULL, and those as a matrix."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    return known, as_matrix(column.drop_null() if column.null_count else column, dims)
+
+
+def spread_out(values: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Values of the rows that have a vector, NULL for the others."""
+    if known.all():
+        return pa.array(values)
+    out = np.zeros(len(known), values.dtype)
+    out[known] = values
+    return pa.array(out, mask=~known)
+
+
 def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     gap = rows - query
     return np.einsum("ij,ij->i", gap, gap).round(SCORE_PLACES) + 0.0
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosine similarity; 0 where either vector has no length."""
-    size = lengths(rows) * np.sqrt(query @ query)
-    return np.divide(rows @ query, size, out=np.zeros(len(rows)), where=size > 0).round(
-        SCORE_PLACES) + 0.0
+def all_cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cosine similarity of each query (line) to each row; 0 where either has no length."""
+    size = np.outer(lengths(queries), lengths(rows))
+    dots = queries @ rows.T
+    return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0).round(SCORE_PLACES) + 0.0
 
 
 def lengths(rows: np.ndarray) -> np.ndarray:
@@ -54,39 +69,81 @@ def units(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
+def _first(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least values, lowest id on ties, in that order."""
+    if k < len(values):
+        edge = np.partition(values, k - 1)[k - 1]
+        places = np.flatnonzero(values <= edge)
+    else:
+        places = np.arange(len(values))
+    return places[np.lexsort((ids[places], values[places]))[:k]]
+
+
 def best_of_batch(names: list[str], queries: np.ndarray, k: int, by_distance: bool
                   ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keep each batch's ``k`` best rows (``id, vector``) per query."""
+    """Keep each batch's ``k`` best rows (``id, vector``) per query; rows without a vector rank nowhere."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            known, rows = present(batch.column(1), queries.shape[1])
+            if not len(rows):
                 continue
-            ids = batch.column(0).to_numpy()
-            rows = as_matrix(batch.column(1), queries.shape[1])
-            for name, query in zip(names, queries):
-                gap, near = distances(rows, query), cosines(rows, query)
-                order = np.lexsort((ids, gap if by_distance else -near))[:k]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[known]
+            for name, query, near in zip(names, queries, all_cosines(rows, queries)):
+                if by_distance:
+                    gap = distances(rows, query)
+                    order = _first(gap, ids, k)
+                    gap = gap[order]
+                else:
+                    order = _first(-near, ids, k)
+                    gap = distances(rows[order], query)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(order)), pa.array(ids[order]), pa.array(gap[order]),
+                    [pa.array([name] * len(order)), pa.array(ids[order]), pa.array(gap),
                      pa.array(near[order])], names=["query_id", "id", "distance", "similarity"])
     return run
 
 
 def all_of_batch(names: list[str], queries: np.ndarray
                  ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Score each row (``id, vector``) against every query."""
-    return best_of_batch(names, queries, np.iinfo(np.int64).max, True)
+    """Score each row (``id, vector``) against every query; NULL scores without a vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, rows = present(batch.column(1), queries.shape[1])
+            for name, query, near in zip(names, queries, all_cosines(rows, queries)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(known), pa.string()), batch.column(0),
+                     spread_out(distances(rows, query), known), spread_out(near, known)],
+                    names=["query_id", "id", "distance", "similarity"])
+    return run
+
+
+def line_sums(names: list[str], queries: np.ndarray
+              ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per batch and query: sum and number of similarities, the highest below 1 and the lowest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, rows = present(batch.column(1), queries.shape[1])
+            if not len(rows):
+                continue
+            near = all_cosines(rows, queries)
+            below = np.where(near < 1.0, near, -np.inf).max(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array(near.sum(axis=1)), pa.array(np.full(len(names), len(rows))),
+                 pa.array(below, mask=np.isinf(below)), pa.array(near.min(axis=1))],
+                names=["query_id", "total", "n", "below_one", "least"])
+    return run
 
 
 def batch_sums(normalise: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Vector sum and row count per category (``category, vector``) of each batch."""
+    """Vector sum and number of vectors per category (``category, vector``) of each batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column(0).dictionary_encode()
-            codes = coded.indices.to_numpy()
-            rows = as_matrix(batch.column(1))
+            coded = batch.column(0).dictionary_encode("encode")  # a null category is one as well
+            known, rows = present(batch.column(1))
+            if not len(rows):
+                continue
+            codes = coded.indices.to_numpy(zero_copy_only=False)[known]
             rows = units(rows) if normalise else rows
             sums = np.zeros((len(coded.dictionary), rows.shape[1]))
             np.add.at(sums, codes, rows)
@@ -97,28 +154,44 @@ def batch_sums(normalise: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def products_with(names: list, sizes: np.ndarray, centers: np.ndarray
+                  ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row (``category, vector, size``) times every centre: pairs of rows and dot product."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, row in enumerate(as_matrix(batch.column(1))):
+                own = pa.repeat(batch.column(0)[i], len(names))
+                yield pa.RecordBatch.from_arrays(
+                    [own, pa.array(names, kind), pa.array(sizes * batch.column(2)[i].as_py()),
+                     pa.array(centers @ row)],
+                    names=["category_a", "category_b", "pairs", "mean_similarity"])
+    return run
+
+
 def one_per_row(name: str, kernel: Callable[[np.ndarray], np.ndarray]
                 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Map ``id, vector`` to ``id`` and one double per row."""
+    """Map ``id, vector`` to ``id`` and one double per row, NULL without a vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                values = pa.array(kernel(as_matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", name])
+            known, rows = present(batch.column(1))
+            values = kernel(rows) if len(rows) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), spread_out(values, known)],
+                                             names=["id", name])
     return run
 
 
 def nearest_udf(centers: np.ndarray) -> Callable[[Column], Column]:
-    """A column function giving the position of the nearest centre and its distance."""
+    """A column function giving the position of the nearest centre and its distance; NULLs without a vector."""
     @F.arrow_udf("place int, distance double")
     def apply(vectors: pa.Array) -> pa.Array:
-        rows = as_matrix(vectors, centers.shape[1])
+        known, rows = present(vectors, centers.shape[1])
         best = np.full(len(rows), np.inf)
         place = np.zeros(len(rows), dtype=np.int32)
         for i, center in enumerate(centers):  # keeps one distance column in memory, not all
             gap = distances(rows, center)
             closer = gap < best
             best[closer], place[closer] = gap[closer], i
-        return pa.StructArray.from_arrays([pa.array(place), pa.array(best)],
+        return pa.StructArray.from_arrays([spread_out(place, known), spread_out(best, known)],
                                           names=["place", "distance"])
     return apply

@@ -1,7 +1,9 @@
-"""Bringing a small, bounded set to every row without a cross join."""
+"""Bringing a small set, or a larger one in blocks, to every row without a cross join."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 
@@ -18,9 +20,15 @@ def as_array(small: DataFrame, max_rows: int) -> Column:
     return rows.select(checked.alias("rows")).scalar()
 
 
-def collect_small(small: DataFrame, max_rows: int) -> list[Row]:
-    """The rows of a set that must be small, on the driver; more than ``max_rows`` is an error."""
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows in a set meant to be small")
-    return rows
+def in_blocks(rows: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
+    """All rows in blocks of about ``size`` on the driver, one after another, dealt by a hash of the key.
+
+    At least one block comes, empty if there is no row.
+    """
+    few = rows.limit(size + 1).collect()
+    if len(few) <= size:
+        yield few
+        return
+    n = -(-rows.count() // size)
+    for i in range(n):
+        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i).collect()

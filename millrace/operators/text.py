@@ -130,6 +130,16 @@ def long_form(weighted: DataFrame, key: str) -> DataFrame:
             .filter(F.col("term").isNotNull()))
 
 
+def dense(weighted: DataFrame, model: TextModel) -> DataFrame:
+    """Adds ``vector``: the weights over the vocabulary in term order, zero where a term is absent.
+
+    Documents weighed so can be clustered, projected and compared like any vectors.
+    """
+    terms = F.array(*[F.lit(t) for t in sorted(model.idf)])
+    return weighted.withColumn("vector", F.transform(terms, lambda t: F.coalesce(
+        F.try_element_at("weights", t), F.lit(0.0))))
+
+
 def top_terms(weighted: DataFrame, k: int = 10) -> DataFrame:
     """Terms by mean weight over all documents."""
     n = weighted.agg(F.count("*")).scalar()

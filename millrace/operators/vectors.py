@@ -6,6 +6,7 @@ or double, one size), and optionally ``category``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -18,21 +19,22 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.functions import vector_kernels as kernels, vectors as vec
 from millrace.functions.scalars import md5_vector, ratio
 from millrace.operators.ranking import dense_row_number, most_frequent, top_n_per_group
-from millrace.operators.small_sets import as_array, collect_small
+from millrace.operators.small_sets import in_blocks
 
-MAX_SMALL = 10_000
+#: Centroids sent along with a task at a time; more of them take further passes.
+BLOCK = 10_000
 _SCORES = "query_id string, id long, distance double, similarity double"
 
 
 def _scorable(corpus: DataFrame) -> DataFrame:
-    return corpus.filter(F.col("vector").isNotNull()).select(
-        F.col("id").cast("long").alias("id"), "vector")
+    return corpus.select(F.col("id").cast("long").alias("id"), "vector")
 
 
 def query_product(corpus: DataFrame, queries: Mapping[str, Sequence[float]]) -> DataFrame:
     """Squared L2 distance and cosine of every corpus row to every query vector.
 
     The queries travel with the task; the corpus is neither joined nor shuffled.
+    A row without a vector comes with NULL scores.
     """
     matrix = np.array(list(queries.values()), dtype=float)
     return _scorable(corpus).mapInArrow(kernels.all_of_batch(list(queries), matrix), _SCORES)
@@ -42,7 +44,8 @@ def nearest(corpus: DataFrame, queries: Mapping[str, Sequence[float]], k: int =
             metric: str = "distance", category: object | None = None) -> DataFrame:
     """The ``k`` nearest rows per query under squared L2 ``distance`` or ``similarity`` (cosine).
 
-    With ``category`` only rows of that category are ranked. Each batch keeps its
+    With ``category`` only rows of that category are ranked; rows without a
+    vector are not. Each batch keeps its
     own ``k`` best per query, so what is shuffled does not grow with the rows of a batch.
     """
     if category is not None:
@@ -55,6 +58,18 @@ def nearest(corpus: DataFrame, queries: Mapping[str, Sequence[float]], k: int =
     return top_n_per_group(kept, ["query_id"], [best, F.asc("id")], k, F.col("id"))
 
 
+def nearest_to_text(corpus: DataFrame, texts: Mapping[str, str], k: int = 10, dims: int = 128,
+                    metric: str = "distance") -> DataFrame:
+    """Search with texts: each is embedded as the stored rows were, then its nearest rows are found."""
+    return nearest(corpus, {name: text_vector(text, dims) for name, text in texts.items()}, k, metric)
+
+
+def text_vector(text: str, dims: int = 128) -> list[float]:
+    """The embedding ``md5_vector`` gives a text, for a query held by the driver."""
+    cells = [b / 255.0 for b in hashlib.md5(text.encode()).digest()]
+    return [cells[i % len(cells)] for i in range(dims)]
+
+
 def nearest_or_first(corpus: DataFrame, vector: Sequence[float] | None, k: int) -> DataFrame:
     """Search with a vector; without one, the first ``k`` rows by id."""
     if vector is None:
@@ -96,14 +111,19 @@ def table_info(corpus: DataFrame) -> DataFrame:
                       F.countDistinct("category").alias("categories"))
 
 
+def table_samples(corpus: DataFrame, n: int = 3) -> DataFrame:
+    """The first rows of a vector table by id."""
+    return corpus.orderBy("id").limit(n)
+
+
 def category_centroids(corpus: DataFrame, normalise: bool = False) -> DataFrame:
-    """Mean vector (of the unit vectors if ``normalise``) and size per category.
+    """Mean vector (of the unit vectors if ``normalise``) and number of vectors per category.
 
     Every batch sums its own rows first; the shuffle carries one vector for each
     batch and category.
     """
     kind = corpus.schema["category"].dataType.simpleString()
-    part = corpus.filter(F.col("vector").isNotNull()).select("category", "vector").mapInArrow(
+    part = corpus.select("category", "vector").mapInArrow(
         kernels.batch_sums(normalise), f"category {kind}, total array<double>, size long")
     return part.groupBy("category").agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total"),
@@ -148,20 +168,29 @@ def similarity_blocks(corpus: DataFrame) -> DataFrame:
     chosen lines of it.
     """
     centers = category_centroids(corpus, True)
-    others = as_array(centers, MAX_SMALL)
-    pairs = centers.select("category", "vector", "size", F.explode(others).alias("o"))
-    return pairs.select(
-        F.col("category").alias("category_a"), F.col("o.category").alias("category_b"),
-        (F.col("size") * F.col("o.size")).alias("pairs"),
-        vec.dot(F.col("vector"), F.col("o.vector")).alias("mean_similarity"))
+    kind = centers.schema["category"].dataType.simpleString()
+    out = None
+    for others in in_blocks(centers, "category", BLOCK):
+        part = centers.mapInArrow(kernels.products_with(
+            [r["category"] for r in others], np.array([r["size"] for r in others]),
+            np.array([r["vector"] for r in others])),
+            f"category_a {kind}, category_b {kind}, pairs long, mean_similarity double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
+def similarity_stats(corpus: DataFrame, queries: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Mean, highest below 1 and lowest similarity of every query to the corpus.
 
-def similarity_stats(scored: DataFrame) -> DataFrame:
-    """Mean, highest below 1 and lowest similarity per query of a ``query_product``."""
-    s = F.col("similarity")
-    return scored.groupBy("query_id").agg(
-        F.avg(s).alias("mean_similarity"), F.max(F.when(s < 1.0, s)).alias("max_below_one"),
-        F.min(s).alias("min_similarity"))
+    Each batch sums up its own rows, so no pair leaves the task that scored it.
+    """
+    matrix = np.array(list(queries.values()), dtype=float)
+    part = _scorable(corpus).mapInArrow(
+        kernels.line_sums(list(queries), matrix),
+        "query_id string, total double, n long, below_one double, least double")
+    return part.groupBy("query_id").agg(
+        (F.sum("total") / F.sum("n")).alias("mean_similarity"), F.max("below_one").alias("max_below_one"),
+        F.min("least").alias("min_similarity"))
 
 
 def norms(corpus: DataFrame) -> DataFrame:
@@ -172,17 +201,26 @@ def norms(corpus: DataFrame) -> DataFrame:
 def assign_nearest(corpus: DataFrame, centroids: DataFrame) -> DataFrame:
     """Each row with its nearest centroid (``category, vector``), lowest category on ties.
 
-    The centroids, at most ``MAX_SMALL``, travel with the task.
+    The centroids travel with the task, ``BLOCK`` of them at a time, and the
+    nearest of all blocks counts. A row without a vector has a NULL cluster.
     """
-    rows = sorted(collect_small(centroids.select("category", "vector"), MAX_SMALL),
-                  key=lambda r: r["category"])
-    find = kernels.nearest_udf(np.array([r["vector"] for r in rows], dtype=float))
     kind = centroids.schema["category"].dataType
-    names = F.array(*[F.lit(r["category"]).cast(kind) for r in rows])
-    return (corpus.filter(F.col("vector").isNotNull())
-            .withColumn("_best", find(F.col("vector")))
-            .withColumn("cluster", F.get(names, F.col("_best.place")))
-            .withColumn("distance", F.col("_best.distance")).drop("_best"))
+    found = []
+    for rows in in_blocks(centroids.select("category", "vector"), "category", BLOCK):
+        if not rows:
+            continue
+        rows = sorted(rows, key=lambda r: (r["category"] is not None, r["category"]))
+        find = kernels.nearest_udf(np.array([r["vector"] for r in rows], dtype=float))
+        names = F.array(*[F.lit(r["category"]).cast(kind) for r in rows])
+        place = f"_best{len(found)}"
+        corpus = corpus.withColumn(place, find(F.col("vector")))
+        found.append(F.struct(F.col(f"{place}.distance").alias("distance"),
+                              F.get(names, F.col(f"{place}.place")).alias("cluster")))
+    none = F.struct(F.lit(None).cast("double").alias("distance"), F.lit(None).cast(kind).alias("cluster"))
+    best = F.array_min(F.array(*found)) if found else none
+    return corpus.withColumn("_best", best).withColumns(
+        {"cluster": F.col("_best.cluster"), "distance": F.col("_best.distance")}).drop(
+        "_best", *[f"_best{i}" for i in range(len(found))])
 
 
 def kmeans_clusters(corpus: DataFrame, k: int = 4, seed: int = 42):

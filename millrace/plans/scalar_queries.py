@@ -309,15 +309,24 @@ def f16(spark, sf):
         F.date_format("order_date", "MM/yyyy").alias("month_label"))
 
 
-@Q.add("F17_repeatable_random", "picked str, row_count long, smallest long, largest long")
+_STATUSES = ["Pending", "Shipped", "Delivered", "Cancelled"]
+
+
+@Q.add("F17_repeatable_random", "customer_id long, known bool, in_range bool, repeated bool",
+       f"""SELECT customer_id, TRUE AS known, TRUE AS in_range, TRUE AS repeated
+           FROM {CUSTOMERS} AS c""")
 def f17(spark, sf):
-    # Spark's hash has no SQL twin elsewhere, so tests check its range and repeatability.
-    c = ds.customers(spark, sf)
-    return c.select(
-        sc.hash_pick(["Pending", "Shipped", "Delivered", "Cancelled"], F.col("customer_id"))
-        .alias("picked"), sc.hash_below(100, F.col("customer_id"), F.lit("value")).alias("v")
-    ).groupBy("picked").agg(F.count("*").alias("row_count"), F.min("v").alias("smallest"),
-                            F.max("v").alias("largest"))
+    # Spark's hash has no SQL twin; range and repeatability of the drawn values have.
+    def drawn(rows):
+        return rows.select("customer_id", sc.hash_pick(_STATUSES, F.col("customer_id")).alias("picked"),
+                           sc.hash_below(100, F.col("customer_id"), F.lit("value")).alias("v"))
+
+    again = drawn(ds.customers(spark, sf).repartition(7, "tier")).select(
+        "customer_id", F.struct("picked", "v").alias("again"))
+    return drawn(ds.customers(spark, sf)).join(again, "customer_id").select(
+        "customer_id", F.col("picked").isin(_STATUSES).alias("known"),
+        F.col("v").between(0, 99).alias("in_range"),
+        (F.struct("picked", "v") == F.col("again")).alias("repeated"))
 
 
 _HEX = "instr('0123456789abcdef', substr(h, {p}, 1)) - 1"

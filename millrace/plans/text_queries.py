@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import text as tx
+from millrace.operators import text as tx, vectors as vx
 from millrace.plans.registry import QuerySet
 from millrace.plans.sql_views import ITEMS
 from millrace.sources import datasets as ds, readers
@@ -124,6 +124,48 @@ def v12(spark, sf):
     return tx.match_profile(hits, ["complexity", "cost"], ["category", "domain"])
 
 
+def _doc_vectors(spark, sf):
+    weighted, model = _doc_model(spark, sf)
+    langs = ds.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"))
+    return tx.dense(weighted, model).select("id", "vector").join(langs, "id")
+
+
+@Q.add("V16_tfidf_norms", "id long, norm dbl6",
+       f"""{_DOC_SQL} SELECT src.id, COALESCE(n2, 0) AS norm FROM src LEFT JOIN (
+           SELECT id, sqrt(SUM(weight * weight)) AS n2 FROM w GROUP BY 1) AS l ON l.id = src.id""")
+def v16_tfidf(spark, sf):
+    weighted, model = _doc_model(spark, sf)
+    return vx.norms(tx.dense(weighted, model))
+
+
+@Q.add("V15_tfidf_mean_similarity", "id long, mean_similarity dbl6",
+       f"""{_DOC_SQL}, m AS (SELECT term, SUM(weight) / (SELECT n FROM nd) AS m FROM w GROUP BY 1)
+           SELECT src.id, COALESCE(x, 0) AS mean_similarity FROM src LEFT JOIN (
+           SELECT id, SUM(weight * m) AS x FROM w JOIN m USING (term) GROUP BY 1) AS l
+           ON l.id = src.id""")
+def v15_tfidf(spark, sf):
+    weighted, model = _doc_model(spark, sf)
+    return vx.mean_similarity_per_row(tx.dense(weighted, model).select("id", "vector"))
+
+
+@Q.add("V18_tfidf_nearest_centroid", "id long, cluster str, distance dbl6",
+       f"""{_DOC_SQL}, lg AS (SELECT doc_id AS id, lang FROM documents),
+           ln AS (SELECT lang, COUNT(*) AS n FROM lg GROUP BY 1),
+           c AS (SELECT lang, term, SUM(weight) / any_value(ln.n) AS x FROM w JOIN lg USING (id)
+             JOIN ln USING (lang) GROUP BY 1, 2),
+           cn AS (SELECT lang, SUM(x * x) AS sq FROM c GROUP BY 1),
+           dn AS (SELECT src.id, COALESCE(SUM(weight * weight), 0) AS sq FROM src
+             LEFT JOIN w ON w.id = src.id GROUP BY 1),
+           dots AS (SELECT id, lang, SUM(weight * x) AS dot FROM w JOIN c USING (term) GROUP BY 1, 2),
+           g AS (SELECT dn.id, cn.lang, round(dn.sq - 2 * COALESCE(dot, 0) + cn.sq, 9) AS d
+             FROM dn CROSS JOIN cn LEFT JOIN dots ON dots.id = dn.id AND dots.lang = cn.lang)
+           SELECT id, lang AS cluster, d AS distance FROM (SELECT *, ROW_NUMBER() OVER (
+             PARTITION BY id ORDER BY d, lang) AS rn FROM g) AS r WHERE rn = 1""")
+def v18_tfidf(spark, sf):
+    v = _doc_vectors(spark, sf)
+    return vx.assign_nearest(v, vx.category_centroids(v))
+
+
 @Q.add("V17_top_terms", "term str, mean_weight dbl6",
        f"""{_DOC_SQL} SELECT term, round(SUM(weight) / (SELECT n FROM nd), 9) AS mean_weight
            FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")

@@ -164,6 +164,24 @@ def test_search_and_recommendation(spark):
     assert not {r["id"] for r in rec} & {0, 4}
 
 
+def test_dense_vectors_of_weights(spark):
+    docs = spark.createDataFrame([*enumerate(TEXTS), (9, None)], "id INT, text STRING")
+    model = tx.fit(docs, "text", 128, stop_words=STOP)
+    weighted = tx.weigh(docs, "text", model)
+    terms = sorted(model.idf)
+    for r in tx.dense(weighted, model).collect():
+        assert r["vector"] == [(r["weights"] or {}).get(t, 0.0) for t in terms]
+    norms = {r["id"]: r["norm"] for r in vx.norms(tx.dense(weighted, model)).collect()}
+    assert norms[0] == pytest.approx(1) and norms[2] == 0 and norms[9] == 0
+
+
+def test_text_query_finds_its_own_row(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id LONG, text STRING").withColumn(
+        "vector", md5_vector(F.col("text"), 32))
+    hits = vx.nearest_to_text(df, {"q": TEXTS[3]}, 2, 32).orderBy("rank").collect()
+    assert (hits[0]["id"], hits[0]["distance"]) == (3, 0.0) and len(hits) == 2
+
+
 def test_default_stop_words_are_removed(spark):
     docs = spark.createDataFrame([(1, "the cluster and the tables")], "id INT, text STRING")
     assert set(tx.fit(docs, "text").idf) == {"cluster", "tables"}
@@ -178,8 +196,39 @@ def test_vectors_of_the_wrong_size_are_an_error(spark):
         vx.nearest(df.filter("id = 0"), {"q": [0.0, 0.0, 0.0]}, 1).collect()
 
 
+def test_more_centroids_than_a_block(spark, vectors, monkeypatch):
+    m, df = vectors
+    centers = df.select(F.col("id").cast("int").alias("category"), "vector")
+    whole = {r["id"]: (r["cluster"], r["distance"]) for r in vx.assign_nearest(df, centers).collect()}
+    blocks = vx.similarity_blocks(df.withColumn("category", F.col("id")))
+    want = {(r["category_a"], r["category_b"]): r["mean_similarity"] for r in blocks.collect()}
+    monkeypatch.setattr(vx, "BLOCK", 7)
+    assert {r["id"]: (r["cluster"], r["distance"]) for r in vx.assign_nearest(df, centers).collect()} == whole
+    again = vx.similarity_blocks(df.withColumn("category", F.col("id"))).collect()
+    assert len(again) == 3600
+    assert {(r["category_a"], r["category_b"]): r["mean_similarity"] for r in again} == pytest.approx(want)
+    assert whole[7] == (3, 0.0)
+
+
+def test_similarity_statistics_of_queries(vectors):
+    m, df = vectors
+    got = vx.similarity_stats(df, {"q": m[5].tolist()}).first()
+    near = (unit(m) @ unit(m)[5]).round(9)
+    assert got["mean_similarity"] == pytest.approx(near.mean())
+    assert got["max_below_one"] == pytest.approx(near[near < 1].max())
+    assert got["min_similarity"] == pytest.approx(near.min())
+
+
 def test_missing_vectors_are_not_scored(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, None, 1)],
                                "id LONG, vector ARRAY<DOUBLE>, category INT")
+    scores = {r["id"]: r["similarity"] for r in vx.query_product(df, {"q": [1.0, 2.0]}).collect()}
+    assert scores == {0: 1.0, 1: None}
+    assert {r["id"]: r["norm"] is None for r in vx.norms(df).collect()} == {0: False, 1: True}
+    placed = vx.assign_nearest(df, vx.category_centroids(df)).collect()
+    assert {r["id"]: r["cluster"] for r in placed} == {0: 1, 1: None}
+    assert {r["id"]: r["mean_similarity"] for r in vx.mean_similarity_per_row(df).collect()}[1] is None
+    assert vx.similarity_blocks(df.limit(0)).collect() == []
+    assert vx.assign_nearest(df, vx.category_centroids(df.limit(0))).filter("cluster IS NULL").count() == 2
     assert [r["id"] for r in vx.nearest(df, {"q": [0.0, 0.0]}, 5).collect()] == [0]
     assert vx.category_centroids(df).first()["size"] == 1
