@@ -130,8 +130,9 @@ def _windows(offsets: list[int], size: int, errors: int, n: int) -> Iterator[tup
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about ``block_items``, dealt out by a hash of their id and text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
+    """The distinct items in blocks of about ``block_items``, dealt out by a hash of their id and text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
+                             F.col("text").alias("text")).distinct()
     n = -(-items.count() // block_items)
     for i in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
@@ -149,7 +150,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, min_wor
     pieces give the stretches to verify, so nothing within the budget is missed.
     Items of fewer than ``min_words`` words are too common to tell a leak and
     are not matched; null and empty texts hold no item and are none. A document
-    comes back once per item, repeated rows each on their own.
+    comes back once per item and text of an item, repeated documents each on
+    their own; a repeated item counts once.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))

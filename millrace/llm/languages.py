@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -25,7 +24,6 @@ FAMILIES = {
     "japonic": "ja", "koreanic": "ko", "vietic": "vi", "tai": "th lo", "caucasian": "ka hy",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 # Letters stay, bytes of non-ASCII characters too, everything else is a space.
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -34,6 +32,11 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0], "other")
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits, fractions and raised numbers are none."""
+    return any(map(str.isalpha, text))
+
+
 def vector(text: str) -> np.ndarray:
     """Square roots of the shares of hashed byte n-grams (1 to 3), a vector of unit length."""
     data = f" {text.lower()} ".encode().translate(_PLAIN)
@@ -75,7 +78,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """A learned language and a score from 0 to 1; ``und`` and 0 without letters or a model."""
-        if not self.families or not text or not _LETTER.search(text):
+        if not self.families or not text or not has_letter(text):
             return "und", 0.0
         x = vector(text)
         at = np.flatnonzero(x)
@@ -150,7 +153,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         for batch in batches:
             rows = [(lang, vector(text).astype("<f4").tobytes())
                     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    if _LETTER.search(text)]
+                    if has_letter(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
                                               pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 

@@ -97,3 +97,11 @@ def test_planted_items(spark, documents, sf_dir):
     assert exact and exact <= got
     assert got == {(d, i) for d, i, _ in brute_leaks([(d["doc_id"], d["text"]) for d in docs if len(
         d["text"]) < 2000 or d["doc_id"] in {x for x, _ in got}], [(i["item_id"], i["text"]) for i in items])}
+
+
+def test_repeated_items_count_once(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "none of it")], "doc_id LONG, text STRING")
+    items = spark.createDataFrame([(5, item)] * 3, "item_id LONG, text STRING")
+    assert [(r["doc_id"], r["item_id"]) for r in op.leaks(docs, items).collect()] == [(1, 5)]
+    assert [r["doc_id"] for r in op.clean(docs, items).collect()] == [2]

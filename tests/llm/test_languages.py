@@ -47,3 +47,8 @@ def test_families_and_pairs():
     model = op.fit(x, langs)
     assert model.members == {"germanic": ["de", "en", "nl"], "romance": ["es", "fr"], "slavic": ["ru"], "other": ["tlh"]}
     assert len(model.pairs["germanic"]) == 3 and "slavic" not in model.pairs
+
+
+def test_signs_that_are_no_letters():
+    assert not any(map(op.has_letter, ("", "12 ½ ² _ ٣", "!?")))
+    assert op.has_letter("1 é") and op.has_letter("字")
