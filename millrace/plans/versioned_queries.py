@@ -22,7 +22,7 @@ Q = QuerySet()
 
 _START = datetime.datetime(2024, 3, 1)
 _OPERATIONS = ["append", "append", "append", "merge", "delete", "rollback"]
-_RICH = F.col("balance") > 9000
+_RICH = "balance > 9000"
 
 
 def _first_version():
@@ -56,7 +56,7 @@ def _state(spark, sf, version):
     if version <= 3 or version == 6:
         return _appended(spark, sf, min(version, 3)).drop("_first")
     merged = vt.upsert(_state(spark, sf, 3), _merge_source(spark, sf), "customer_id", ["tier"])
-    return merged if version == 4 else vt.delete_where(merged, _RICH)
+    return merged if version == 4 else vt.delete_where(merged, F.expr(_RICH))
 
 
 def _log(spark, sf, until=6):
@@ -213,7 +213,7 @@ def t10_preview(spark, sf):
 
 @Q.add("T11_predicate_delete", _ROW, f"SELECT * FROM {_state_sql(5)} AS s")
 def t11(spark, sf):
-    return vt.delete_where(_state(spark, sf, 4), _RICH)
+    return vt.delete_where(_state(spark, sf, 4), F.expr(_RICH))
 
 
 @Q.add("T12_compaction", "file_count_ok bool, record_count long",
