@@ -15,7 +15,10 @@ WEIGHTS = {0: 0.7, TEXT: 1.0, VERSIONED: 0.9, NAME: 0.7, HINT: 0.4}
 
 @dataclass(frozen=True)
 class Signature:
-    """``pattern`` is matched against lower-case words joined by single spaces, at word borders."""
+    """``pattern`` is matched against lower-case words joined by single spaces, at word borders.
+
+    Every match, with the spaces around it, must contain ``keyword``.
+    """
 
     label: str
     priority: int
@@ -30,7 +33,8 @@ BASE = (
     Signature("reserved", 0, "all rights reserved", "all rights reserved"),
 )
 
-# License families as (label, keyword, full name, short name, versions).
+# License families as (label, keyword of the full name, full name, short name, versions);
+# a short name is its own keyword.
 FAMILIES = (
     ("gpl", "gpl", "", "gpl", "1 2 3"),
     ("gpl", "general public licen", "(?:gnu )?general public licen[cs]e", "", "1 2 3"),
@@ -70,7 +74,7 @@ CC_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
 PHRASES = (
     ("mit", TEXT, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", NAME, "mit licen", "(?:the )?mit licen[cs]e"),
-    ("mit", NAME, "licensed under", "licen[cs]ed under (?:the )?mit"),
+    ("mit", NAME, "ed under", "licen[cs]ed under (?:the )?mit"),
     ("expat", NAME, "expat", "expat licen[cs]e"),
     ("isc", TEXT, "permission to use copy modify", "permission to use copy modify and(?: or)? distribute this software for any purpose"),
     ("isc", NAME, "isc licen", "isc licen[cs]e"),
@@ -83,7 +87,7 @@ PHRASES = (
     ("bsd-4", VERSIONED, "bsd", "(?:bsd 4 clause|4 clause bsd)(?: licen[cs]e)?"),
     ("bsd-0", VERSIONED, "bsd", "(?:bsd zero clause|0bsd|zero clause bsd)(?: licen[cs]e)?"),
     ("apache-2", TEXT, "apache licen", "licen[cs]ed under the apache licen[cs]e version 2 0(?: the licen[cs]e)?"),
-    ("apache", NAME, "apache licen", "apache (?:software )?licen[cs]e"),
+    ("apache", NAME, "apache", "apache (?:software )?licen[cs]e"),
     ("gpl", TEXT, "free software foundation", "under the terms of the gnu general public licen[cs]e as published by the free software foundation"),
     ("lgpl", TEXT, "free software foundation", "under the terms of the gnu (?:lesser|library) general public licen[cs]e as published by the free software foundation"),
     ("agpl", TEXT, "free software foundation", "under the terms of the gnu affero general public licen[cs]e as published by the free software foundation"),
@@ -114,7 +118,7 @@ PHRASES = (
     ("ofl", NAME, "open font licen", "(?:sil )?open font licen[cs]e"),
     ("odbl", NAME, "open database licen", "open database licen[cs]e"),
     ("proprietary", NAME, "proprietary", "proprietary and confidential"),
-    ("proprietary", HINT, "unauthorized", "unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
+    ("proprietary", HINT, "unauthori", "unauthori[sz]ed (?:copying|use|reproduction|distribution)"),
     ("proprietary", NAME, "no part of this", "no part of this (?:\\S+ ){1,3}may be reproduced"),
     ("reserved", NAME, "all rights reserved", "copyright (?:c )?(?:\\d{4} )?(?:\\S+ ){0,6}all rights reserved"),
     ("reserved", NAME, "some rights reserved", "some rights reserved"),
@@ -124,7 +128,7 @@ PHRASES = (
     ("copyright", HINT, "copyright", "copyright (?:c )?(?:\\d{4} )?"
                                      "(?:by |of )?\\S+"),
     ("spdx", HINT, "spdx", "spdx licen[cs]e identifier \\S+"),
-    ("license", HINT, "licensed under", "licen[cs]ed under (?:the )?(?:terms of )?(?:the )?\\S+"),
+    ("license", HINT, "ed under", "licen[cs]ed under (?:the )?(?:terms of )?(?:the )?\\S+"),
 )
 
 
@@ -139,18 +143,19 @@ def signatures() -> list[Signature]:
         for version in versions.split():
             number = _number(version)
             major = f"{label}-{version.removesuffix('.0')}"
-            for name in filter(None, (full, short)):
-                table.append(Signature(major, VERSIONED, keyword, f"{name} (?:version |v )?{number}"))
-                table.append(Signature(major, VERSIONED, keyword, f"{name} v{number}"))
+            for name, key in ((full, keyword), (short, f" {short}")):
+                if name:
+                    table.append(Signature(major, VERSIONED, key, f"{name} (?:version |v )?{number}"))
+                    table.append(Signature(major, VERSIONED, key, f"{name} v{number}"))
             if full:
                 table.append(Signature(major, VERSIONED, keyword,
                                        f"version {number} (?:\\d+ )?of the {full}"))
                 table.append(Signature(f"{major}-or-later", VERSIONED, keyword,
                                        f"{full} (?:version |v ?)?{number}(?: 0)? or (?:any )?later(?: version)?"))
             if short:
-                table.append(Signature(f"{major}-or-later", VERSIONED, keyword,
+                table.append(Signature(f"{major}-or-later", VERSIONED, f" {short}",
                                        f"{short} (?:v ?)?{number}(?: 0)? or later"))
-                table.append(Signature(f"{major}-only", VERSIONED, keyword,
+                table.append(Signature(f"{major}-only", VERSIONED, f" {short}",
                                        f"{short} (?:v ?)?{number}(?: 0)? only"))
     for label, short, full in CC_PARTS:
         table.append(Signature(label, NAME, "cc by", f"cc {short}"))

@@ -1,4 +1,7 @@
 import re
+from dataclasses import replace
+from itertools import islice, product
+from re import _parser
 
 from millrace.llm import licenses as op
 
@@ -81,3 +84,44 @@ def test_table(documents):
         assert rule.keyword == rule.keyword.lower()
     plan = op.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def variants(parsed):
+    """All strings of a parsed pattern: each option, letter of a class and branch; least repeats of longer runs."""
+    parts = []
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            parts.append([chr(v) for k, v in value if str(k) == "LITERAL"] or [
+                "7" if "DIGIT" in str(value) else "x"])
+        elif name == "BRANCH":
+            parts.append([s for branch in value[1] for s in variants(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(variants(value[3]))
+        elif name == "MAX_REPEAT":
+            low, high, inner = value
+            counts = (0, 1) if (low, high) == (0, 1) else (low,)
+            parts.append([s for n in counts for s in map("".join, product(variants(inner), repeat=n))])
+        else:
+            raise ValueError(name)
+    return list(map("".join, islice(product(*parts), 5000)))
+
+
+def test_every_match_holds_its_keyword():
+    for rule in [*op.BASE, *op.signatures()]:
+        for text in variants(_parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text) and rule.keyword in f" {text} ", (rule, text)
+
+
+def test_each_signature_alone(spark):
+    """The scan finds what it finds where every rule runs on every text."""
+    table = op.signatures()
+    texts = [variants(_parser.parse(r.pattern))[-1] for r in table]
+    texts += ["EUPL-1.2", "OSL 3.0", "AFL-2.1 or later", "BSL-1.0", "ODbL 1.0", "OFL-1.1 only", "ZPL 2.1",
+              "licenced under MIT", "licenced under terms", "Unauthorised copying", "Apache Software Licence"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got, want = ({r["doc_id"]: r["found"] for r in op.detections(docs, table=rules).collect()}
+                 for rules in (table, [replace(r, keyword="") for r in table]))
+    assert got == want and all(got.values())
