@@ -146,7 +146,8 @@ def signatures() -> list[Signature]:
             for name, key in ((full, keyword), (short, f" {short}")):
                 if name:
                     table.append(Signature(major, VERSIONED, key, f"{name} (?:version |v )?{number}"))
-                    table.append(Signature(major, VERSIONED, key, f"{name} v{number}"))
+                    joint = " ?v?" if name == short else " v"  # short names also as one word: gplv3
+                    table.append(Signature(major, VERSIONED, key, f"{name}{joint}{number}"))
             if full:
                 table.append(Signature(major, VERSIONED, keyword,
                                        f"version {number} (?:\\d+ )?of the {full}"))
@@ -154,9 +155,9 @@ def signatures() -> list[Signature]:
                                        f"{full} (?:version |v ?)?{number}(?: 0)? or (?:any )?later(?: version)?"))
             if short:
                 table.append(Signature(f"{major}-or-later", VERSIONED, f" {short}",
-                                       f"{short} (?:v ?)?{number}(?: 0)? or later"))
+                                       f"{short} ?(?:v ?)?{number}(?: 0)? or later"))
                 table.append(Signature(f"{major}-only", VERSIONED, f" {short}",
-                                       f"{short} (?:v ?)?{number}(?: 0)? only"))
+                                       f"{short} ?(?:v ?)?{number}(?: 0)? only"))
     for label, short, full in CC_PARTS:
         table.append(Signature(label, NAME, "cc by", f"cc {short}"))
         table.append(Signature(label, NAME, "creative commons", f"creative commons {full}"))

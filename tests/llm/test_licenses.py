@@ -125,3 +125,11 @@ def test_each_signature_alone(spark):
     got, want = ({r["doc_id"]: r["found"] for r in op.detections(docs, table=rules).collect()}
                  for rules in (table, [replace(r, keyword="") for r in table]))
     assert got == want and all(got.values())
+
+
+def test_one_word_versions(spark):
+    want = {"GPLv2": "gpl-2", "GPLv3": "gpl-3", "LGPLv3": "lgpl-3", "AGPLv3": "agpl-3", "MPLv2": "mpl-2",
+            "gpl3": "gpl-3", "LGPLv2.1 or later": "lgpl-2.1-or-later", "GPLv2 only": "gpl-2-only"}
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in op.scan(docs).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
