@@ -67,19 +67,21 @@ class _Item:
 class Matcher:
     """Finds the items of a block in texts."""
 
-    def __init__(self, items: list[tuple[int, str | None]], max_error: float, min_words: int) -> None:
+    def __init__(self, items: list[tuple[int, str | None]], max_error: float, min_words: int,
+                 short_exact: bool = False) -> None:
         import ahocorasick
 
         self._items: list[_Item] = []
         listed: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < max(1, min_words):
+            short = len(words) < min_words
+            if not words or short and not short_exact:
                 continue
             masks: dict[str, int] = {}
             for i, word in enumerate(words):
                 masks[word] = masks.get(word, 0) | 1 << i
-            errors = budget(len(words), max_error)
+            errors = 0 if short else budget(len(words), max_error)
             for start, piece in pieces(words, errors):
                 listed.setdefault(f" {' '.join(piece)} ", []).append((len(self._items), start))
             self._items.append(_Item(item_id, len(words), errors, masks))
@@ -140,7 +142,7 @@ def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int,
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, min_words: int = 8,
-          block_items: int = 20_000) -> DataFrame:
+          block_items: int = 20_000, short_exact: bool = False) -> DataFrame:
     """Return (doc_id, item_id, distance, item_words, last_word) for each item found in a document.
 
     An item counts as found if some stretch of the document is within
@@ -148,8 +150,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, min_wor
     query set: it is held in blocks of ``block_items`` items, each matched
     against all documents in one pass without a shuffle. The hits of an item's
     pieces give the stretches to verify, so nothing within the budget is missed.
-    Items of fewer than ``min_words`` words are too common to tell a leak and
-    are not matched; null and empty texts hold no item and are none. A document
+    Items of fewer than ``min_words`` words are matched word for word if
+    ``short_exact`` is set, and not at all otherwise; null and empty texts hold
+    no item and are none. A document
     comes back once per item and text of an item, repeated documents each on
     their own; a repeated item counts once.
     """
@@ -157,16 +160,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, min_wor
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = None
     for items in _blocks(benchmark, block_items):
-        part = source.mapInArrow(_finder(spark.sparkContext.broadcast(items), max_error, min_words), LEAKS)
+        part = source.mapInArrow(_finder(
+            spark.sparkContext.broadcast(items), max_error, min_words, short_exact), LEAKS)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], LEAKS)
 
 
-def _finder(items, max_error: float, min_words: int):
+def _finder(items, max_error: float, min_words: int, short_exact: bool):
     schema = pa.schema([(f.split()[0], pa.int64()) for f in LEAKS.split(", ")])
 
     def batches(rows):
-        matcher = Matcher(items.value, max_error, min_words)
+        matcher = Matcher(items.value, max_error, min_words, short_exact)
         for batch in rows:
             hits = [(doc, item, distance, size, last)
                     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -178,14 +182,14 @@ def _finder(items, max_error: float, min_words: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, min_words: int = 8,
-          block_items: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were; one pass per block."""
+          block_items: int = 20_000, short_exact: bool = False) -> DataFrame:
+    """The rows of ``docs`` that hold no item, as in ``leaks``, all columns as they were; one pass per block."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     for items in _blocks(benchmark, block_items):
         shared = spark.sparkContext.broadcast(items)
 
         def batches(rows, shared=shared):
-            matcher = Matcher(shared.value, max_error, min_words)
+            matcher = Matcher(shared.value, max_error, min_words, short_exact)
             for batch in rows:
                 yield batch.filter(pa.array([next(matcher.find(t), None) is None
                                              for t in batch.column(at).to_pylist()], pa.bool_()))

@@ -105,3 +105,20 @@ def test_repeated_items_count_once(spark):
     items = spark.createDataFrame([(5, item)] * 3, "item_id LONG, text STRING")
     assert [(r["doc_id"], r["item_id"]) for r in op.leaks(docs, items).collect()] == [(1, 5)]
     assert [r["doc_id"] for r in op.clean(docs, items).collect()] == [2]
+
+
+def test_short_items_are_found_word_for_word(spark, tmp_path):
+    import corpus_pipeline
+    from millrace.llm import queries
+    docs = spark.createDataFrame([(1, "so: What is TWO plus two? four"), (2, "what is two plus three"),
+                                  (3, "two two two"), (4, "what is is two plus two"), (5, None), (6, "")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(7, "What is two plus two?"), (8, "two two"), (9, ""), (10, None)],
+                                  "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"], r["item_words"])
+                 for r in queries.op8_decontamination(spark, str(tmp_path)).collect())
+    assert got == [(1, 7, 0, 5), (3, 8, 0, 2)]
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6]
