@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import (archives, decontaminate, languages, licenses, mixing, pu_quality,
-                          quality_rules, simhash, token_files, url_rules)
+from millrace.llm import (archives, conversation_repair, decontaminate, integer_clusters, languages,
+                          learned_partitions, licenses, mixing, pu_quality, quality_rules, simhash,
+                          token_files, url_rules)
 from millrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,9 +72,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, languages.learn(docs))
 
 
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth vector."""
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_integer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distances and centroid digest of every vector."""
+    return integer_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every damaged conversation."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_simhash, op3_token_files, op4_arc_to_warc, op5_url_rules, op6_license_scan,
-    op7_quality_classifier, op8_decontamination, op9_mixing, op10_language_id)}
+    op7_quality_classifier, op8_decontamination, op9_mixing, op10_language_id, op11_learned_partitions,
+    op12_integer_clusters, op13_conversation_repair)}
 
 
 def _quality_sql() -> str:
@@ -121,4 +138,5 @@ _WARC_SQL = """
            CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
     FROM m"""
 
-SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op4_arc_to_warc": _WARC_SQL}
+SQL: dict[str, str] = {"op1_quality_rules": _quality_sql(), "op4_arc_to_warc": _WARC_SQL,
+                       "op12_integer_clusters": integer_clusters.sql()}
