@@ -27,9 +27,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A new folder for raw files in the shared folder, as a URI or an absolute path."""
-    return shared_folder(spark, f"llm-{label}")
+    """A new folder for raw files in the shared folder, as a URI that names its file system.
+
+    A path without a scheme lies on Spark's default file system, which need not
+    be the local one that ``pyarrow.fs`` would take it for.
+    """
+    jvm, path = spark.sparkContext._jvm, shared_folder(spark, f"llm-{label}")
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
