@@ -2,7 +2,9 @@
 
 Each stage takes the documents its predecessor kept and returns a frame that is
 written as Parquet and read again for the next one. All stages but the last
-return the columns of ``documents`` as they came.
+return the columns of ``documents`` as they came. Null and empty texts, null
+ids, repeated rows, extra columns and empty tables pass every stage, as the
+operator of each says.
 """
 
 from __future__ import annotations
@@ -15,27 +17,27 @@ from millrace.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; null and empty texts score alike, repeats each on their own."""
     return pu_quality.keep_good(docs, pu_quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group; empty texts are one, rows without an id stay."""
     return simhash.one_per_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), short_exact=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of sources, languages and topics."""
+    """Documents sampled to the target weights of sources, languages and topics; empty texts weigh nothing and stay."""
     return mixing.sampled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32; an empty text is the end id alone."""
     return token_files.read_tokens(token_files.write_tokens(
         docs, public_tokenizers.path(queries.TOKENIZER), queries.END_ID))
 

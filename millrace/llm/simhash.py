@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import as_bytes, written
+from millrace.llm.common import as_bytes, unused, written
 from millrace.llm.components import components
 
 SEED = 42
@@ -36,17 +36,19 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """Return (doc_id, fp) of every row of ``docs``; whole texts, no shuffle."""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
+                 extra: str | None = None) -> DataFrame:
+    """Return (doc_id, fp) of every row of ``docs``, and the long column ``extra``; whole texts, no shuffle."""
+    more = [extra] if extra else []
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
 
     def batches(rows):
         for batch in rows:
             fps = [fingerprint(t, shingle) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]],
+                                             names=["doc_id", "fp", *more])
 
-    return source.mapInArrow(batches, "doc_id long, fp long")
+    return source.mapInArrow(batches, ", ".join(["doc_id long", "fp long", *(f"`{c}` long" for c in more)]))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -92,6 +94,13 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
         (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & first).select("a", "b")
 
 
+def _rooted(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``nodes``, one row per fingerprint, with the root of each one's component."""
+    roots = components(links(nodes.select("fp"), distance, segments), "simhash")
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                     distance: int = 3, segments: int = 2) -> DataFrame:
     """Return doc_id, fingerprint (hex), component_id and group_size for every row of ``docs``.
@@ -104,26 +113,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     marked = written(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes.select("fp"), distance, segments), "simhash")
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "roots")
+    rooted = written(_rooted(nodes, distance, segments), "roots")
     groups = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
     named = rooted.select("fp", "root").join(groups, "root").select("fp", "component_id", "group_size")
     return marked.join(named, "fp").select(
         "doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "group_size")
 
 
-def one_per_group(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """Keep one document of each near-duplicate group: the one with the smallest doc_id.
+def one_per_group(docs: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
+    """Keep one row of each near-duplicate group: the one with the smallest doc_id, all columns as they were.
 
-    Of rows that repeat one doc_id, one stays. Rows without a doc_id have no
-    identity to be chosen by and are kept as they are.
+    A row is judged by its own text: rows that repeat a doc_id with unlike
+    texts belong to different groups and may both stay. Of rows of one group
+    that share the smallest id, the one whose columns hash lowest stays; of
+    rows equal in every column, one. Rows without a doc_id have no identity to
+    be chosen by and are kept as they are, though their texts link others.
     """
-    found = near_duplicates(docs, distance=distance)
-    winners = found.groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("wins"), F.count("*").alias("n")).where("wins")
-    once, more = winners.where("n = 1").select("doc_id"), winners.where("n > 1").select("doc_id")
-    kept = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.join(more, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
+    row = unused(docs, "__row")
+    hashed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    rows = written(fingerprints(hashed, extra=row).groupBy("fp", "doc_id", row).agg(F.count("*").alias("n")),
+                   "fingerprints")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", row, "n"))
+    nodes = written(rows.groupBy("fp").agg(F.min(named).alias("first")), "nodes")
+    winners = written(_rooted(nodes, distance, segments).groupBy("root").agg(F.min("first").alias("first")).where(
+        "first is not null").select("first.*"), "winners")
+    once, more = winners.where("n = 1").drop("n"), winners.where("n > 1").drop("n")
+    kept = hashed.join(once, ["doc_id", row], "left_semi").select(*docs.columns)
+    equal = hashed.join(more, ["doc_id", row], "left_semi").dropDuplicates(["doc_id", row]).select(*docs.columns)
+    return kept.unionByName(equal).unionByName(docs.where(F.col("doc_id").isNull()))

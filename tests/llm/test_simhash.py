@@ -80,6 +80,19 @@ def test_components_of_long_chain(spark):
     assert cc.components(edges.limit(0), "test").collect() == []
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b, c = ("first text about rivers and long bridges", "second one on quiet forests at night", "third on high hills")
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (2, c, "x"), (3, c, "x"), (3, c, "x"), (4, a, "x"), (1, a, "y"), (5, a, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    for parts in (1, 5):
+        kept = op.one_per_group(frame.repartition(parts))
+        assert kept.columns == frame.columns
+        got = sorted((r["doc_id"], r["text"]) for r in kept.collect())
+        assert got == sorted([(1, a), (1, b), (2, c)])
+    equal = spark.createDataFrame([(7, a)] * 3 + [(None, a)], "doc_id long, text string")
+    assert sorted(op.one_per_group(equal).collect(), key=str) == sorted(equal.distinct().collect(), key=str)
+
+
 def test_one_document_of_each_group_stays(odd_docs):
     kept = op.one_per_group(odd_docs)
     assert kept.columns == odd_docs.columns
