@@ -51,6 +51,49 @@ def test_default_margins_are_met(spark):
     assert abs(sum(r["kept"] for r in got) - expected) < 4 * np.sqrt(expected)
 
 
+def skewed(spark):
+    """One source of a third of all tokens and a long tail of small ones, with one rare topic."""
+    rng = np.random.default_rng(9)
+    cells = [("big", f"l{j}", k, 40_000 // (1 + 30 * (k == 3))) for j in range(3) for k in range(4)]
+    cells += [(f"s{i}", f"l{j}", k, int(rng.integers(1, 9))) for i in range(300) for j in range(3) for k in range(4)]
+    return spark.createDataFrame(cells, "source string, lang string, topic int, tokens long").groupBy(
+        "source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
+
+
+def test_bound_within_the_raking(spark):
+    """At the production bound no ratio exceeds it, and the margins that can be met are met."""
+    frame = skewed(spark)
+    free, _ = op.rake(frame)
+    top = max(r["ratio"] for r in free.collect())
+    assert top > op.MAX_RATIO
+    raked, fit = op.rake(frame, max_ratio=op.MAX_RATIO, rounds=12)
+    rows = raked.collect()
+    assert max(r["ratio"] for r in rows) <= op.MAX_RATIO * (1 + 1e-9)
+    total = sum(r["tokens"] for r in rows)
+    worst = {}
+    for name, temper in op.TEMPER.items():
+        seen, got = {}, {}
+        for r in rows:
+            seen[r[name]] = seen.get(r[name], 0) + r["tokens"]
+            got[r[name]] = got.get(r[name], 0) + r["tokens"] * r["ratio"] / total
+        whole = sum(v ** temper for v in seen.values())
+        worst[name] = max(abs(got[k] / sum(got.values()) - seen[k] ** temper / whole) for k in seen)
+    assert worst["lang"] < 0.01 and worst["topic"] < 0.01 and worst["source"] < 0.01, (worst, fit)
+
+
+def test_bound_beyond_all_ratios_changes_nothing(spark):
+    frame = skewed(spark)
+    a, b = ({(r["source"], r["lang"], r["topic"]): r["ratio"] for r in op.rake(frame, max_ratio=m)[0].collect()}
+            for m in (float("inf"), 1e6))
+    assert all(abs(a[k] - b[k]) < 1e-9 * a[k] for k in a)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"some longer words number {i}", "en", "s", 1, 2) for i in range(40)],
+                                 "doc_id long, text string, lang string, source string, __topic int, __probability int")
+    assert op.sampled(docs).columns == docs.columns
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = op.mix(odd_docs).collect()
     assert len(got) == odd_docs.count()
