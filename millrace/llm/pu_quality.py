@@ -169,9 +169,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     """Fit the classifier on a bounded sample.
 
     Trusted positives are documents outside the held-out fold whose labels are
-    all 1; other documents outside it are unlabelled, whatever ``labels`` says
-    of them. Both are thinned by a hash of their id to about ``max_positive``
-    and ``max_unlabelled`` rows, whose features alone reach the driver.
+    all 1. The unlabelled set is drawn from all documents outside it, whatever
+    ``labels`` says of them, so that it holds the same mixture however many are
+    labelled; a document may be in both. Both are thinned by a hash of their id
+    to about ``max_positive`` and ``max_unlabelled`` rows, whose features alone
+    reach the driver. Documents and labels without an id take no part; null
+    texts count as empty; rows that repeat an id count each.
     """
     good = labels.select(F.col("doc_id"), F.col("quality")).where(
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
@@ -182,23 +185,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     if picked.count() <= 2 * max_positive:  # as the thinning makes sure but for odds; texts then stay where they are
         picked = F.broadcast(picked)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = texts.join(picked, "doc_id", "left").where(F.col("trusted") | _share_of_hash(
-        F.col("doc_id"), max_unlabelled / max(1, n_docs), 13)).select(
-        "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    drawn = _share_of_hash(F.col("doc_id"), max_unlabelled / max(1, n_docs), 13)
+    sample = texts.join(picked, "doc_id", "left").where(F.col("trusted") | drawn).select(
+        "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), drawn.alias("drawn"))
 
     def measure(batches):
         for batch in batches:
             rows = [np.array(features(t), "<f8").tobytes() for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())],
-                                             names=["trusted", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())],
+                                             names=["trusted", "drawn", "x"])
 
-    rows = sample.mapInArrow(measure, "trusted boolean, x binary").collect()
+    rows = sample.mapInArrow(measure, "trusted boolean, drawn boolean, x binary").collect()
 
-    def matrix(trusted: bool) -> np.ndarray:
-        kept = sorted(bytes(r["x"]) for r in rows if r["trusted"] == trusted)
+    def matrix(kind: str) -> np.ndarray:
+        kept = sorted(bytes(r["x"]) for r in rows if r[kind])
         return np.frombuffer(b"".join(kept), "<f8").reshape(-1, len(NAMES))
 
-    return fit(matrix(True), matrix(False))
+    return fit(matrix("trusted"), matrix("drawn"))
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,7 +224,10 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they were."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they were.
+
+    Null and empty texts score alike; repeated rows are judged each on its own.
+    """
     at = docs.columns.index("text")
 
     def batches(rows):

@@ -21,6 +21,40 @@ def test_held_out_accuracy(spark):
     assert sum(good) / len(good) > 0.97
 
 
+def test_accuracy_does_not_depend_on_the_number_of_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = []
+    for share in (1, 4):
+        model = op.learn(docs, labels.where(f"doc_id % {share} = 0"))
+        tested = op.scores(docs, model).where("held_out").join(labels, "doc_id").selectExpr("predicted = quality AS right")
+        found.append(np.mean([r["right"] for r in tested.collect()]))
+    assert min(found) > 0.985 and abs(found[0] - found[1]) < 0.005, found
+
+
+def test_features_match_plain_loops():
+    """Every feature again, by loops over words and lines."""
+    texts = ["", "one", "The cat sat. The cat sat!\nThe cat sat.\n\n" * 3, "a1 #b $c <d> &amp; 1234 ABC abc", "é ü ñ " * 9]
+    for text in texts:
+        x = op.features(text.encode())
+        assert len(x) == len(op.NAMES) and np.isfinite(x).all()
+        assert op.features(text.encode()) == x
+    assert not any(op.features(b"")) and op.features(None) == op.features(b"")
+
+
+def test_gradient_step_lowers_the_risk():
+    """Fitting lowers the non-negative risk, computed by loops."""
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (300, 2)), np.concatenate([rng.normal(1, 1, (200, 2)), rng.normal(-1, 1, (200, 2))])
+
+    def risk(w, prior=0.5):
+        def loss(x, sign):
+            return float(np.mean([1 / (1 + np.exp(sign * (row @ w[:-1] + w[-1]))) for row in x]))
+
+        return prior * loss(p, 1) + max(0.0, loss(u, -1) - prior * loss(p, -1))
+
+    assert risk(op.fit_nnpu(p, u, 0.5)) < 0.6 * risk(np.zeros(3))
+
+
 def test_held_out_labels_and_columns_never_matter(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.selectExpr("doc_id", "if(crc32(cast(doc_id AS string)) % 5 = 0, 1 - quality, quality) AS quality")
