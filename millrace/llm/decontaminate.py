@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.common import worker_state
+
 _WORD = re.compile(r"\w+")
 LEAKS = "doc_id long, item_id long, distance long, item_words long, last_word long"
 
@@ -161,16 +164,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, min_wor
     found = None
     for items in _blocks(benchmark, block_items):
         part = source.mapInArrow(_finder(
-            spark.sparkContext.broadcast(items), max_error, min_words, short_exact), LEAKS)
+            _Block(spark, items), max_error, min_words, short_exact), LEAKS)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], LEAKS)
 
 
+def _matcher(items, *options) -> Matcher:
+    """The matcher of a block of items, built once per worker and kept until another block comes."""
+    state, mark = worker_state(), (items.id, *options)
+    if state.get("matcher", (None,))[0] != mark:
+        state["matcher"] = mark, Matcher(items.items.value, *options)
+    return state["matcher"][1]
+
+
+class _Block:
+    """A broadcast block of items and a name of its own for it."""
+
+    def __init__(self, spark, items: list) -> None:
+        self.items, self.id = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+
 def _finder(items, max_error: float, min_words: int, short_exact: bool):
     schema = pa.schema([(f.split()[0], pa.int64()) for f in LEAKS.split(", ")])
 
     def batches(rows):
-        matcher = Matcher(items.value, max_error, min_words, short_exact)
+        matcher = _matcher(items, max_error, min_words, short_exact)
         for batch in rows:
             hits = [(doc, item, distance, size, last)
                     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
@@ -186,10 +204,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.2, min_wor
     """The rows of ``docs`` that hold no item, as in ``leaks``, all columns as they were; one pass per block."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     for items in _blocks(benchmark, block_items):
-        shared = spark.sparkContext.broadcast(items)
+        shared = _Block(spark, items)
 
         def batches(rows, shared=shared):
-            matcher = Matcher(shared.value, max_error, min_words, short_exact)
+            matcher = _matcher(shared, max_error, min_words, short_exact)
             for batch in rows:
                 yield batch.filter(pa.array([next(matcher.find(t), None) is None
                                              for t in batch.column(at).to_pylist()], pa.bool_()))
