@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -15,88 +19,106 @@ from millrace.llm.seekable import Entry, TokenFileReader, TokenFileWriter, crc32
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, first_doc long, last_doc long"
 
 
+#: Signs that may stand behind a word; neither an apostrophe nor ``<``, which can begin tokens of their own.
 _TAIL = ".,;:!?#%&*$|"
+#: Letters that stay single letters when normalised and lower-cased, whatever ASCII sign follows: ASCII and Latin-1.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = f"^[{_LETTERS}]+[{_TAIL}]*$"
+_GROUP_BYTES = 8 << 20
 
+# The layout of a tokenizer file for which texts encode chunk by chunk and words regardless of case.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-class _Chunks(dict):
-    """Packed ids of chunks of text between spaces.
 
-    Two generations of at most about ``limit`` chunks each: chunks still in use
-    move to the young one, so that common words are encoded once per worker.
-    """
-
-    def __init__(self, path: str, limit: int) -> None:
-        from tokenizers import Tokenizer
+class Encoder:
+    """Token ids of texts, equal to those of encoding each text whole.
 
-        super().__init__({"": b""})
-        self._tokenizer, self._limit, self._old = Tokenizer.from_file(path), limit, {}
-
-    def fill(self, chunks: set[str]) -> None:
-        if len(self) > self._limit:
-            self._old = dict(self)
-            self.clear()
-            self[""] = b""
-        split = []
-        for chunk in chunks:
-            if chunk not in self:
-                known = self._old.get(chunk)
-                if known is None:
-                    split.append((chunk, *_stem(chunk)))
-                else:
-                    self[chunk] = known
-        need = {part for _, *parts in split for part in parts if part not in self}
-        known = {part: self._old[part] for part in need if part in self._old}
-        self.update(known)
-        missing = list(need - known.keys())
-        for at in range(0, len(missing), 20_000):
-            block = missing[at:at + 20_000]
-            for part, code in zip(block, self._tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                self[part] = np.array(code.ids, "<u4").tobytes()
-        for chunk, head, tail in split:
-            self[chunk] = self[head] + self[tail]
-
-
-def _stem(chunk: str) -> tuple[str, str]:
-    """A word and the punctuation behind it, whose ids in turn are those of the chunk.
-
-    Tokens never span a letter and punctuation behind it unless an apostrophe
-    is near, and case does not count; ``<`` may begin a special token.
+    Tokenizers of one layout (NFC, lower case, white space dropped, words and
+    signs apart) are run on the distinct chunks between spaces only: a chunk of
+    letters and signs behind it has the ids of the lower-case letters and those
+    of the signs. Any other tokenizer encodes every text as it is.
     """
-    head = chunk.rstrip(_TAIL)
-    if head == chunk or not head or not head[-1].isalpha() or "'" in chunk:
-        head = chunk
-    if head.isascii() and "<" not in head:
-        return head.lower(), chunk[len(head):]
-    return head, chunk[len(head):]
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-def encoder(tokenizer_path: str, cache_limit: int = 400_000):
-    """Return a function from a list of texts to their packed ids.
-
-    For tokenizers that drop white space and whose tokens never span a space:
-    a text then encodes to the ids of its space- and newline-separated chunks
-    in turn, and each chunk is encoded once per worker while it is kept.
-    """
+        self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as source:
+            layout = json.load(source)
+        pre = (layout["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        added = [t for t in layout["added_tokens"] if t["normalized"] or not t["content"].startswith("<")]
+        self._by_chunk = not added and layout["post_processor"] is None and (
+            (layout["normalizer"] or {}).get("normalizers") == _NORMALIZERS) and (
+            pre[0].get("pattern") == {"Regex": _SPLIT} and [p["type"] for p in pre] == ["Split", "ByteLevel"])
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = texts.fill_null("")
+        size, low = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        while low < len(texts):
+            before = size[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(size, before + _GROUP_BYTES, "right")))
+            group = texts.slice(low, high - low)
+            if self._by_chunk:
+                yield from self._group(group)
+            else:
+                yield from (_pack(i) for i in self._ids(group.to_pylist()))
+            low = high
+
+    def _ids(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), 5000):
+            for code in self._tokenizer.encode_batch_fast(texts[at:at + 5000], add_special_tokens=False):
+                yield code.ids
+
+    def _group(self, texts: pa.Array) -> Iterator[bytes]:
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        flat, lengths = self._distinct(coded.dictionary)
+        ids, ends = _gather(flat, lengths, coded.indices.to_numpy())
+        bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+        for low, high in itertools.pairwise(bounds):
+            yield ids[low:high].tobytes()
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, one after the other, and how many each has."""
+        worded = pc.match_substring_regex(chunks, _WORD)
+        heads = pc.if_else(worded, pc.utf8_lower(pc.utf8_rtrim(chunks, _TAIL)), chunks)
+        tails = pc.if_else(worded, pc.replace_substring_regex(chunks, f"^[{_LETTERS}]+", ""), "")
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        units = parts.dictionary
+        plain = pc.match_substring_regex(units, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        units, tokenize, lists = units.to_pylist(), self._tokenizer.model.tokenize, [None] * len(units)
+        rest = np.flatnonzero(~plain)
+        for at, ids in zip(rest, self._ids([units[i] for i in rest])):
+            lists[at] = ids
+        for at in np.flatnonzero(plain):  # one word as it is: the model's part of encoding alone
+            lists[at] = [token.id for token in tokenize(units[at])]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+        pairs = parts.indices.to_numpy().reshape(2, -1).T.ravel()  # head and tail of each chunk in turn
+        ids, _ = _gather(flat, lengths, pairs)
+        return ids, lengths[pairs].reshape(-1, 2).sum(axis=1)
+
+
+def _pack(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def _gather(flat: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` numbered ``wanted``, joined, and where each ends."""
+    starts, own = np.cumsum(lengths) - lengths, lengths[wanted]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) - np.repeat(ends - own - starts[wanted], own)].astype("<u4"), ends
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """The encoder of a tokenizer file, loaded once per worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     state = worker_state()
-    if ("chunks", tokenizer_path) not in state:
-        state["chunks", tokenizer_path] = _Chunks(tokenizer_path, cache_limit)
-    cache = state["chunks", tokenizer_path]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        coded = []
-        group, seen = [], set()
-        for text in texts:
-            group.append(text.replace("\n", " ").split(" "))
-            seen.update(group[-1])
-            if len(seen) > 50_000:
-                cache.fill(seen)
-                coded += [b"".join(map(cache.__getitem__, chunks)) for chunks in group]
-                group, seen = [], set()
-        cache.fill(seen)
-        return coded + [b"".join(map(cache.__getitem__, chunks)) for chunks in group]
-
-    return encode
+    if ("encoder", tokenizer_path) not in state:
+        state["encoder", tokenizer_path] = Encoder(tokenizer_path)
+    return state["encoder", tokenizer_path]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id",
@@ -135,7 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "
                               ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
                               ("first_doc", pa.int64()), ("last_doc", pa.int64())])
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 if writer is None:
                     uri, out = new_file(folder, f"tokens-{part:06d}-{seq:04d}", ".zst")
                     writer, first = TokenFileWriter(out, frame_bytes), doc

@@ -1,5 +1,6 @@
 import io
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -23,19 +24,41 @@ def whole(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
+def coded(*texts, path=PATH):
+    return [np.frombuffer(ids, "<u4").tolist() for ids in op.encoder(path)(pa.array(texts, pa.string()))]
+
+
 @settings(max_examples=1500, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85\xa0'sStTeEΣσİ́<|endoftext>0aé.,;:!?#%&*$|̸"), st.characters(
-    exclude_categories=("Cs",))), max_size=40))
-def test_chunks_encode_like_whole_texts(text):
-    ids = np.frombuffer(op.encoder(PATH)([text])[0], "<u4").tolist()
-    assert ids == whole(text)
-
-
-def test_cache_generations():
-    cache = op._Chunks(PATH, 3)
-    for words in (["The", "the.", "and"], ["or,", "if"], ["The", "x!!"], ["the.", "<|endoftext|>", "IT'S."]):
-        cache.fill(set(words))
-        assert [np.frombuffer(cache[w], "<u4").tolist() for w in words] == [whole(w) for w in words]
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85\xa0'sStTeEΣσİ́<|endoftext|>0aéÀÿ×.,;:!?#%&*$|̸"), st.characters(
+    exclude_categories=("Cs",))), max_size=40), max_size=4))
+def test_chunks_encode_like_whole_texts(texts):
+    assert coded(*texts) == [whole(t) for t in texts]
+
+
+def test_every_letter_before_every_sign():
+    """Also those that lower-casing or normalising turns into a letter and a mark."""
+    texts = [" ".join(f"{chr(c)}{sign} x{chr(c)}{sign}{sign}" for sign in op._TAIL)
+             for c in range(sys.maxunicode + 1) if chr(c).isalpha() and not 0xD800 <= c < 0xE000]
+    found = coded(*texts)
+    expected = TOKENIZER.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, ids, want in zip(texts, found, expected) if ids != want.ids] == []
+
+
+def test_turkish_hindi_and_hebrew_lines():
+    texts = ["BAKİ, x. İ. İZMİR; ISPARTA!", "क़. ख़, ग़; पढ़ो! हिन्दी में.", "שׁ. בּ, כּל! יִ;", None, "", "ﬁn. ǅ, ŉ! ẞ?"]
+    assert coded(*texts) == [whole(t) for t in texts]
+
+
+def test_groups_of_texts(monkeypatch):
+    texts = ["The the.", "", "and x!! " * 50, "or, if", "<|endoftext|> it's"] * 3
+    monkeypatch.setattr(op, "_GROUP_BYTES", 12)
+    assert coded(*texts) == [whole(t) for t in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, texts = Tokenizer.from_file(path), ["BIG big Big.", " two  spaces\n", "", "<|endoftext|>"]
+    assert coded(*texts, path=path) == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def brute(docs):
