@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,13 +19,14 @@ WEIGHTS = {0: 0.7, TEXT: 1.0, VERSIONED: 0.9, NAME: 0.7, HINT: 0.4}
 class Signature:
     """``pattern`` is matched against lower-case words joined by single spaces, at word borders.
 
-    Every match, with the spaces around it, must contain ``keyword``.
+    Every match, with the spaces around it, must contain ``keyword`` and ``also``.
     """
 
     label: str
     priority: int
     keyword: str
     pattern: str
+    also: str = ""
 
 
 #: Base phrases; their labels are never suppressed.
@@ -145,37 +148,50 @@ def signatures() -> list[Signature]:
             major = f"{label}-{version.removesuffix('.0')}"
             for name, key in ((full, keyword), (short, f" {short}")):
                 if name:
-                    table.append(Signature(major, VERSIONED, key, f"{name} (?:version |v )?{number}"))
+                    table.append(Signature(major, VERSIONED, key, f"{name} (?:version |v )?{number}", number))
                     joint = " ?v?" if name == short else " v"  # short names also as one word: gplv3
-                    table.append(Signature(major, VERSIONED, key, f"{name}{joint}{number}"))
+                    table.append(Signature(major, VERSIONED, key, f"{name}{joint}{number}", number))
             if full:
                 table.append(Signature(major, VERSIONED, keyword,
-                                       f"version {number} (?:\\d+ )?of the {full}"))
+                                       f"version {number} (?:\\d+ )?of the {full}", f"version {number}"))
                 table.append(Signature(f"{major}-or-later", VERSIONED, keyword,
-                                       f"{full} (?:version |v ?)?{number}(?: 0)? or (?:any )?later(?: version)?"))
+                                       f"{full} (?:version |v ?)?{number}(?: 0)? or (?:any )?later(?: version)?", "later"))
             if short:
                 table.append(Signature(f"{major}-or-later", VERSIONED, f" {short}",
-                                       f"{short} ?(?:v ?)?{number}(?: 0)? or later"))
+                                       f"{short} ?(?:v ?)?{number}(?: 0)? or later", "or later"))
                 table.append(Signature(f"{major}-only", VERSIONED, f" {short}",
-                                       f"{short} ?(?:v ?)?{number}(?: 0)? only"))
+                                       f"{short} ?(?:v ?)?{number}(?: 0)? only", " only"))
     for label, short, full in CC_PARTS:
         table.append(Signature(label, NAME, "cc by", f"cc {short}"))
         table.append(Signature(label, NAME, "creative commons", f"creative commons {full}"))
         for version in CC_VERSIONS.split():
             number = _number(version)
-            table.append(Signature(f"{label}-{version}", VERSIONED, "cc by", f"cc {short} {number}"))
+            table.append(Signature(f"{label}-{version}", VERSIONED, "cc by", f"cc {short} {number}", number))
             table.append(Signature(f"{label}-{version}", VERSIONED, "creative commons",
-                                   f"creative commons {full} {number}(?: international| unported)?"))
+                                   f"creative commons {full} {number}(?: international| unported)?", number))
     return table
 
 
 def _literal(table: list[Signature]) -> Column:
     return F.array(*[F.struct(
         F.lit(i).alias("rule"), F.lit(s.label).alias("label"), F.lit(s.priority).alias("priority"),
-        F.lit(s.keyword).alias("keyword"), F.lit(f"(?i)(?<= )(?:{s.pattern})(?= )").alias("pattern"))
+        F.lit(s.keyword).alias("keyword"), F.lit(s.also).alias("also"), F.lit(f"(?i)(?<= )(?:{s.pattern})(?= )").alias("pattern"))
         for i, s in enumerate(table)])
 
 
+def fragments(keywords: list[str]) -> list[str]:
+    """Strings of at most ten characters, one of which every keyword contains; few, and rare in other texts."""
+    left, chosen = set(keywords), []
+    while left:
+        held: dict[str, int] = {}
+        for word in left:
+            for part in {word[i:i + n] for n in range(6, 11) for i in range(len(word) - n + 1)} | {word}:
+                held[part] = held.get(part, 0) + 1
+        chosen.append(min(held, key=lambda part: (-held[part], -len(part), part)))
+        left = {word for word in left if chosen[-1] not in word}
+    return chosen
+
+
 def _spaces(text: Column) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -186,8 +202,8 @@ def detections(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     ``found`` is an array of (start, end, label, priority, rule) in text order;
     start and end count words from 0, end excluded. A rule's regular expression
-    runs only on texts that contain its keyword, and nothing else runs on texts
-    that contain none. A detection contained in one of the same or a stronger
+    runs, once, only on texts that contain its keyword; on texts that contain
+    no fragment of any keyword nothing else runs. A detection contained in one of the same or a stronger
     priority is suppressed (of equal ones the first in the table stands); base
     phrases always stand. Null and empty texts have no words and no detection;
     other columns are ignored. No shuffle; whole texts.
@@ -200,15 +216,22 @@ def detections(docs: DataFrame, key: str = "doc_id", text: str = "text",
         _spaces(F.col("_plain")) + 1).cast("long").alias("n_words"),
         F.concat(F.lit(" "), F.col("_plain"), F.lit(" ")).alias("_text"))
     lowered = worded.select(key, "n_words", "_text", F.lower("_text").alias("_lower"))
-    present = lowered.select(key, "n_words", "_text", F.filter(
-        F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_lower"), k)).alias("_present"))
+    # The lower-case text is used twice and more at each step, so that no step computes it again for every keyword.
+    lower, nothing = F.col("_lower"), F.array().cast("array<string>")
+    likely = reduce(or_, [F.contains(lower, F.lit(part)) for part in fragments(keywords)])
+    present = lowered.select(key, "n_words", "_text", "_lower", F.when(likely, F.filter(
+        F.array(*map(F.lit, keywords)), lambda k: F.contains(lower, k))).otherwise(nothing).alias("_present"))
     hits = present.select(key, "n_words", F.when(F.size("_present") > 0, F.transform(
-        F.filter(_literal(rules), lambda r: F.array_contains("_present", r["keyword"])),
+        F.filter(_literal(rules), lambda r: F.array_contains("_present", r["keyword"]) & F.contains(lower, r["also"])),
         lambda r: F.struct(
             r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"),
-            F.transform(F.split("_text", r["pattern"]), lambda p: _spaces(p) - 1).alias("gaps"),
-            F.transform(F.regexp_extract_all("_text", r["pattern"], F.lit(0)),
-                        lambda m: _spaces(m) + 1).alias("sizes")))).alias("_hits"))
+            F.split(F.regexp_replace("_text", r["pattern"], F.lit("\x01$0\x01")), "\x01").alias("pieces")))).alias("_hits"))
+    # Text outside and inside of matches in turn; a match shares the spaces around it with what is outside.
+    sized = hits.select(key, "n_words", F.transform(F.filter("_hits", lambda h: F.size(h["pieces"]) > 1), lambda h: F.struct(
+        h["rule"].alias("rule"), h["label"].alias("label"), h["priority"].alias("priority"),
+        F.transform(F.filter(h["pieces"], lambda p, i: i % 2 == 0), lambda p: _spaces(p) - 1).alias("gaps"),
+        F.transform(F.filter(h["pieces"], lambda p, i: i % 2 == 1), lambda p: _spaces(p) + 1).alias("sizes")
+    )).alias("_hits"))
     kind = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"
     none = F.array().cast(kind)
 
@@ -223,8 +246,7 @@ def detections(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return F.aggregate(F.sequence(F.lit(0), F.size(hit["sizes"]) - 1),
                            F.struct(F.lit(0).alias("at"), none.alias("list")), step, lambda acc: acc["list"])
 
-    placed = hits.select(key, "n_words", F.coalesce(F.flatten(F.transform(
-        F.filter("_hits", lambda h: F.size(h["sizes"]) > 0), places)), none).alias("_all"))
+    placed = sized.select(key, "n_words", F.coalesce(F.flatten(F.transform("_hits", places)), none).alias("_all"))
     # Text order, the longer first, then the stronger, then the earlier rule.
     ordered = placed.select(key, "n_words", F.transform(F.array_sort(F.transform("_all", lambda d: F.struct(
         d["start"], (-d["end"]).alias("back"), d["priority"], d["rule"], d["label"]))), lambda d: F.struct(

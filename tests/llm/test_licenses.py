@@ -84,6 +84,9 @@ def test_table(documents):
         assert rule.keyword == rule.keyword.lower()
     plan = op.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+    assert plan.count(" lower(") == 1  # the text is lower-cased once, not once for each keyword
+    keywords = sorted({r.keyword for r in [*op.BASE, *table]})
+    assert all(any(f in k for f in op.fragments(keywords)) for k in keywords)
 
 
 def variants(parsed):
@@ -113,6 +116,7 @@ def test_every_match_holds_its_keyword():
     for rule in [*op.BASE, *op.signatures()]:
         for text in variants(_parser.parse(rule.pattern)):
             assert re.fullmatch(rule.pattern, text) and rule.keyword in f" {text} ", (rule, text)
+            assert rule.also in f" {text} ", (rule, text)
 
 
 def test_each_signature_alone(spark):
@@ -123,7 +127,7 @@ def test_each_signature_alone(spark):
               "licenced under MIT", "licenced under terms", "Unauthorised copying", "Apache Software Licence"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     got, want = ({r["doc_id"]: r["found"] for r in op.detections(docs, table=rules).collect()}
-                 for rules in (table, [replace(r, keyword="") for r in table]))
+                 for rules in (table, [replace(r, keyword="", also="") for r in table]))
     assert got == want and all(got.values())
 
 
