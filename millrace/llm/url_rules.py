@@ -92,17 +92,41 @@ def labelled_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[SiteRule]
     return known.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+def token_classes(labelled: DataFrame, min_support: float = 0.002) -> DataFrame:
+    """Return (token, item, n) of the frequent tokens: ``item`` is the smallest token of the same rows, ``n`` their number.
+
+    Tokens that occur in exactly the same rows (by two 64-bit hashes of them)
+    make one item, and tokens of every row none: with or without them a rule
+    has the same support and confidence. So tokens that always stand together,
+    however many, cost mining no more than one.
+    """
+    rows = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens")
+    occurs = rows.select("row", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"))
+    total = labelled.count()
+    often = occurs.where((F.col("n") < total) & (F.col("n") >= total * min_support - 1e-9))
+    grouped = often.groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return grouped.select(F.explode("tokens").alias("token"), "item", "n")
+
+
+def mine(labelled: DataFrame, classes: DataFrame, min_support: float = 0.002,
+         min_confidence: float = 0.8) -> DataFrame:
     """Mine rules (antecedent, verdict, confidence, support, lift) by FP-growth.
 
-    Every labelled URL is a transaction of its tokens and its verdict. Rules
-    are kept from the given support and confidence on if they lift their
-    verdict above its base rate, and dropped if leaving out one token gives a
-    rule for the same verdict that is as sure. ``min_support`` bounds the
-    number of frequent tokens, which is all that reaches the driver.
+    Every labelled URL is a transaction of the items of its tokens (see
+    ``token_classes``) and its verdict. Rules are kept from the given support
+    and confidence on if they lift their verdict above its base rate, and
+    dropped if leaving out one item gives a rule for the same verdict that is
+    as sure. ``min_support`` bounds the number of frequent items, which is all
+    that reaches the driver.
     """
     n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(_VERDICT), "verdict")).alias("items"))
+    rows = labelled.select(F.monotonically_increasing_id().alias("row"), "verdict", "tokens").select(
+        "row", "verdict", F.explode_outer("tokens").alias("token"))
+    baskets = rows.join(classes.select("token", "item"), "token", "left").groupBy("row", "verdict").agg(
+        F.collect_set("item").alias("items")).select(
+        F.array_append("items", F.concat(F.lit(_VERDICT), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence,
                      numPartitions=n).fit(baskets)
     target = F.col("consequent")[0]
@@ -120,25 +144,26 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     return found.join(needless, ["antecedent", "verdict"], "left_anti")
 
 
-def index(mined: DataFrame, labelled: DataFrame) -> DataFrame:
-    """List each rule under the rarest token of its antecedent."""
-    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    pairs = mined.select("antecedent", "verdict", "confidence", "support",
-                         F.explode("antecedent").alias("token")).join(often, "token")
+def index(mined: DataFrame, classes: DataFrame) -> DataFrame:
+    """List each rule under the rarest item of its antecedent."""
+    pairs = mined.select("antecedent", "verdict", "confidence", "support", F.explode("antecedent").alias("item")).join(
+        classes.select("item", "n").distinct(), "item")
     return pairs.groupBy("antecedent", "verdict", "confidence", "support").agg(
-        F.min_by("token", F.struct("n", "token")).alias("token"))
+        F.min_by("item", F.struct("n", "item")).alias("item"))
 
 
-def match(urls: DataFrame, listed: DataFrame) -> DataFrame:
+def match(urls: DataFrame, listed: DataFrame, classes: DataFrame) -> DataFrame:
     """Return url, verdict, confidence and antecedent of the best mined rule for each (url, tokens) row.
 
-    A URL looks its tokens up in the index, and a rule found there is verified
-    against all tokens. The surest rule decides, then the best supported, then
-    the antecedent in text order. URLs that no rule fits are absent.
+    A URL has an item if it has any token of it. It looks its items up in the
+    index, and a rule found there is verified against all of them. The surest
+    rule decides, then the best supported, then the antecedent in text order.
+    Urls are distinct; those that no rule fits are absent.
     """
-    asked = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    hits = asked.join(listed, "token").where(
-        F.size(F.array_intersect("antecedent", "tokens")) == F.size("antecedent"))
+    items = urls.select("url", F.explode("tokens").alias("token")).join(classes, "token").groupBy("url").agg(
+        F.collect_set("item").alias("items"))
+    hits = items.select("url", "items", F.explode("items").alias("item")).join(listed, "item").where(
+        F.size(F.array_intersect("antecedent", "items")) == F.size("antecedent"))
     best = hits.groupBy("url").agg(F.max(F.struct(
         "confidence", "support", F.array_join("antecedent", " ").alias("antecedent"), "verdict")).alias("best"))
     return best.select("url", "best.verdict", "best.confidence", "best.antecedent")
@@ -161,11 +186,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[SiteRule] = RULES
     if labelled.isEmpty():
         best = spark.createDataFrame([], "url string, verdict string, confidence double, antecedent string")
     else:
-        listed = written(index(mine(labelled, min_support, min_confidence), labelled), "url-rules")
+        classes = written(token_classes(labelled, min_support), "url-items")
+        listed = written(index(mine(labelled, classes, min_support, min_confidence), classes), "url-rules")
         open_urls = ruled.where(F.col("ruled").isNull() & F.col("url").isNotNull()).select(
             "url", "host", "path").distinct().select(
             "url", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-        best = match(open_urls, listed)
+        best = match(open_urls, listed, classes)
     found = best.select("url", F.col("verdict").alias("by_mined"), "confidence", F.col("antecedent").alias("mined"))
     joined = ruled.join(found, "url", "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce(

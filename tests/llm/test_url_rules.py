@@ -1,3 +1,4 @@
+import time
 from itertools import combinations
 
 import pytest
@@ -76,7 +77,7 @@ def labelled(spark):
 def test_mined_rules_match_brute_force(labelled):
     rows, frame = labelled
     got = {(tuple(r["antecedent"]), r["verdict"]): r["confidence"]
-           for r in op.mine(frame, 0.05, 0.6).collect()}
+           for r in op.mine(frame, op.token_classes(frame, 0.05), 0.05, 0.6).collect()}
     want = brute_mine(rows, 0.05, 0.6)
     assert got.keys() == want.keys() and got
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -84,11 +85,12 @@ def test_mined_rules_match_brute_force(labelled):
 
 def test_index_finds_what_a_scan_finds(labelled, spark):
     rows, frame = labelled
-    mined = op.mine(frame, 0.05, 0.6)
+    classes = op.token_classes(frame, 0.05)
+    mined = op.mine(frame, classes, 0.05, 0.6)
     rules = mined.collect()
     urls = spark.createDataFrame([(f"u{i}", list(c)) for i, c in enumerate(
         c for n in range(1, 6) for c in combinations("abcdz", n))], "url string, tokens array<string>")
-    got = {r["url"]: (r["verdict"], r["antecedent"]) for r in op.match(urls, op.index(mined, frame)).collect()}
+    got = {r["url"]: (r["verdict"], r["antecedent"]) for r in op.match(urls, op.index(mined, classes), classes).collect()}
     for u in urls.collect():
         fits = [(r["confidence"], r["support"], " ".join(r["antecedent"]), r["verdict"]) for r in rules
                 if set(r["antecedent"]) <= set(u["tokens"])]
@@ -96,6 +98,37 @@ def test_index_finds_what_a_scan_finds(labelled, spark):
         assert got.get(u["url"]) == (best and (best[3], best[2]))
 
 
+def test_tokens_that_stand_together_are_one_item(spark):
+    rows = [([t for t in "abcd" if (i * 7 + ord(t) * 3) % (ord(t) - 95) == 0] + ["all"], "block" if i % 4 else "allow")
+            for i in range(80)]
+    rows = [(ts + ["p", "q"] * ("b" in ts and "c" in ts) + ["r"] * ("b" in ts and "c" in ts), v) for ts, v in rows]
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    classes = op.token_classes(frame, 0.05)
+    item = {r["token"]: r["item"] for r in classes.collect()}
+    held = {t: frozenset(i for i, (ts, _) in enumerate(rows) if t in ts) for ts, _ in rows for t in ts}
+    assert item == {t: min(u for u in held if held[u] == held[t]) for t in held if 4 <= len(held[t]) < 80}
+    assert item["q"] == item["r"] == "p" and "all" not in item
+    got = {(tuple(r["antecedent"]), r["verdict"]): r["confidence"] for r in op.mine(frame, classes, 0.05, 0.6).collect()}
+    want = {(tuple(sorted({item.get(t, t) for t in a})), v): c for (a, v), c in brute_mine(rows, 0.05, 0.6).items()}
+    assert got and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    urls = spark.createDataFrame([("u", ["r", "x"]), ("v", ["x"])], "url string, tokens array<string>")
+    listed = spark.createDataFrame([(["p"], "block", 0.9, 0.5, "p")],
+                                   "antecedent array<string>, verdict string, confidence double, support double, item string")
+    assert [tuple(r) for r in op.match(urls, listed, classes).collect()] == [("u", "block", 0.9, "p")]
+
+
+def test_forty_shared_tokens(spark):
+    """Mining does not enumerate the subsets of tokens that always stand together."""
+    path = "/".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    pages = spark.createDataFrame([(i, f"http://q.net/{path}/{i % 7}" if i % 2 else f"http://q.net/other/{i % 5}")
+                                   for i in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 3)], "doc_id long, quality int")
+    start = time.time()
+    verdicts = {(r["page_id"] % 2, r["verdict"]) for r in op.judge(pages, labels).collect()}
+    assert verdicts == {(0, "block"), (1, "allow")}
+    assert time.time() - start < 30
+
+
 def test_empty_tables(spark, no_labels):
     assert op.judge(spark.createDataFrame([], "page_id long, url string, html string"), no_labels).collect() == []
 
