@@ -61,6 +61,23 @@ def s3(spark, sf):
         F.countDistinct("order_status").alias("statuses"))
 
 
+@Q.add("S3_union_by_header", "total_records long, with_status long, with_priority long, with_amount long, "
+       "amount dbl, statuses long",
+       f"""SELECT 3 * COUNT(*) AS total_records, 2 * COUNT(order_status) AS with_status,
+           COUNT(priority) AS with_priority, COUNT(total_amount) AS with_amount, SUM(total_amount) AS amount,
+           COUNT(DISTINCT order_status) AS statuses FROM {ORDERS} AS o""")
+def s3_header(spark, sf):
+    """One folder of files with three headers, their columns in other orders, read in one call."""
+    base = shared_folder(spark, "orders-mixed")
+    for i, columns in enumerate((["order_id", "order_status"], ["priority", "order_id"],
+                                 ["total_amount", "order_status", "order_id"])):
+        ds.orders(spark, sf).select(*columns).write.option("header", True).csv(f"{base}/{i}")
+    return readers.read_csv_by_header(spark, f"{base}/*", _ORDER_SCHEMA, pattern="*.csv").agg(
+        F.count("*").alias("total_records"), F.count("order_status").alias("with_status"),
+        F.count("priority").alias("with_priority"), F.count("total_amount").alias("with_amount"),
+        F.sum("total_amount").alias("amount"), F.countDistinct("order_status").alias("statuses"))
+
+
 @Q.add("S4_parquet_scan", "order_id long, total_amount dbl",
        f"SELECT order_id, total_amount FROM {ORDERS} AS o WHERE order_date >= DATE '2001-01-01'")
 def s4(spark, sf):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str],
@@ -24,6 +27,68 @@ def read_csv(spark: SparkSession, path: str | Sequence[str],
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
+def file_headers(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+    """Return (header, files): the distinct first lines of text files and the files that begin with each.
+
+    Tasks find the first lines, in one scan that parses nothing; only the
+    groups reach the caller. Files without a line are absent.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    lines = reader.text(path if isinstance(path, str) else list(path)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    # Rows of a block are numbered in their order, and the block at 0 holds the first line.
+    first = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(
+        F.min_by("value", "at").alias("header"))
+    return first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
+def read_csv_by_header(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None,
+                       pattern: str | None = None) -> DataFrame:
+    """All CSV files of a glob, whatever columns each has and in whatever order, matched by column name.
+
+    Files are grouped by their header and each group is read once, with its own
+    columns; a column that a file lacks reads as NULL. ``schema`` gives the
+    types by name and the order of columns; names it lacks come behind, as
+    text. Without it each group's types are inferred, and a column whose types
+    differ becomes long or double if all are numbers, else text. No file with a
+    line gives no rows of ``schema``.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    groups = sorted((r["header"], r["files"]) for r in file_headers(spark, path, pattern).collect())
+    frames = []
+    for header, files in groups:
+        names = next(csv.reader([header.lstrip("\ufeff")]))
+        own = None
+        if wanted is not None:
+            types = {f.name.lower(): f.dataType for f in wanted}
+            own = StructType([StructField(n, types.get(n.lower(), StringType())) for n in names])
+        frames.append(read_csv(spark, [_literal_path(f) for f in files], own))
+    if wanted is None:
+        return union_by_name(_same_types(frames)) if frames else spark.createDataFrame([], StructType([]))
+    return union_by_name([spark.createDataFrame([], wanted), *frames])
+
+
+def _literal_path(uri: str) -> str:
+    """The path of a file URI, such that no sign in it counts as a pattern."""
+    return re.sub(r"([*?{}\[\]\\])", r"\\\1", unquote(uri))
+
+
+def _same_types(frames: Sequence[DataFrame]) -> list[DataFrame]:
+    kinds: dict[str, set[str]] = {}
+    for df in frames:
+        for field in df.schema:
+            kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
+
+    def common(found: set[str]) -> str:
+        if len(found) == 1:
+            return next(iter(found))
+        if found <= {"int", "bigint"}:
+            return "bigint"
+        return "double" if found <= {"int", "bigint", "double"} else "string"
+
+    return [df.select(*[F.col(f"`{c}`").cast(common(kinds[c])).alias(c) for c in df.columns]) for df in frames]
+
+
 def preview_csv(spark: SparkSession, path: str, limit: int | None = None,
                 order_by: Sequence[str] = ()) -> DataFrame:
     """A CSV as a table, optionally its first rows under an order."""
@@ -36,7 +101,7 @@ def preview_csv(spark: SparkSession, path: str, limit: int | None = None,
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """Rows of all frames matched by column name; a column a frame lacks reads as NULL.
 
-    Files whose headers differ must come as one frame per header: a single
+    For files whose headers differ see ``read_csv_by_header``: a single
     multi-path CSV read keeps the first header for every file.
     """
     out = frames[0]
