@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.functions.scalars import json_has, json_int, ratio
+from millrace.operators.ranking import top_n_per_group
 
 LATENESS = "1 hour"
 
@@ -22,13 +23,14 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str,
                 files_per_batch: int | None = None) -> DataFrame:
     """New Parquet files under a path as an unbounded table.
 
-    The path is given to Spark as a pattern that matches it alone: a pattern
-    may name one file as well as a folder, a plain stream path only a folder.
+    The path may be a pattern. A plain path is given to Spark as a pattern that
+    matches it alone: a pattern may name one file as well as a folder, a plain
+    stream path only a folder.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    return reader.parquet(path if "*" in path else f"{path[:-1]}[{path[-1]}]")
 
 
 def with_event_time(df: DataFrame, column: str, lateness: str = LATENESS) -> DataFrame:
@@ -64,9 +66,8 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 
 def newest_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The latest version of each key of a store that updates were appended to."""
-    rest = [c for c in df.columns if c not in keys and c != "batch_id"]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_row"))
-    return newest.select(*keys, "_row.*")
+    newest = top_n_per_group(df, list(keys), [F.desc("batch_id")], 1, F.col("batch_id"), "_newest")
+    return newest.select(*[c for c in df.columns if c != "batch_id"])
 
 
 def ingest(messages: DataFrame, schema: StructType | str, path: str) -> None:
@@ -190,7 +191,7 @@ def serve_and_refresh(transform: Callable[[DataFrame], DataFrame], needs_vector:
     return write
 
 
-def sales_batches(enrich: Callable[[DataFrame], DataFrame], path: str
+def sales_batches(enrich: Callable[[DataFrame], DataFrame], path: str, arrived: Column | None = None
                   ) -> Callable[[DataFrame, int], None]:
     """A batch writer for sales per day and category of the newly arrived order lines.
 
@@ -199,17 +200,29 @@ def sales_batches(enrich: Callable[[DataFrame], DataFrame], path: str
     where adaptive execution may broadcast a small side or split a hot key,
     which a plan of the stream itself could not. A row per order is stored, so
     an order whose lines arrive in several batches still counts once; ``sales``
-    adds the batches up when they are read.
+    adds the batches up when they are read. ``arrived`` says when a line came
+    in, by default the time of its batch; rows are kept apart by the hour of it.
     """
     store = store_batch(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        per_order = enrich(batch).groupBy("batch_date", "product_category", "order_id").agg(
-            F.sum("total_amount").alias("amount"))
-        store(per_order.withColumn("processed_at", F.current_timestamp()), batch_id)
+        lines = enrich(batch).withColumn("at", F.current_timestamp() if arrived is None else arrived)
+        store(lines.groupBy("batch_date", "product_category", "order_id", F.date_trunc("hour", "at").alias("hour")).agg(
+            F.sum("total_amount").alias("amount"), F.max("at").alias("processed_at")), batch_id)
     return write
 
 
+def hourly_sales(order_rows: DataFrame, day: Column) -> DataFrame:
+    """Orders and revenue of one batch day by the hour their lines came in, over all stored batches.
+
+    An order whose lines arrive in two hours counts in both, with the revenue
+    that came in each; several batches and categories of one hour count it once.
+    """
+    per_order = order_rows.where(F.col("batch_date") == day).groupBy("hour", "order_id").agg(
+        F.sum("amount").alias("amount"))
+    return per_order.groupBy("hour").agg(F.count("*").alias("new_orders"), F.sum("amount").alias("new_revenue"))
+
+
 def sales(order_rows: DataFrame) -> DataFrame:
     """One row per day and category over all stored batches."""
     days = ["batch_date", "product_category"]
