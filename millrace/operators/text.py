@@ -12,12 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.vector_kernels import SCORE_PLACES
 from millrace.operators.ranking import best_per_id, top_n_per_group
+from millrace.sources.shared import shared_folder
 
 # Two or more letters, digits or underscores of any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -76,15 +79,22 @@ def _rows(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.select(F.explode_outer(column).alias(name)).filter(F.col(name).isNotNull())
 
 
-def vocabulary(docs: DataFrame, text: str, max_features: int = 128, bigrams: bool = False,
-               max_df: float = 1.0, stop_words: Sequence[str] = ()) -> DataFrame:
-    """The most frequent terms (ties by term) with document count, total and idf.
+def count_terms(docs: DataFrame, text: str, stop_words: Sequence[str] | None = None,
+                bigrams: bool = False) -> DataFrame:
+    """Adds ``term_counts``: a struct (term, n) per distinct term of the row's whole text.
 
-    Terms in more than ``max_df`` of the documents are left out first. Stop
-    words go before bigrams are formed.
+    The one costly step; a corpus that is both fitted and weighed is counted once and stored (``fit_weighed``).
     """
-    counted = _with_counts(_with_tokens(docs.select(text), text, stop_words, bigrams))
-    n = docs.agg(F.count("*")).scalar()
+    words = default_stop_words() if stop_words is None else stop_words
+    return _with_counts(_with_tokens(docs, text, words, bigrams))
+
+
+def vocabulary(counted: DataFrame, max_features: int = 128, max_df: float = 1.0) -> DataFrame:
+    """The most frequent terms (ties by term) of counted documents, with document count, total and idf.
+
+    Terms in more than ``max_df`` of the documents are left out first.
+    """
+    n = counted.agg(F.count("*")).scalar()
     per_term = _rows(counted, "term_counts", "c").groupBy("c.term").agg(
         F.count("*").alias("df"), F.sum("c.n").alias("total"))
     if max_df < 1.0:
@@ -95,26 +105,51 @@ def vocabulary(docs: DataFrame, text: str, max_features: int = 128, bigrams: boo
 
 def fit(docs: DataFrame, text: str, max_features: int = 128, bigrams: bool = False,
         max_df: float = 1.0, stop_words: Sequence[str] | None = None) -> TextModel:
-    """Fit the vocabulary. The default stop words are Spark's.
+    """Fit the vocabulary. The default stop words are Spark's; they go before bigrams are formed.
 
     The model is held by the driver, like any fitted model: ``max_features``
     terms, however large the corpus.
     """
     words = tuple(default_stop_words() if stop_words is None else stop_words)
-    rows = vocabulary(docs, text, max_features, bigrams, max_df, words).collect()
+    return _fitted(count_terms(docs.select(text), text, words, bigrams), words, bigrams, max_features, max_df)
+
+
+def _fitted(counted: DataFrame, words: tuple[str, ...], bigrams: bool, max_features: int,
+            max_df: float) -> TextModel:
+    rows = vocabulary(counted, max_features, max_df).collect()
     return TextModel({r["term"]: r["idf"] for r in rows}, words, bigrams)
 
 
+def fit_weighed(docs: DataFrame, text: str, max_features: int = 128, bigrams: bool = False, max_df: float = 1.0,
+                stop_words: Sequence[str] | None = None) -> tuple[DataFrame, TextModel]:
+    """The documents with their ``weights``, and the model fitted on them; each text is tokenised once.
+
+    Rows and term counts are stored in the shared folder between the two steps.
+    """
+    words = tuple(default_stop_words() if stop_words is None else stop_words)
+    path = shared_folder(docs.sparkSession, "term-counts")
+    count_terms(docs, text, words, bigrams).write.parquet(path)
+    counted = docs.sparkSession.read.parquet(path)
+    model = _fitted(counted, words, bigrams, max_features, max_df)
+    return weigh_counted(counted, model), model
+
+
 def weigh(docs: DataFrame, text: str, model: TextModel) -> DataFrame:
     """Adds ``weights``: a map from term to L2-normalised TF-IDF weight."""
+    df = _with_tokens(docs, text, model.stop_words, model.bigrams)
+    known = F.filter("_tokens", lambda t: t.isin(*model.idf))
+    return weigh_counted(_with_counts(df.withColumn("_tokens", known)), model)
+
+
+def weigh_counted(counted: DataFrame, model: TextModel) -> DataFrame:
+    """Replaces ``term_counts`` by ``weights``; terms outside the vocabulary have none."""
     terms = list(model.idf)
     idf = F.map_from_arrays(F.array(*[F.lit(t) for t in terms]),
                             F.array(*[F.lit(model.idf[t]) for t in terms]))
-    df = _with_tokens(docs, text, model.stop_words, model.bigrams)
-    df = _with_counts(df.withColumn("_tokens", F.filter("_tokens", lambda t: t.isin(*terms))))
-    raw = F.transform("term_counts", lambda c: F.struct(
+    known = F.filter("term_counts", lambda c: c["term"].isin(*terms))
+    raw = F.transform(known, lambda c: F.struct(
         c["term"].alias("term"), (c["n"] * F.element_at(idf, c["term"])).alias("w")))
-    df = df.withColumn("_raw", raw)
+    df = counted.withColumn("_raw", raw)
     length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, c: acc + c["w"] * c["w"]))
     df = df.withColumn("_length", length)
     scaled = F.transform("_raw", lambda c: F.struct(
@@ -172,15 +207,77 @@ def score(weighted: DataFrame, queries: Mapping[str, str], model: TextModel) ->
             .withColumn("similarity", F.round(dot, SCORE_PLACES)).drop("_q"))
 
 
+def write_postings(weighted: DataFrame, key: str, path: str, champions: int = 64) -> None:
+    """Store the weights as an inverted index: postings by term, heaviest first, and each term's champions.
+
+    One range exchange on (term, weight) lays the postings out, so a term that
+    most documents hold spreads over many files by its weights, and the
+    statistics that Parquet keeps per block say which terms and how large
+    weights it holds. Champions are the ``champions`` heaviest postings of a
+    term, a small table of its own.
+    """
+    heaviest = [F.col("term"), F.desc("weight")]
+    long_form(weighted.select(key, "weights"), key).repartitionByRange(*heaviest).sortWithinPartitions(
+        *heaviest, key).write.parquet(f"{path}/postings")
+    postings = weighted.sparkSession.read.parquet(f"{path}/postings")
+    top_n_per_group(postings, ["term"], [F.desc("weight"), F.asc(key)], champions, F.col(key)).write.parquet(
+        f"{path}/champions")
+
+
+def _floors(champions, parts: Mapping[str, Mapping[str, float]], key: str, k: int) -> dict[str, float]:
+    """For each query a score that its ``k`` best reach at least, from the champions of its terms alone."""
+    floors = {}
+    for query, weights in parts.items():
+        sums: dict = {}
+        for row in champions:
+            if row["term"] in weights:
+                sums[row[key]] = sums.get(row[key], 0.0) + weights[row["term"]] * row["weight"]
+        best = sorted(sums.values(), reverse=True)
+        floors[query] = max(0.0, best[k - 1] - 1e-8) if len(best) >= k else 0.0
+    return floors
+
+
+def search_postings(keys: DataFrame, key: str, path: str, queries: Mapping[str, str], model: TextModel,
+                    k: int = 3) -> DataFrame:
+    """The ``k`` most similar documents per query from an index: query_id, key, similarity, rank.
+
+    Only postings of the queries' terms are read. A document that reaches the
+    floor that the champions set must get an even share of it from one of the
+    query's terms at least, so only documents with one such heavy posting are
+    summed up; the weight is tested where Parquet is read. Nothing is
+    approximate. Documents that share no term with a query follow by key.
+    """
+    spark = keys.sparkSession
+    parts: dict[str, dict[str, float]] = {q: {} for q in queries}
+    for row in long_form(project_queries(spark, queries, model), "query_id").collect():
+        parts[row["query_id"]][row["term"]] = row["weight"]
+    terms = sorted({t for weights in parts.values() for t in weights})
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*terms))
+    floors = _floors(spark.read.parquet(f"{path}/champions").where(F.col("term").isin(*terms)).collect(), parts, key, k)
+    asked = [(q, t, w, floors[q] / (len(weights) * w)) for q, weights in parts.items() for t, w in weights.items()]
+    wanted = spark.createDataFrame(asked, "query_id STRING, term STRING, _share DOUBLE, _least DOUBLE")
+    lowest = {t: min(least for _, u, _, least in asked if u == t) for t in terms}
+    heavy = reduce(or_, [(F.col("term") == t) & (F.col("weight") >= least) for t, least in lowest.items()], F.lit(False))
+    likely = postings.where(heavy).join(wanted, "term").where(F.col("weight") >= F.col("_least")).select(
+        "query_id", key).distinct()
+    scored = postings.join(wanted, "term").join(likely, ["query_id", key], "left_semi").groupBy("query_id", key).agg(
+        F.round(F.sum(F.col("weight") * F.col("_share")), SCORE_PLACES).alias("similarity"))
+    first = keys.select(key).orderBy(key).limit(2 * k)  # enough, since they count only where fewer than k share a term
+    others = first.select(F.explode(F.array(*map(F.lit, queries))).alias("query_id"), key).join(
+        scored, ["query_id", key], "left_anti").withColumn("similarity", F.lit(0.0))
+    return top_n_per_group(scored.unionByName(others), ["query_id"],
+                           [F.desc("similarity"), F.asc(key)], k, F.col(key))
+
+
 def search(weighted: DataFrame, key: str, queries: Mapping[str, str], model: TextModel,
            k: int = 3, columns: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` most similar documents per query, by cosine, then key.
+    """The ``k`` most similar documents per query, by cosine, then key, over an index written for it.
 
     Only keys and scores are sorted; ``columns`` of the few hits are joined back after.
     """
-    scored = score(weighted.select(key, "weights"), queries, model).drop("weights")
-    hits = top_n_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc(key)], k,
-                           F.col(key))
+    path = shared_folder(weighted.sparkSession, "postings")
+    write_postings(weighted, key, path)
+    hits = search_postings(weighted.select(key), key, path, queries, model, k)
     return hits.join(weighted.select(key, *columns), key) if columns else hits
 
 

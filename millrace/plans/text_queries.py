@@ -59,15 +59,11 @@ def _model_sql(source: str, max_features: int, bigrams: bool, max_df: float,
 
 
 def _doc_model(spark, sf):
-    docs = ds.documents(spark, sf)
-    model = tx.fit(docs, "text", 128, stop_words=_STOP)
-    return tx.weigh(docs, "text", model), model
+    return tx.fit_weighed(ds.documents(spark, sf), "text", 128, stop_words=_STOP)
 
 
 def _item_model(spark, sf):
-    items = ds.items(spark, sf)
-    model = tx.fit(items, "text", 200, bigrams=True, max_df=0.8, stop_words=_STOP)
-    return tx.weigh(items, "text", model), model
+    return tx.fit_weighed(ds.items(spark, sf), "text", 200, bigrams=True, max_df=0.8, stop_words=_STOP)
 
 
 _DOC_SQL = _model_sql(_DOCS_SQL, 128, False, 1.0)
@@ -86,9 +82,8 @@ def v8(spark, sf):
 @Q.add("V9_tfidf_bigrams", "id long, term str, weight dbl6",
        f"{_model_sql(_DOCS_SQL, 200, True, 0.8)} SELECT id, term, weight FROM w")
 def v9(spark, sf):
-    docs = ds.documents(spark, sf)
-    model = tx.fit(docs, "text", 200, bigrams=True, max_df=0.8, stop_words=_STOP)
-    return tx.long_form(tx.weigh(docs, "text", model), "id")
+    return tx.long_form(tx.fit_weighed(ds.documents(spark, sf), "text", 200, bigrams=True, max_df=0.8,
+                                       stop_words=_STOP)[0], "id")
 
 
 @Q.add("V10_query_projection", "query_id str, term str, weight dbl6",
@@ -219,8 +214,8 @@ def u2(spark, sf):
            SELECT id, similarity FROM s ORDER BY similarity DESC, id LIMIT 5""")
 def l5(spark, sf):
     weighted, model = _doc_model(spark, sf)
-    scored = tx.score(weighted, {"one": "der die und rewh"}, model)
-    return scored.orderBy(F.desc("similarity"), "id").select("id", "similarity").limit(5)
+    hits = tx.search(weighted, "id", {"one": "der die und rewh"}, model, 5)
+    return hits.orderBy("rank").select("id", "similarity")
 
 
 @Q.add("V24_hybrid_search", "source str, ref str, score dbl6",
