@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 def existence(df: DataFrame) -> DataFrame:
@@ -32,6 +32,23 @@ def run_checks(df: DataFrame, checks: Mapping[str, Column], expected: int = 0) -
     return _judged(row.select(F.inline(F.array(*cells))), expected)
 
 
+def watched(df: DataFrame, checks: Mapping[str, Column], expected: int = 0
+            ) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The rows, and the checks on them to be read once the rows have been written.
+
+    The checks run in the pass that writes, so nothing is read for them. They
+    may not count distinct values, which that pass cannot.
+    """
+    names, seen = list(checks), Observation()
+    rows = df.observe(seen, *[checks[n].cast("long").alias(f"c{i}") for i, n in enumerate(names)])
+
+    def results() -> DataFrame:
+        found = [(n, seen.get[f"c{i}"]) for i, n in enumerate(names)]
+        return _judged(df.sparkSession.createDataFrame(found, "check_name STRING, observed BIGINT"), expected)
+
+    return rows, results
+
+
 def referential_check(name: str, children: DataFrame, parents: DataFrame, child_key: str,
                       parent_key: str, expected: int = 0) -> DataFrame:
     """Children without a parent, counted.

@@ -9,6 +9,9 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.sources import readers, sinks
@@ -57,6 +60,21 @@ def run_job(spark: SparkSession, source: Mapping[str, Any], transforms: Sequence
     sinks.fan_out(result, *[lambda df, t=t: load(df, t) for t in targets])
 
 
+def fit_and_store(df: DataFrame, features: Sequence[str], label: str, path: str) -> None:
+    """Fit a linear regression on all rows, by its normal equations, and store the whole pipeline."""
+    steps = [VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"),
+             LinearRegression(featuresCol="_features", labelCol="_label", predictionCol="prediction", solver="normal")]
+    known = df.withColumn("_label", F.col(label).cast("double")).where("_label IS NOT NULL")
+    Pipeline(stages=steps).fit(known).write().overwrite().save(path)
+
+
+def score_stored(df: DataFrame, key: str, path: str) -> DataFrame:
+    """Predictions of a stored pipeline: key, prediction, time. Rows that lack a feature have none."""
+    model = PipelineModel.load(path)
+    scored = model.transform(df).select(key, "prediction")
+    return scored.withColumn("prediction_timestamp", F.current_timestamp())
+
+
 def score_batches(df: DataFrame, key: str, features: Sequence[str],
                   predict: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Predictions of an opaque model, in Arrow batches: key, prediction, time.

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime
 
-import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.functions import tables
 from millrace.operators import joins, quality
 from millrace.operators.vectors import append_records
 from millrace.plans import etl
 from millrace.plans.registry import QuerySet
-from millrace.plans.sql_views import CUSTOMERS, ITEMS, LINES, ORDERS, mean
+from millrace.plans.sql_views import CUSTOMERS, EVENTS, ITEMS, LINES, ORDERS, mean
 from millrace.sources import datasets as ds, readers, sinks
 from millrace.sources.shared import shared_folder
 
@@ -51,18 +51,19 @@ def e1(spark, sf):
            FROM {CUSTOMERS} c LEFT JOIN {ORDERS} o ON c.customer_id = o.customer_id GROUP BY 1""")
 def e2(spark, sf):
     base = shared_folder(spark, "e2")
-    ds.customers(spark, sf, country=True).select("customer_id", "customer_name", "email", "country").write.option(
-        "header", True).csv(f"{base}/customers")
-    ds.orders(spark, sf).write.option("header", True).csv(f"{base}/orders")
+    people, addresses = quality.watched(
+        ds.customers(spark, sf, country=True).select("customer_id", "customer_name", "email", "country"),
+        {"email format": quality.violations(~F.col("email").like("%@%"))})
+    people.write.option("header", True).csv(f"{base}/customers")
+    sold, amounts = quality.watched(ds.orders(spark, sf), {
+        "order amount positive": quality.violations(F.col("total_amount") <= 0)})
+    sold.write.option("header", True).csv(f"{base}/orders")
     customers = readers.read_csv(spark, f"{base}/customers", "customer_id BIGINT, "
                                  "customer_name STRING, email STRING, country STRING")
     orders = readers.read_csv(spark, f"{base}/orders", _ORDER_SCHEMA)
     checks = quality.suite(
-        quality.run_checks(customers, {
-            "customer id unique": quality.duplicates("customer_id"),
-            "email format": quality.violations(~F.col("email").like("%@%"))}),
-        quality.run_checks(orders, {
-            "order amount positive": quality.violations(F.col("total_amount") <= 0)}),
+        addresses(), amounts(),
+        quality.run_checks(customers, {"customer id unique": quality.duplicates("customer_id")}),
         quality.referential_check("order has customer", orders, customers, "customer_id",
                                   "customer_id"))
     failed = checks.agg(F.count_if(~F.col("passed"))).scalar()
@@ -141,18 +142,28 @@ def x1(spark, sf):
     return listed.join(used, "file_name")
 
 
-def _double_and_half(features: np.ndarray) -> np.ndarray:
-    return features @ np.array([2.0, 0.5])
+@Q.add("X1_sql_table_function", "event_type str, key str, row_count long, total long",
+       f"""SELECT event_type, key, COUNT(*) AS row_count,
+           SUM(CAST(json_extract_string(event_data, '$.' || key) AS BIGINT)) AS total FROM (
+             SELECT event_type, event_data, UNNEST(json_keys(event_data)) AS key FROM {EVENTS} AS e) AS k
+           GROUP BY 1, 2""")
+def x1_sql(spark, sf):
+    tables.register(spark)
+    return spark.sql("""SELECT event_type, p.key, COUNT(*) AS row_count, SUM(CAST(p.value AS BIGINT)) AS total
+                        FROM {events} AS e, LATERAL json_pairs(e.event_data) AS p GROUP BY 1, 2""",
+                     events=ds.events(spark, sf))
 
 
 @Q.add("X2_batch_scoring", "id long, prediction dbl6",
-       f"""SELECT id, complexity * 2.0::DOUBLE + CAST(cost AS DOUBLE) * 0.5 AS prediction
+       f"""SELECT id, (SELECT regr_intercept(CAST(cost AS DOUBLE), complexity) FROM {ITEMS} AS f)
+           + complexity * (SELECT regr_slope(CAST(cost AS DOUBLE), complexity) FROM {ITEMS} AS g) AS prediction
            FROM {ITEMS} AS i""")
 def x2(spark, sf):
-    path = shared_folder(spark, "x2")
-    sinks.append_parquet(etl.score_batches(ds.items(spark, sf), "id", ["complexity", "cost"],
-                                           _double_and_half), path)
-    return spark.read.parquet(path)
+    """Prices by a regression that is fitted, stored, loaded again and applied."""
+    base, items = shared_folder(spark, "x2"), ds.items(spark, sf)
+    etl.fit_and_store(items, ["complexity"], "cost", f"{base}/model")
+    sinks.append_parquet(etl.score_stored(items, "id", f"{base}/model"), f"{base}/predictions")
+    return spark.read.parquet(f"{base}/predictions")
 
 
 @Q.add("X3_transformation_list", "product_category str, big_lines long, revenue dbl",
