@@ -154,6 +154,30 @@ def batch_sums(normalise: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def start_sums(centers: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For several sets of centres at once: size, vector sum and cost of each centre's rows (``id, vector``).
+
+    One row per task, set and centre; a task holds the sums and one batch.
+    """
+    starts, k, dims = centers.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total, cost = np.zeros((starts, k), np.int64), np.zeros((starts, k, dims)), np.zeros((starts, k))
+        for batch in batches:
+            _, rows = present(batch.column(1), dims)
+            for s in range(starts):
+                gaps = (rows ** 2).sum(axis=1)[:, None] - 2 * rows @ centers[s].T + (centers[s] ** 2).sum(axis=1)
+                near = gaps.argmin(axis=1)
+                size[s] += np.bincount(near, minlength=k)
+                np.add.at(total[s], near, rows)
+                np.add.at(cost[s], near, np.maximum(gaps[np.arange(len(rows)), near], 0.0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(starts), k)), pa.array(np.tile(np.arange(k), starts)),
+             pa.array(size.ravel()), pa.array(list(total.reshape(-1, dims)), pa.list_(pa.float64())),
+             pa.array(cost.ravel())], names=["start", "cluster", "size", "total", "cost"])
+    return run
+
+
 def products_with(names: list, sizes: np.ndarray, centers: np.ndarray
                   ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each row (``category, vector, size``) times every centre: pairs of rows and dot product."""

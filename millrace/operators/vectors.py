@@ -234,6 +234,43 @@ def kmeans_clusters(corpus: DataFrame, k: int = 4, seed: int = 42):
     return model.transform(features).drop("_features"), centers
 
 
+def kmeans_starts(corpus: DataFrame, k: int = 4, starts: int = 10, rounds: int = 30, seed: int = 42
+                  ) -> tuple[DataFrame, DataFrame, list[float]]:
+    """k-means from ``starts`` first sets of rows, advanced together: (rows, centroids, cost of each start).
+
+    A round is one scan, whatever the number of starts: tasks sum up the rows
+    of every start's centroids, and ``starts`` times ``k`` sums come back. The
+    cheapest start counts, of equal ones the first. First centroids are rows
+    chosen by a hash of id and start; an empty centroid stays where it is. Rows
+    without a vector have no cluster.
+    """
+    rows = _scorable(corpus).where("vector IS NOT NULL")
+    firsts = [[r["vector"] for r in rows.orderBy(F.xxhash64("id", F.lit(seed + s)), "id").limit(k).collect()]
+              for s in range(starts)]
+    if not firsts[0]:
+        none = corpus.sparkSession.createDataFrame([], "category INT, vector ARRAY<DOUBLE>")
+        return assign_nearest(corpus, none), none, []
+    centers, cost = np.array(firsts, dtype=float), None
+    for _ in range(rounds):
+        moved = centers.copy()
+        cost = np.zeros(starts)
+        sums = [F.expr(f"sum(total[{i}])").alias(f"s{i}") for i in range(centers.shape[2])]
+        for r in rows.mapInArrow(kernels.start_sums(centers), "start long, cluster long, size long, "
+                                 "total array<double>, cost double").groupBy("start", "cluster").agg(
+                F.sum("size").alias("size"), F.sum("cost").alias("cost"), *sums).collect():
+            cost[r["start"]] += r["cost"]
+            if r["size"]:
+                moved[r["start"], r["cluster"]] = [r[f"s{i}"] / r["size"] for i in range(centers.shape[2])]
+        done = np.allclose(moved, centers, rtol=0, atol=1e-9)
+        if done:
+            break
+        centers = moved
+    best = int(np.argmin(np.round(cost, 9)))
+    centroids = corpus.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(centers[best])], "category INT, vector ARRAY<DOUBLE>")
+    return assign_nearest(corpus, centroids), centroids, [float(c) for c in cost]
+
+
 def cluster_profile(clustered: DataFrame, means: Sequence[str], modes: Sequence[str],
                     sample: str, samples: int = 3) -> DataFrame:
     """Size, means, most frequent attributes and the first sample rows of each cluster.
