@@ -300,6 +300,53 @@ def recommend_for_profile(weighted: DataFrame, key: str, interests: Sequence[str
         "reason", F.concat(F.lit("Based on interest: "), F.col("query_id")))
 
 
+def vector_classes(weighted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of equal weights as one class: (class_id, size, entries) and the membership (key, class_id).
+
+    ``class_id`` is the smallest key of the class. Documents without a weight belong to none.
+    """
+    marked = weighted.where(F.size("weights") > 0).select(F.col(key), F.array_sort(F.transform(
+        F.map_entries("weights"), lambda e: F.struct(e["key"].alias("term"), F.round(e["value"], SCORE_PLACES).alias("w"))
+    )).alias("entries"))
+    classes = marked.groupBy("entries").agg(F.min(key).alias("class_id"), F.count("*").alias("size"))
+    members = marked.join(classes, "entries").select(key, "class_id")
+    return classes, members
+
+
+def similar_classes(classes: DataFrame, model: TextModel, threshold: float = 0.8) -> DataFrame:
+    """Pairs of classes whose cosine reaches ``threshold``: class_a, class_b, size_a, size_b, similarity.
+
+    A prefix-filter join. Terms are put in the order of their rarity; a class's
+    prefix ends where the rest of its vector is shorter than the threshold, so
+    two classes that reach it share a term of both prefixes. Only prefixes are
+    joined, a pair is met under its first shared term alone, and the cosine of
+    each pair met is computed in full. Nothing is missed.
+    """
+    order = sorted(model.idf, key=lambda t: (-model.idf[t], t))  # the idf falls as the document count grows
+    places = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*[F.lit(i) for i in range(len(order))]))
+    line = F.transform(F.array(*map(F.lit, order)), lambda t: F.coalesce(
+        F.try_element_at(F.map_from_entries("entries"), t), F.lit(0.0)))  # a map is searched entry by entry, a line is not
+    ranked = classes.select("class_id", "size", line.alias("weights"), F.array_sort(F.transform(
+        "entries", lambda e: F.struct(F.element_at(places, e["term"]).alias("at"), e["w"].alias("w")))).alias("ranked"))
+    none = F.array().cast("array<int>")
+
+    def longer(seen, e):  # from the end: a term belongs to the prefix if the vector from it on is long enough
+        square = seen["square"] + e["w"] * e["w"]
+        return F.struct(square.alias("square"), F.when(
+            square >= (threshold - 1e-6) ** 2, F.array_append(seen["kept"], e["at"])).otherwise(seen["kept"]).alias("kept"))
+
+    cut = ranked.withColumn("prefix", F.aggregate(F.reverse("ranked"), F.struct(
+        F.lit(0.0).alias("square"), none.alias("kept")), longer, lambda seen: seen["kept"]))
+    listed = cut.select("class_id", "size", "weights", "prefix", F.explode("prefix").alias("at"))
+    a = listed.select("at", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "size", "weights", "prefix")])
+    b = listed.select("at", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "size", "weights", "prefix")])
+    met = a.join(b, "at").where((F.col("class_id_a") < F.col("class_id_b")) & (
+        F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("at")))
+    dot = F.aggregate(F.zip_with("weights_a", "weights_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return met.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), "size_a", "size_b",
+                      F.round(dot, SCORE_PLACES - 1).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def match_profile(hits: DataFrame, means: Sequence[str], counts: Sequence[str]) -> DataFrame:
     """Means and value counts of the matches, in long form, from one pass."""
     cell = lambda field, value, amount: F.struct(

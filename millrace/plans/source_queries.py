@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as agg
 from millrace.plans.registry import QuerySet
-from millrace.plans.sql_views import CUSTOMERS, LAST_EVENT, ORDERS
+from millrace.plans.sql_views import CUSTOMERS, EVENTS, LAST_EVENT, ORDERS
 from millrace.sources import datasets as ds, generators as gen, readers
 from millrace.sources.shared import shared_folder
 
@@ -150,45 +150,40 @@ def s11(spark, sf):
         F.count("*").alias("lines"))
 
 
-@Q.add("S12_sample_orders", "orders long, order_ids long, total_matches long, categories long",
-       """SELECT COUNT(*) AS orders, COUNT(DISTINCT o_orderkey) AS order_ids,
-          COUNT(*) AS total_matches, 7 AS categories FROM orders""")
+@Q.add("S12_sample_orders", "ship_city str, ship_state str, product_category str, rows long, quantity long, total dbl",
+       """SELECT n_name AS ship_city, r_name AS ship_state, p_type AS product_category, COUNT(*) AS rows,
+          SUM(l_quantity) AS quantity, SUM(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(l_quantity AS BIGINT)) AS total
+          FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
+          JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+          JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3""")
 def s12(spark, sf):
-    made = gen.sample_orders(ds.orders(spark, sf).select("order_id"), "order_id")
-    per_category = made.groupBy("product_category").agg(
-        F.count("*").alias("n"), F.count_if(
-            F.col("total_amount") == F.col("unit_price") * F.col("quantity")).alias("m"))
-    ids = made.agg(F.countDistinct("order_id").alias("order_ids")).scalar()
-    return per_category.agg(F.sum("n").alias("orders"), F.sum("m").alias("total_matches"),
-                            F.count("*").alias("categories")).withColumn("order_ids", ids)
+    return gen.flat_orders(spark, sf).groupBy("ship_city", "ship_state", "product_category").agg(
+        F.count("*").alias("rows"), F.sum("quantity").alias("quantity"), F.sum("total_amount").alias("total"))
 
 
-@Q.add("S13_sample_events", "events long, parsed long, types long",
-       "SELECT COUNT(*) AS events, COUNT(*) AS parsed, 4 AS types FROM events")
+@Q.add("S13_sample_events", "event_type str, rows long, users long, total dbl",
+       f"""SELECT event_type, COUNT(*) AS rows, COUNT(DISTINCT user_id) AS users, SUM(value) AS total
+           FROM {EVENTS} AS e GROUP BY 1""")
 def s13(spark, sf):
-    made = gen.sample_events(ds.table(spark, sf, "events").select("event_id"), "event_id")
-    body = F.from_json("event_data", "user_id INT, session_id STRING, value DOUBLE")
-    ok = (body["user_id"].between(1, 1000) & body["session_id"].like("session_%")
-          & body["value"].between(1, 100))
-    return made.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok")).agg(
-        F.sum("n").alias("events"), F.sum("ok").alias("parsed"), F.count("*").alias("types"))
-
-
-@Q.add("S14_date_category_grid", "date str, categories long, in_range bool",
-       f"""SELECT CAST(d AS DATE) AS date, 5 AS categories, TRUE AS in_range FROM (
-           SELECT UNNEST(generate_series(CAST({LAST_EVENT} AS DATE) - INTERVAL 29 DAY,
-             CAST({LAST_EVENT} AS DATE), INTERVAL 1 DAY)) AS d) AS s""")
+    """Events as type and JSON payload, read back from the payload."""
+    body = F.from_json("event_data", "user_id BIGINT, value DECIMAL(12,2)")
+    return gen.payloads(ds.events(spark, sf), ["user_id", "value"]).select("event_type", body.alias("m")).groupBy(
+        "event_type").agg(F.count("*").alias("rows"), F.countDistinct("m.user_id").alias("users"),
+                          F.sum("m.value").alias("total"))
+
+
+@Q.add("S14_date_category_grid", "date str, category str, value dbl, users long, sessions long",
+       f"""SELECT CAST(d AS DATE) AS date, t.event_type AS category, COALESCE(SUM(e.value), 0) AS value,
+           COUNT(DISTINCT e.user_id) AS users, COUNT(e.event_time) AS sessions FROM (
+             SELECT UNNEST(generate_series(CAST({LAST_EVENT} AS DATE) - INTERVAL 29 DAY,
+               CAST({LAST_EVENT} AS DATE), INTERVAL 1 DAY)) AS d) AS s
+           CROSS JOIN (SELECT DISTINCT event_type FROM {EVENTS} AS x) AS t
+           LEFT JOIN {EVENTS} AS e ON e.event_type = t.event_type AND CAST(e.event_time AS DATE) = CAST(d AS DATE)
+           GROUP BY 1, 2""")
 def s14(spark, sf):
-    last = F.max("ts").cast("date")
-    span = ds.table(spark, sf, "events").agg(F.date_sub(last, 29).alias("first"),
-                                             last.alias("last"))
-    grid = gen.date_category_grid(span, "first", "last", [
-        "Analytics", "Data Engineering", "Machine Learning", "Business Intelligence",
-        "Data Science"])
-    ok = (F.col("value").between(50, 499) & F.col("users").between(10, 99)
-          & F.col("sessions").between(100, 999))
-    return grid.groupBy("date").agg(F.countDistinct("category").alias("categories"),
-                                    F.every(ok).alias("in_range"))
+    """The last 30 days of every event type, days without an event included."""
+    return gen.date_category_grid(ds.events(spark, sf), "event_time", "event_type", 30, [
+        F.sum("value").alias("value"), F.countDistinct("user_id").alias("users"), F.count("*").alias("sessions")])
 
 
 @Q.add("S15_source_fallback", "source str, row_count long",

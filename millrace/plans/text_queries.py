@@ -168,6 +168,33 @@ def v17(spark, sf):
     return tx.top_terms(_doc_model(spark, sf)[0], 10)
 
 
+def _rare_word_model(spark, sf):
+    return tx.fit_weighed(ds.documents(spark, sf), "text", 300, max_df=0.05, stop_words=_STOP)
+
+
+_CLASSES_SQL = f"""{_model_sql(_DOCS_SQL, 300, False, 0.05)},
+    e AS (SELECT id, list(term || ':' || round(weight, 9) ORDER BY term) AS k FROM w GROUP BY 1),
+    c AS (SELECT k, MIN(id) AS class_id, COUNT(*) AS size FROM e GROUP BY 1)"""
+
+
+@Q.add("V13_similar_pairs", "class_a long, class_b long, size_a long, size_b long, similarity dbl6",
+       f"""{_CLASSES_SQL}, cw AS (SELECT class_id, size, term, weight FROM c JOIN w ON w.id = class_id)
+           SELECT a.class_id AS class_a, b.class_id AS class_b, any_value(a.size) AS size_a,
+           any_value(b.size) AS size_b, round(SUM(a.weight * b.weight), 8) AS similarity
+           FROM cw a JOIN cw b ON a.term = b.term AND a.class_id < b.class_id GROUP BY 1, 2
+           HAVING round(SUM(a.weight * b.weight), 8) >= 0.8""")
+def v13_pairs(spark, sf):
+    """Documents of cosine 0.8 or more over their rarer words; documents of equal weights are one class."""
+    weighted, model = _rare_word_model(spark, sf)
+    return tx.similar_classes(tx.vector_classes(weighted, "id")[0], model)
+
+
+@Q.add("V13_class_members", "id long, class_id long",
+       f"{_CLASSES_SQL} SELECT e.id, class_id FROM e JOIN c USING (k)")
+def v13_members(spark, sf):
+    return tx.vector_classes(_rare_word_model(spark, sf)[0], "id")[1]
+
+
 @Q.add("V22_recommend_similar", "rank long, id long, text str, similarity dbl6",
        f"""{_item_sql({'query': 'small red ring'})} SELECT rank, r.id, src.text, similarity FROM (
            SELECT *, ROW_NUMBER() OVER (ORDER BY similarity DESC, id) AS rank FROM s WHERE id IN (

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions.scalars import hash_below, hash_pick
+from millrace.sources import datasets as ds
 
 # The categories, products, places and states of the sample order file.
 PRODUCTS = {
@@ -75,18 +76,42 @@ def day_series(first_day: Column, last_day: Column) -> Column:
     return F.sequence(first_day, last_day, F.expr("INTERVAL 1 DAY"))
 
 
-def date_category_grid(span: DataFrame, first_day: str, last_day: str,
-                       categories: Sequence[str]) -> DataFrame:
-    """Every day of each row's span with every category, and three metrics.
+def date_category_grid(rows: DataFrame, time: str, category: str, days: int,
+                       measures: Sequence[Column]) -> DataFrame:
+    """Every one of the last ``days`` days with every category, and its measures, 0 where there is no row.
 
-    The category list is a literal array that is exploded in place, so no rows
-    are shuffled or joined.
+    Days and categories come from one aggregate row and are exploded in place;
+    only the sums per day and category are joined to them.
     """
-    names = F.array(*[F.lit(c) for c in categories])
-    days = span.select(F.explode(day_series(F.col(first_day), F.col(last_day))).alias("date"))
-    grid = days.select("date", F.explode(names).alias("category"))
-    draw = lambda label, low, high: (
-        hash_below(high - low, F.col("date"), F.col("category"), F.lit(label)) + low)
-    return grid.select("date", "category", draw("value", 50, 500).alias("value"),
-                       draw("users", 10, 100).alias("users"),
-                       draw("sessions", 100, 1000).alias("sessions"))
+    last = F.max(time).cast("date")
+    span = rows.agg(last.alias("last"), F.collect_set(category).alias("names"))
+    grid = span.select(F.explode(day_series(F.date_sub("last", days - 1), F.col("last"))).alias("date"), "names").select(
+        "date", F.explode("names").alias("category"))
+    recent = rows.where(F.col(time).cast("date") > F.date_sub(rows.agg(last).scalar(), days))
+    sums = recent.groupBy(F.col(time).cast("date").alias("date"), F.col(category).alias("category")).agg(*measures)
+    return grid.join(sums, ["date", "category"], "left").na.fill(0).select(
+        "date", "category", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums.columns[2:]])
+
+
+def flat_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines in the eleven columns of a flat order file; the total is price times quantity."""
+    orders, customers, nations = (ds.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    lines, parts, regions = (ds.table(spark, sf_dir, t) for t in ("lineitem", "part", "region"))
+    places = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    buyers = customers.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.col("n_name").alias("ship_city"), F.col("r_name").alias("ship_state"))
+    quantity, price = F.col("l_quantity").cast("bigint"), F.col("p_retailprice").cast("decimal(12,2)")
+    return (lines.join(parts, F.col("p_partkey") == F.col("l_partkey"))
+            .join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+            .join(buyers, F.col("c_custkey") == F.col("o_custkey"))
+            .select(F.concat(F.lit("ORD-"), "o_orderkey").alias("order_id"),
+                    F.concat(F.lit("CUST-"), "o_custkey").alias("customer_id"), F.col("p_name").alias("product_name"),
+                    F.col("p_type").alias("product_category"), quantity.alias("quantity"), price.alias("unit_price"),
+                    (price * quantity).alias("total_amount"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"), "ship_city", "ship_state",
+                    F.col("o_orderstatus").alias("order_status")))
+
+
+def payloads(events: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Events as type and a JSON payload of the given columns."""
+    return events.select("event_type", F.to_json(F.struct(*fields)).alias("event_data"))

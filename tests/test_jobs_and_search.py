@@ -93,6 +93,20 @@ def test_postings_find_what_scoring_all_finds(spark, corpus):
             assert [(s, i) for _, s, i in sorted(got[q])] == [(s + 0.0, i) for s, i in sorted(want[q])[:k]], q
 
 
+def test_prefix_filter_misses_no_pair(spark, corpus):
+    weighted, model = corpus
+    classes, members = tx.vector_classes(weighted, "id")
+    vectors = {r["id"]: r["weights"] for r in weighted.collect() if r["weights"]}
+    of = {r["id"]: r["class_id"] for r in members.collect()}
+    assert set(of) == set(vectors) and of[401] == of[0] == 0
+    reps = sorted(set(of.values()))
+    for threshold in (0.5, 0.8):
+        got = {(r["class_a"], r["class_b"]): r["similarity"] for r in tx.similar_classes(classes, model, threshold).collect()}
+        dots = {(a, b): sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items()) for a in reps for b in reps if a < b}
+        assert set(got) == {p for p, d in dots.items() if round(d, 8) >= threshold}
+        assert got and all(abs(got[p] - dots[p]) < 1e-7 for p in got)
+
+
 def test_only_postings_of_the_query_are_read(spark, corpus):
     weighted, model = corpus
     path = shared_folder(spark, "postings-test")
