@@ -22,6 +22,8 @@ from millrace.functions.vector_kernels import SCORE_PLACES
 from millrace.operators.ranking import best_per_id, top_n_per_group
 from millrace.sources.shared import shared_folder
 
+#: Bands of weights, and slices of documents, over which a term's postings spread.
+_BANDS = 16
 # Two or more letters, digits or underscores of any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -210,15 +212,15 @@ def score(weighted: DataFrame, queries: Mapping[str, str], model: TextModel) ->
 def write_postings(weighted: DataFrame, key: str, path: str, champions: int = 64) -> None:
     """Store the weights as an inverted index: postings by term, heaviest first, and each term's champions.
 
-    One range exchange on (term, weight) lays the postings out, so a term that
-    most documents hold spreads over many files by its weights, and the
-    statistics that Parquet keeps per block say which terms and how large
-    weights it holds. Champions are the ``champions`` heaviest postings of a
-    term, a small table of its own.
+    One exchange lays the postings out by term, band of weights and a slice of
+    the documents, so a term that most documents hold spreads over many files,
+    and the statistics that Parquet keeps per block say which terms and how
+    large weights it holds. Champions are the ``champions`` heaviest postings
+    of a term, a small table of its own.
     """
-    heaviest = [F.col("term"), F.desc("weight")]
-    long_form(weighted.select(key, "weights"), key).repartitionByRange(*heaviest).sortWithinPartitions(
-        *heaviest, key).write.parquet(f"{path}/postings")
+    long_form(weighted.select(key, "weights"), key).repartition(
+        "term", F.floor(F.col("weight") * _BANDS), F.pmod(F.xxhash64(key), F.lit(_BANDS))).sortWithinPartitions(
+        "term", F.desc("weight"), key).write.parquet(f"{path}/postings")
     postings = weighted.sparkSession.read.parquet(f"{path}/postings")
     top_n_per_group(postings, ["term"], [F.desc("weight"), F.asc(key)], champions, F.col(key)).write.parquet(
         f"{path}/champions")
