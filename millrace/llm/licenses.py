@@ -8,12 +8,17 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.llm.license_notices import HINT, NAME, NOTICES, TEXT, VERSIONED
+
 #: Everything but digits, ASCII letters and non-ASCII characters parts words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rule order: whole license texts before names with a version, names, and mere hints.
-TEXT, VERSIONED, NAME, HINT = 1, 2, 3, 4
+#: By rule order: whole license texts before names with a version, names, and mere hints.
 WEIGHTS = {0: 0.7, TEXT: 1.0, VERSIONED: 0.9, NAME: 0.7, HINT: 0.4}
 
+#: Words of keywords that many other texts hold too.
+FREQUENT = ("under", "terms", "without", "author", "authors", "source", "software", "purpose", "purposes", "subject",
+            "written", "provided", "before")
+
 
 @dataclass(frozen=True)
 class Signature:
@@ -140,8 +145,8 @@ def _number(version: str) -> str:
 
 
 def signatures() -> list[Signature]:
-    """The whole table, a few hundred rules: phrases as written, families and versions by rule."""
-    table = [Signature(*row) for row in PHRASES]
+    """The whole table, a few hundred rules: phrases and notices as written, families and versions by rule."""
+    table = [Signature(*row) for row in PHRASES + NOTICES]
     for label, keyword, full, short, versions in FAMILIES:
         for version in versions.split():
             number = _number(version)
@@ -179,16 +184,24 @@ def _literal(table: list[Signature]) -> Column:
         for i, s in enumerate(table)])
 
 
-def fragments(keywords: list[str]) -> list[str]:
-    """Strings of at most ten characters, one of which every keyword contains; few, and rare in other texts."""
-    left, chosen = set(keywords), []
+def fragments(keywords: list[str]) -> dict[str, list[str]]:
+    """Strings of at most ten characters, each with the keywords that contain it; every keyword has one.
+
+    A fragment holds five letters of one word, none of ``FREQUENT``, or is a whole keyword.
+    """
+    def parts(word: str) -> set[str]:
+        cut = {word[i:i + n] for n in range(6, 11) for i in range(len(word) - n + 1)}
+        return {c for c in cut if any(len(w) > 4 and not any(w in f for f in FREQUENT) for w in c.split())} | {word}
+
+    left, chosen = {word: parts(word) for word in keywords}, {}
     while left:
         held: dict[str, int] = {}
-        for word in left:
-            for part in {word[i:i + n] for n in range(6, 11) for i in range(len(word) - n + 1)} | {word}:
+        for word, own in left.items():
+            for part in own:
                 held[part] = held.get(part, 0) + 1
-        chosen.append(min(held, key=lambda part: (-held[part], -len(part), part)))
-        left = {word for word in left if chosen[-1] not in word}
+        best = min(held, key=lambda part: (-held[part], -len(part), part))
+        chosen[best] = sorted(word for word in left if best in word)
+        left = {word: own for word, own in left.items() if best not in word}
     return chosen
 
 
@@ -217,10 +230,12 @@ def detections(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.concat(F.lit(" "), F.col("_plain"), F.lit(" ")).alias("_text"))
     lowered = worded.select(key, "n_words", "_text", F.lower("_text").alias("_lower"))
     # The lower-case text is used twice and more at each step, so that no step computes it again for every keyword.
-    lower, nothing = F.col("_lower"), F.array().cast("array<string>")
-    likely = reduce(or_, [F.contains(lower, F.lit(part)) for part in fragments(keywords)])
-    present = lowered.select(key, "n_words", "_text", "_lower", F.when(likely, F.filter(
-        F.array(*map(F.lit, keywords)), lambda k: F.contains(lower, k))).otherwise(nothing).alias("_present"))
+    lower = F.col("_lower")
+    tree = F.array(*[F.struct(F.lit(part).alias("part"), F.array(*map(F.lit, held)).alias("keywords"))
+                     for part, held in fragments(keywords).items()])
+    present = lowered.select(key, "n_words", "_text", "_lower", F.flatten(F.transform(
+        F.filter(tree, lambda t: F.contains(lower, t["part"])),
+        lambda t: F.filter(t["keywords"], lambda k: F.contains(lower, k)))).alias("_present"))
     hits = present.select(key, "n_words", F.when(F.size("_present") > 0, F.transform(
         F.filter(_literal(rules), lambda r: F.array_contains("_present", r["keyword"]) & F.contains(lower, r["also"])),
         lambda r: F.struct(

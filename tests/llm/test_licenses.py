@@ -78,7 +78,7 @@ def test_detections_match_brute_force(spark):
 
 def test_table(documents):
     table = op.signatures()
-    assert len(table) > 300
+    assert len(table) > 500 and len(op.PHRASES + op.NOTICES) > 240
     for rule in table:
         re.compile(rule.pattern)
         assert rule.keyword == rule.keyword.lower()
@@ -86,7 +86,9 @@ def test_table(documents):
     assert "Python" not in plan and "Exchange" not in plan
     assert plan.count(" lower(") == 1  # the text is lower-cased once, not once for each keyword
     keywords = sorted({r.keyword for r in [*op.BASE, *table]})
-    assert all(any(f in k for f in op.fragments(keywords)) for k in keywords)
+    tree = op.fragments(keywords)
+    assert sorted(k for held in tree.values() for k in held) == keywords
+    assert all(part in k and len(part) <= 10 or held == [part] for part, held in tree.items() for k in held)
 
 
 def variants(parsed):
@@ -137,3 +139,38 @@ def test_one_word_versions(spark):
     docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in op.scan(docs).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_notices(spark):
+    """Sentences as users of licenses write them, each with the label it must get."""
+    want = {
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS": "apache-2",
+        "See http://www.apache.org/licenses/LICENSE-2.0": "apache-2",
+        "You should have received a copy of the GNU Lesser General Public License along with this library": "lgpl",
+        "either version 2 of the License, or (at your option) any later version.": "gpl-2-or-later",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software.": "mit",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.": "bsd",
+        "The Software shall be used for Good, not Evil.": "json",
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "Contains public sector information licensed under the Open Government Licence v3.0.": "ogl",
+        "You may copy it, give it away or re-use it under the terms of the Project Gutenberg License": "gutenberg",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "ofl",
+        "Licensed under the EUPL, Version 1.2": "eupl", "Server Side Public License, version 1": "sspl",
+        "for non-commercial use only": "non-commercial", "Elastic License 2.0": "elastic",
+        "End-User License Agreement": "proprietary", "Tutti i diritti riservati": "reserved",
+        "CeCILL-B": "cecill", "GNU Free Documentation License 1.3": "gfdl-1.3",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in op.scan(docs).collect()}
+    assert [(t, got[i]) for i, (t, label) in enumerate(want.items()) if label not in got[i]] == []
+
+
+def test_plain_texts_get_no_label(spark):
+    texts = ["The author of the software wrote without a purpose, under terms of use nobody reads before breakfast.",
+             "The public library is open; a source said that subjects were provided with written notes.",
+             "A fair price for every use, and freedom for the reader."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["labels"] for r in op.scan(docs).collect()} == {""}
