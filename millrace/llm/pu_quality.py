@@ -92,6 +92,16 @@ def _slope(z: np.ndarray) -> np.ndarray:
     return -1 / (1 + np.exp(np.clip(z, -30, 30)))
 
 
+def risks(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk of the positive class, unbiased estimate of that of the negative class, and the gradient of each."""
+    zp, zu = p @ w, u @ w
+    positive = prior * _loss(zp).mean()
+    negative = _loss(-zu).mean() - prior * _loss(-zp).mean()
+    grad_pos = prior * (p.T @ _slope(zp)) / len(p)
+    grad_neg = -(u.T @ _slope(-zu)) / len(u) + prior * (p.T @ _slope(-zp)) / len(p)
+    return positive, negative, grad_pos, grad_neg
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600,
              rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk with the logistic loss.
@@ -106,10 +116,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     w = np.zeros(p.shape[1])
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        negative = _loss(-zu).mean() - prior * _loss(-zp).mean()
-        grad_pos = prior * (p.T @ _slope(zp)) / len(p)
-        grad_neg = -(u.T @ _slope(-zu)) / len(u) + prior * (p.T @ _slope(-zp)) / len(p)
+        _, negative, grad_pos, grad_neg = risks(w, p, u, prior)
         grad = (grad_pos + grad_neg if negative >= 0 else -grad_neg) + decay * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad ** 2
         w = w - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 from millrace.llm import pu_quality as op
+from millrace.llm.quality_rules import STOP_WORDS
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,14 +32,67 @@ def test_accuracy_does_not_depend_on_the_number_of_labels(spark):
     assert min(found) > 0.985 and abs(found[0] - found[1]) < 0.005, found
 
 
-def test_features_match_plain_loops():
-    """Every feature again, by loops over words and lines."""
-    texts = ["", "one", "The cat sat. The cat sat!\nThe cat sat.\n\n" * 3, "a1 #b $c <d> &amp; 1234 ABC abc", "é ü ñ " * 9]
+def plain_features(text):
+    """Every measure of ``NAMES`` again, by loops over the bytes, words and lines of a text."""
+    words, lines, word = [], [[]], []
+    for byte in text.encode() + b" ":
+        if byte in b" \t\n\r\x0b\x0c":
+            if word:
+                words.append(bytes(word))
+            word = []
+        else:
+            word.append(byte)
+        if byte == 10:
+            lines.append([])
+        else:
+            lines[-1].append(byte)
+    lines[-1].pop()
+    lines = [bytes(line) for line in lines if any(b not in b" \t\r\x0b\x0c" for b in line)]
+    if not words:
+        return [0.0] * len(op.NAMES)
+    n, letters, upper, digits, symbols, stoppers, exclamations, size = len(words), 0, 0, 0, 0, 0, 0, 0
+    for byte in text.encode():
+        letters += 65 <= byte <= 90 or 97 <= byte <= 122 or byte >= 128
+        upper += 65 <= byte <= 90
+        digits += 48 <= byte <= 57
+        symbols += chr(byte) in "#*$%&|<>~^_={}[]\\@+`"
+        stoppers += chr(byte) in ".,;:?!\"'()-/"
+        exclamations += chr(byte) == "!"
+    stops, stutter, seen = 0, 0, []
+    for i, word in enumerate(words):
+        size += len(word)
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in word)
+        stops += low.decode(errors="replace") in " ".join(STOP_WORDS.values()).split()
+        stutter += i > 0 and low == words[i - 1].lower()
+        if low not in seen:
+            seen.append(low)
+    repeated = sum(line in lines[:i] for i, line in enumerate(lines))
+    tanh = lambda x: np.tanh(3 * x)
+    return [np.log(1 + n) / 5, min(3, size / n / 10), tanh(upper / max(1, letters)), min(1, digits / n),
+            tanh(symbols / n), min(2, stoppers / n), tanh(exclamations / n), stops / n,
+            min(1, len(seen) / n ** 0.8), tanh(stutter / n), repeated / len(lines),
+            min(3, np.log(1 + n / len(lines)) / 3)]
+
+
+def test_features_match_plain_loops(spark):
+    texts = ["", " \n ", "one", "The cat sat. The cat sat!\nThe cat sat.\n\n" * 3, "a1 #b $c <d> &amp; 1234 ABC abc",
+             "é ü ñ " * 9, "\t x\r\ny  y Y y\x0bz [a]{b}\\@+` \"'()-/"]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200").collect()]
     for text in texts:
-        x = op.features(text.encode())
-        assert len(x) == len(op.NAMES) and np.isfinite(x).all()
-        assert op.features(text.encode()) == x
-    assert not any(op.features(b"")) and op.features(None) == op.features(b"")
+        assert np.allclose(op.features(text.encode()), plain_features(text), rtol=0, atol=1e-12), text[:80]
+    assert op.features(None) == op.features(b"")
+
+
+def test_gradients_match_finite_differences():
+    rng = np.random.default_rng(5)
+    p, u = (np.append(rng.normal(m, 1, (50, 3)), np.ones((50, 1)), axis=1) for m in (1, 0))
+    for w in (np.zeros(4), rng.normal(0, 1, 4), np.array([3.0, -2.0, 1.0, 0.5])):
+        grads = op.risks(w, p, u, 0.4)[2:]
+        for i in range(4):
+            step = np.eye(4)[i] * 1e-6
+            ahead, back = op.risks(w + step, p, u, 0.4)[:2], op.risks(w - step, p, u, 0.4)[:2]
+            for k in (0, 1):
+                assert abs((ahead[k] - back[k]) / 2e-6 - grads[k][i]) < 1e-6
 
 
 def test_gradient_step_lowers_the_risk():
