@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType
 
 from millrace.functions import vector_kernels as kernels, vectors as vec
 from millrace.functions.scalars import md5_vector, ratio
@@ -116,6 +118,34 @@ def table_samples(corpus: DataFrame, n: int = 3) -> DataFrame:
     return corpus.orderBy("id").limit(n)
 
 
+def table_columns(corpus: DataFrame) -> DataFrame:
+    """Schema of a vector table: every column's place, type and number of known values, from one pass."""
+    fields = corpus.schema.fields
+    counts = corpus.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(fields)])
+    return counts.select(F.explode(F.array(*[F.struct(
+        F.lit(i).alias("place"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+        F.col(f"_{i}").alias("known")) for i, f in enumerate(fields)])).alias("_c")).select("_c.*")
+
+
+def table_list(spark: SparkSession, database: str) -> DataFrame:
+    """The vector tables of a catalog database: name, rows, vector sizes and schema.
+
+    Tables without an array column ``vector`` are left out. The driver reads the
+    catalog only; the counts of all tables are one lazy plan.
+    """
+    found = []
+    for name in sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary):
+        held = spark.table(f"`{database}`.`{name}`")
+        if "vector" in held.columns and isinstance(held.schema["vector"].dataType, ArrayType):
+            found.append(held.agg(F.count("*").alias("row_count"), F.min(F.size("vector")).alias("min_dims"),
+                                  F.max(F.size("vector")).alias("max_dims")).select(
+                F.lit(name).alias("table_name"), "row_count", "min_dims", "max_dims",
+                F.lit(held.schema.simpleString()).alias("schema")))
+    if not found:
+        return spark.createDataFrame([], "table_name STRING, row_count BIGINT, min_dims INT, max_dims INT, schema STRING")
+    return reduce(DataFrame.unionAll, found)
+
+
 def category_centroids(corpus: DataFrame, normalise: bool = False) -> DataFrame:
     """Mean vector (of the unit vectors if ``normalise``) and number of vectors per category.
 

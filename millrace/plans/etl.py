@@ -136,6 +136,50 @@ def kept_exports(manifest: DataFrame, now: Column, days: int) -> DataFrame:
     return manifest.filter(F.col("exported_at") >= now - F.make_dt_interval(days=F.lit(days)))
 
 
+def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system of a path and the path, as Spark's own Hadoop client sees them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def live_exports(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest without the exports that ``remove_expired`` has retired."""
+    manifest = spark.read.parquet(f"{root}/manifest")
+    if not _exists(spark, f"{root}/retired"):
+        return manifest
+    retired = spark.read.parquet(f"{root}/retired").select("export_id").distinct()
+    return manifest.join(retired, "export_id", "left_anti").select(*manifest.columns)
+
+
+def remove_expired(spark: SparkSession, root: str, now: Column, days: int) -> DataFrame:
+    """Remove the exports whose every data set is older than ``days``; returns their ids.
+
+    An export is retired in a log before its folder is deleted, so a job that
+    stops halfway leaves nothing that could be restored by halves, and the next
+    run deletes what the log still names. Only folders named in the manifest, directly
+    below ``root``, are touched. The driver holds one id for each export.
+    """
+    manifest, kept = spark.read.parquet(f"{root}/manifest"), kept_exports(live_exports(spark, root), now, days)
+    named = (F.col("export_id").rlike(r"^[A-Za-z0-9_][A-Za-z0-9_.-]*$")
+             & ~F.col("export_id").isin("manifest", "retired"))
+    gone = manifest.where(named).select("export_id").distinct().join(
+        kept.select("export_id").distinct(), "export_id", "left_anti")
+    ids = sorted(r["export_id"] for r in gone.collect())
+    log = spark.createDataFrame([(i,) for i in ids], "export_id STRING").withColumn("retired_at", now)
+    if ids:
+        sinks.append_parquet(log.coalesce(1), f"{root}/retired")
+    for export_id in ids:
+        files, place = _place(spark, f"{root}/{export_id}")
+        if files.exists(place):
+            files.delete(place, True)
+    return log
+
+
 def restore(spark: SparkSession, root: str, data_set: str, export_id: str,
             target: str) -> DataFrame:
     """Restore a data set from a recorded export.
@@ -143,7 +187,7 @@ def restore(spark: SparkSession, root: str, data_set: str, export_id: str,
     The export is checked against the manifest before ``target`` is touched, so
     a damaged export leaves the data as they were; the copy is checked after.
     """
-    recorded = spark.read.parquet(f"{root}/manifest").filter(
+    recorded = live_exports(spark, root).filter(
         (F.col("export_id") == export_id) & (F.col("data_set") == data_set))
     if recorded.isEmpty():
         raise LookupError(f"no export {export_id} of {data_set}")

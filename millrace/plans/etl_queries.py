@@ -120,6 +120,20 @@ def e4_retention(spark, sf):
     return etl.kept_exports(spark.read.parquet(f"{root}/manifest"), now, 10)
 
 
+@Q.add("E4_expired_removed", "export_id str, listed long, row_count long",
+       """SELECT 'new' AS export_id, 1 AS listed, COUNT(*) AS row_count FROM supplier""")
+def e4_expired(spark, sf):
+    """Two exports expire and go; what is still listed and what is still on disk are the third."""
+    root, supplier = shared_folder(spark, "expired"), ds.table(spark, sf, "supplier")
+    for export_id, day in (("older", 1), ("old", 10), ("new", 20)):
+        etl.export(supplier, root, "supplier", export_id, datetime.datetime(2024, 5, day))
+    etl.remove_expired(spark, root, F.lit("2024-05-25 00:00:00").cast("timestamp"), 10)
+    listed = etl.live_exports(spark, root).groupBy("export_id").agg(F.count("*").alias("listed"))
+    on_disk = spark.read.parquet(f"{root}/*/supplier").groupBy(
+        F.element_at(F.split("_metadata.file_path", "/"), -3).alias("export_id")).agg(F.count("*").alias("row_count"))
+    return listed.join(on_disk, "export_id", "full")
+
+
 @Q.add("E5_restore", "customer_id long, name str, balance dbl",
        f"""SELECT customer_id, customer_name AS name, balance FROM {CUSTOMERS} AS c""")
 def e5(spark, sf):

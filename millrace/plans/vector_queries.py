@@ -143,6 +143,32 @@ def v7_samples(spark, sf):
     return vx.table_samples(ds.vectors(spark, sf), 3).withColumn("dims", F.size("vector"))
 
 
+@Q.add("V7_table_columns", "place long, column_name str, known long",
+       f"""SELECT 0 AS place, 'id' AS column_name, COUNT(id) AS known FROM {VECTORS} AS v
+           UNION ALL SELECT 1, 'vector', COUNT(vector) FROM {VECTORS} AS v
+           UNION ALL SELECT 2, 'category', COUNT(category) FROM {VECTORS} AS v""")
+def v7_columns(spark, sf):
+    return vx.table_columns(ds.vectors(spark, sf).select("id", "vector", "category"))
+
+
+@Q.add("V7_table_list", "table_name str, row_count long, min_dims long, max_dims long, fields long",
+       f"""SELECT 'customer_names' AS table_name, COUNT(*) AS row_count, 128 AS min_dims, 128 AS max_dims, 2 AS fields
+           FROM {CUSTOMERS} AS c UNION ALL
+           SELECT 'items', COUNT(*), MIN(len(vector)), MAX(len(vector)), 3 FROM {VECTORS} AS v""")
+def v7_list(spark, sf):
+    """Two vector tables and a plain one in a database of the catalog; the vector tables are listed."""
+    path = shared_folder(spark, "vector-db")
+    database = f"millrace_{path.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    names = ds.customers(spark, sf).select(F.col("customer_id").alias("id"), "customer_name")
+    for name, df in (("items", ds.vectors(spark, sf).select("id", "vector", "category")),
+                     ("customer_names", names.select("id", md5_vector(F.col("customer_name")).alias("vector"))),
+                     ("plain", names)):
+        sinks.replace_table(df, f"{database}.{name}", f"{path}/{name}")
+    listed = vx.table_list(spark, database)
+    return listed.withColumn("fields", F.regexp_count("schema", F.lit(r"(?:^struct<|,)\w+:")))
+
+
 @Q.add("J5_query_corpus_product", "query_id str, id long, distance dbl6, similarity dbl6",
        f"SELECT query_id, id, distance, similarity FROM {_SCORED_SQL} AS s")
 def j5(spark, sf):

@@ -1,5 +1,7 @@
 """Header discovery, streams of several batches, postings, stored models, watched writes, k-means starts."""
 
+import datetime
+import os
 import random
 
 import numpy as np
@@ -164,3 +166,58 @@ def test_starts_are_never_worse_than_one(spark):
     exact = sum(min(((p - np.array(c["vector"])) ** 2).sum() for c in centers.collect()) for p in points)
     assert abs(exact - total) < 1e-6 * total
     assert vx.kmeans_starts(rows.where("id < 0"), 3)[2] == []
+
+
+def _exports(spark, *days):
+    root = shared_folder(spark, "exports")
+    data = spark.range(5)
+    for day in days:
+        for name in ("a", "b"):
+            etl.export(data, root, name, f"day-{day}", datetime.datetime(2024, 5, day))
+    return root
+
+
+def test_expired_exports_are_removed(spark):
+    root, now = _exports(spark, 1, 2, 20), F.lit("2024-05-25 00:00:00").cast("timestamp")
+    etl.export(spark.range(3), root, "b", "day-2", datetime.datetime(2024, 5, 21))  # renews a part of day-2
+    assert [r["export_id"] for r in etl.remove_expired(spark, root, now, 10).collect()] == ["day-1"]
+    assert not os.path.exists(f"{root}/day-1") and os.path.exists(f"{root}/day-2/a")
+    assert {r["export_id"] for r in etl.live_exports(spark, root).collect()} == {"day-2", "day-20"}
+    with pytest.raises(LookupError):
+        etl.restore(spark, root, "a", "day-1", f"{root}-back")
+    assert etl.restore(spark, root, "a", "day-20", f"{root}-back").count() == 5
+    assert etl.remove_expired(spark, root, now, 100).count() == 1  # the log still names day-1, and only it
+    assert {r["export_id"] for r in etl.live_exports(spark, root).collect()} == {"day-2", "day-20"}
+
+
+def test_a_stopped_removal_is_finished_by_the_next(spark):
+    root, now = _exports(spark, 1, 20), F.lit("2024-05-25 00:00:00").cast("timestamp")
+    spark.sql("SELECT 'day-1' AS export_id, current_timestamp() AS retired_at").write.parquet(f"{root}/retired")
+    assert os.path.exists(f"{root}/day-1")
+    etl.remove_expired(spark, root, now, 10)
+    assert not os.path.exists(f"{root}/day-1") and os.path.exists(f"{root}/day-20")
+
+
+def test_names_outside_the_root_are_never_removed(spark):
+    root, now = _exports(spark, 20), F.lit("2025-05-25 00:00:00").cast("timestamp")
+    row = spark.read.parquet(f"{root}/manifest").limit(1)
+    for name in ("../other", "..", ".", "", "manifest", "a/b"):
+        row.withColumn("export_id", F.lit(name)).write.mode("append").parquet(f"{root}/manifest")
+    assert [r["export_id"] for r in etl.remove_expired(spark, root, now, 10).collect()] == ["day-20"]
+    assert os.path.exists(f"{root}/manifest")
+
+
+def test_columns_and_list_of_vector_tables(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], None), (2, None, "x"), (None, [1.0], "y")],
+                                 "id long, vector array<double>, `a.b` string")
+    got = [tuple(r) for r in vx.table_columns(rows).orderBy("place").collect()]
+    assert got == [(0, "id", "bigint", 2), (1, "vector", "array<double>", 2), (2, "a.b", "string", 2)]
+    path = shared_folder(spark, "db")
+    database = f"db_{path.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    assert vx.table_list(spark, database).collect() == []
+    rows.select("id", "vector").write.saveAsTable(f"{database}.held", path=f"{path}/held")
+    spark.range(3).withColumnRenamed("id", "vector").write.saveAsTable(f"{database}.plain", path=f"{path}/plain")
+    (only,) = vx.table_list(spark, database).collect()
+    assert (only["table_name"], only["row_count"], only["max_dims"]) == ("held", 3, 2)
+    assert only["schema"] == "struct<id:bigint,vector:array<double>>"
