@@ -16,7 +16,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.vector_kernels import SCORE_PLACES
 from millrace.operators.ranking import best_per_id, top_n_per_group
@@ -315,8 +315,24 @@ def vector_classes(weighted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]
     return classes, members
 
 
+def rarest_first(model: TextModel) -> list[str]:
+    """The vocabulary in the order of rarity, ties by term; the idf falls as the document count grows."""
+    return sorted(model.idf, key=lambda t: (-model.idf[t], t))
+
+
+def line_of_weights(order: Sequence[str]) -> Column:
+    """A class's ``entries`` as one weight per term of ``order``; a map is searched entry by entry, a line is not."""
+    return F.transform(F.array(*map(F.lit, order)), lambda t: F.coalesce(
+        F.try_element_at(F.map_from_entries("entries"), t), F.lit(0.0)))
+
+
 def similar_classes(classes: DataFrame, model: TextModel, threshold: float = 0.8) -> DataFrame:
-    """Pairs of classes whose cosine reaches ``threshold``: class_a, class_b, size_a, size_b, similarity.
+    """Pairs of classes whose cosine reaches ``threshold``: class_a, class_b, size_a, size_b, similarity."""
+    return likely_pairs(classes, model, threshold).where(F.col("similarity") >= threshold)
+
+
+def likely_pairs(classes: DataFrame, model: TextModel, threshold: float) -> DataFrame:
+    """All pairs of classes whose cosine reaches ``threshold``, with others that had to be scored to tell.
 
     A prefix-filter join. Terms are put in the order of their rarity; a class's
     prefix ends where the rest of its vector is shorter than the threshold, so
@@ -324,11 +340,9 @@ def similar_classes(classes: DataFrame, model: TextModel, threshold: float = 0.8
     joined, a pair is met under its first shared term alone, and the cosine of
     each pair met is computed in full. Nothing is missed.
     """
-    order = sorted(model.idf, key=lambda t: (-model.idf[t], t))  # the idf falls as the document count grows
+    order = rarest_first(model)
     places = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*[F.lit(i) for i in range(len(order))]))
-    line = F.transform(F.array(*map(F.lit, order)), lambda t: F.coalesce(
-        F.try_element_at(F.map_from_entries("entries"), t), F.lit(0.0)))  # a map is searched entry by entry, a line is not
-    ranked = classes.select("class_id", "size", line.alias("weights"), F.array_sort(F.transform(
+    ranked = classes.select("class_id", "size", line_of_weights(order).alias("weights"), F.array_sort(F.transform(
         "entries", lambda e: F.struct(F.element_at(places, e["term"]).alias("at"), e["w"].alias("w")))).alias("ranked"))
     none = F.array().cast("array<int>")
 
@@ -346,7 +360,7 @@ def similar_classes(classes: DataFrame, model: TextModel, threshold: float = 0.8
         F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("at")))
     dot = F.aggregate(F.zip_with("weights_a", "weights_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return met.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), "size_a", "size_b",
-                      F.round(dot, SCORE_PLACES - 1).alias("similarity")).where(F.col("similarity") >= threshold)
+                      F.round(dot, SCORE_PLACES - 1).alias("similarity"))
 
 
 def match_profile(hits: DataFrame, means: Sequence[str], counts: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import text as tx, vectors as vx
+from millrace.operators import extremes as ex, text as tx, vectors as vx
 from millrace.plans.registry import QuerySet
 from millrace.plans.sql_views import ITEMS
 from millrace.sources import datasets as ds, readers
@@ -195,6 +195,19 @@ def v13_members(spark, sf):
     return tx.vector_classes(_rare_word_model(spark, sf)[0], "id")[1]
 
 
+@Q.add("V14_matrix_extremes", "row_count long, max_below_one dbl6, min_similarity dbl6",
+       f"""{_DOC_SQL}, m AS (SELECT a.id AS i, b.id AS j, round(SUM(a.weight * b.weight), 7) AS s
+             FROM w a JOIN w b ON a.term = b.term AND a.id <= b.id GROUP BY 1, 2),
+           z AS (SELECT (SELECT n FROM nd) * ((SELECT n FROM nd) + 1) / 2 > COUNT(*) AS zeros,
+             MAX(CASE WHEN s < 1 THEN s END) AS hi, MIN(s) AS lo FROM m)
+           SELECT (SELECT n FROM nd) AS row_count, CASE WHEN zeros THEN COALESCE(hi, 0) ELSE hi END AS max_below_one,
+           CASE WHEN zeros THEN 0 ELSE lo END AS min_similarity FROM z""")
+def v14_extremes(spark, sf):
+    """Highest similarity below one and lowest of the documents' TF-IDF rows, over the whole matrix."""
+    weighted, model = _doc_model(spark, sf)
+    return ex.similarity_extremes(weighted, "id", model)
+
+
 @Q.add("V22_recommend_similar", "rank long, id long, text str, similarity dbl6",
        f"""{_item_sql({'query': 'small red ring'})} SELECT rank, r.id, src.text, similarity FROM (
            SELECT *, ROW_NUMBER() OVER (ORDER BY similarity DESC, id) AS rank FROM s WHERE id IN (
