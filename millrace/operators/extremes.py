@@ -114,14 +114,14 @@ def similarity_extremes(weighted: DataFrame, key: str, model: TextModel) -> Data
     below a millionth counts as 0.
     """
     spark = weighted.sparkSession
-    path = shared_folder(spark, "weight-classes")
-    vector_classes(weighted, key)[0].write.parquet(path)
-    classes, order = spark.read.parquet(path), rarest_first(model)
+    path, order = shared_folder(spark, "weight-classes"), rarest_first(model)
+    vector_classes(weighted, key)[0].withColumn("weights", line_of_weights(order)).write.parquet(path)
+    classes = spark.read.parquet(path)
     rows = weighted.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("weights"), F.lit(0)) <= 0).alias("bare")).first()
     n = classes.count()
     highest, lowest, scored = None, 1.0 if rows["n"] else None, 0
     if n > 1:
-        lines = classes.select("class_id", line_of_weights(order).alias("weights"))
+        lines = classes.select("class_id", "weights")
         held = {r["term"]: r["count"] for r in classes.select(F.explode("entries.term").alias("term")).groupBy("term").count().collect()}
         highest, scored = _highest(classes, lines, model)
         lowest, more = (0.0, 0) if rows["bare"] else _lowest(lines, n, [held.get(t, 0) for t in order])

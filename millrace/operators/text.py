@@ -10,11 +10,13 @@ columns are used once and would then recompute it for every array element.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -322,8 +324,8 @@ def rarest_first(model: TextModel) -> list[str]:
 
 def line_of_weights(order: Sequence[str]) -> Column:
     """A class's ``entries`` as one weight per term of ``order``; a map is searched entry by entry, a line is not."""
-    return F.transform(F.array(*map(F.lit, order)), lambda t: F.coalesce(
-        F.try_element_at(F.map_from_entries("entries"), t), F.lit(0.0)))
+    return F.transform(F.array(*map(F.lit, order)), lambda t: F.coalesce(F.get(
+        F.col("entries.w"), (F.array_position(F.col("entries.term"), t) - 1).cast("int")), F.lit(0.0)))
 
 
 def similar_classes(classes: DataFrame, model: TextModel, threshold: float = 0.8) -> DataFrame:
@@ -339,10 +341,17 @@ def likely_pairs(classes: DataFrame, model: TextModel, threshold: float) -> Data
     two classes that reach it share a term of both prefixes. Only prefixes are
     joined, a pair is met under its first shared term alone, and the cosine of
     each pair met is computed in full. Nothing is missed.
+
+    Two unit vectors of cosine t are sqrt(2 - 2t) apart, so no weight differs by
+    more. Where that width is small, prefixes are the terms within two widths of
+    the heaviest instead (one's heaviest term is such a term of the other), and
+    terms are joined by cells as well, of this width in the term's weight and along
+    one fixed direction, each with those beside it.
     """
     order = rarest_first(model)
     places = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*[F.lit(i) for i in range(len(order))]))
-    ranked = classes.select("class_id", "size", line_of_weights(order).alias("weights"), F.array_sort(F.transform(
+    line = F.col("weights") if "weights" in classes.columns else line_of_weights(order)
+    ranked = classes.select("class_id", "size", line.alias("weights"), F.array_sort(F.transform(
         "entries", lambda e: F.struct(F.element_at(places, e["term"]).alias("at"), e["w"].alias("w")))).alias("ranked"))
     none = F.array().cast("array<int>")
 
@@ -351,12 +360,26 @@ def likely_pairs(classes: DataFrame, model: TextModel, threshold: float) -> Data
         return F.struct(square.alias("square"), F.when(
             square >= (threshold - 1e-6) ** 2, F.array_append(seen["kept"], e["at"])).otherwise(seen["kept"]).alias("kept"))
 
-    cut = ranked.withColumn("prefix", F.aggregate(F.reverse("ranked"), F.struct(
-        F.lit(0.0).alias("square"), none.alias("kept")), longer, lambda seen: seen["kept"]))
+    width = math.sqrt(2 * (1 - threshold) + 4e-6) + 1e-6
+    fine = width < 0.1
+    cut = ranked.withColumn("_top", F.array_max("weights")).withColumn("prefix", F.transform(F.filter(
+        "ranked", lambda e: (F.col("_top") > 0) & (e["w"] >= F.col("_top") - 2 * width)), lambda e: e["at"]) if fine else F.aggregate(
+        F.reverse("ranked"), F.struct(F.lit(0.0).alias("square"), none.alias("kept")), longer, lambda seen: seen["kept"]))
     listed = cut.select("class_id", "size", "weights", "prefix", F.explode("prefix").alias("at"))
-    a = listed.select("at", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "size", "weights", "prefix")])
-    b = listed.select("at", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "size", "weights", "prefix")])
-    met = a.join(b, "at").where((F.col("class_id_a") < F.col("class_id_b")) & (
+    if fine:
+        across = np.random.default_rng(7).normal(size=len(order))
+        along = F.aggregate(F.zip_with("weights", F.array(*[F.lit(float(x)) for x in across / np.linalg.norm(across)]),
+                                       lambda w, x: w * x), F.lit(0.0), lambda total, x: total + x)
+        listed = listed.withColumn("cell", F.floor(F.get("weights", F.col("at")) / width)).withColumn(
+            "band", F.floor(along / width))
+        shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        beside = listed.withColumn("_by", F.explode(shifts)).withColumn("cell", F.col("cell") + F.col("_by.i")).withColumn(
+            "band", F.col("band") + F.col("_by.j"))
+    else:
+        beside = listed = listed.withColumn("cell", F.lit(0)).withColumn("band", F.lit(0))
+    a, b = (side.select("at", "cell", "band", *[F.col(c).alias(f"{c}_{name}") for c in ("class_id", "size", "weights", "prefix")])
+            for side, name in ((beside, "a"), (listed, "b")))
+    met = a.join(b, ["at", "cell", "band"]).where((F.col("class_id_a") < F.col("class_id_b")) & (
         F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("at")))
     dot = F.aggregate(F.zip_with("weights_a", "weights_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return met.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), "size_a", "size_b",

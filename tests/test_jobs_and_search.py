@@ -107,6 +107,8 @@ def test_prefix_filter_misses_no_pair(spark, corpus):
         dots = {(a, b): sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items()) for a in reps for b in reps if a < b}
         assert set(got) == {p for p, d in dots.items() if round(d, 8) >= threshold}
         assert got and all(abs(got[p] - dots[p]) < 1e-7 for p in got)
+    near = {(r["class_a"], r["class_b"]) for r in tx.similar_classes(classes, model, 0.9955).collect()}  # joined by cells
+    assert near == {p for p, d in dots.items() if round(d, 8) >= 0.9955}
 
 
 def test_only_postings_of_the_query_are_read(spark, corpus):
