@@ -125,17 +125,23 @@ def _fitted(counted: DataFrame, words: tuple[str, ...], bigrams: bool, max_featu
 
 
 def fit_weighed(docs: DataFrame, text: str, max_features: int = 128, bigrams: bool = False, max_df: float = 1.0,
-                stop_words: Sequence[str] | None = None) -> tuple[DataFrame, TextModel]:
+                stop_words: Sequence[str] | None = None, columns: Sequence[str] | None = None
+                ) -> tuple[DataFrame, TextModel]:
     """The documents with their ``weights``, and the model fitted on them; each text is tokenised once.
 
-    Rows and term counts are stored in the shared folder between the two steps.
+    Rows and term counts are stored in the shared folder between the two steps, and so are the
+    weights: a lambda or a filter over them would else weigh the document again for every term.
+    ``columns`` are those kept beside the weights, all unless given.
     """
+    spark = docs.sparkSession
     words = tuple(default_stop_words() if stop_words is None else stop_words)
-    path = shared_folder(docs.sparkSession, "term-counts")
-    count_terms(docs, text, words, bigrams).write.parquet(path)
-    counted = docs.sparkSession.read.parquet(path)
+    counts, weights = (shared_folder(spark, label) for label in ("term-counts", "term-weights"))
+    kept = docs.columns if columns is None else columns
+    count_terms(docs, text, words, bigrams).select(*kept, "term_counts").write.parquet(counts)
+    counted = spark.read.parquet(counts)
     model = _fitted(counted, words, bigrams, max_features, max_df)
-    return weigh_counted(counted, model), model
+    weigh_counted(counted, model).write.parquet(weights)
+    return spark.read.parquet(weights), model
 
 
 def weigh(docs: DataFrame, text: str, model: TextModel) -> DataFrame:

@@ -59,7 +59,7 @@ def _model_sql(source: str, max_features: int, bigrams: bool, max_df: float,
 
 
 def _doc_model(spark, sf):
-    return tx.fit_weighed(ds.documents(spark, sf), "text", 128, stop_words=_STOP)
+    return tx.fit_weighed(ds.documents(spark, sf), "text", 128, stop_words=_STOP, columns=["id"])
 
 
 def _item_model(spark, sf):
@@ -169,7 +169,7 @@ def v17(spark, sf):
 
 
 def _rare_word_model(spark, sf):
-    return tx.fit_weighed(ds.documents(spark, sf), "text", 300, max_df=0.05, stop_words=_STOP)
+    return tx.fit_weighed(ds.documents(spark, sf), "text", 300, max_df=0.05, stop_words=_STOP, columns=["id"])
 
 
 _CLASSES_SQL = f"""{_model_sql(_DOCS_SQL, 300, False, 0.05)},
