@@ -193,6 +193,44 @@ def products_with(names: list, sizes: np.ndarray, centers: np.ndarray
     return run
 
 
+def pairs_of_slices(terms: int, threshold: float, places: int, strip: int = 1024) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The pairs between two slices (one with itself, if equal) of the classes that hold a term in their prefix.
+
+    A class's terms are numbered by rarity and those before the given one all lie in its
+    prefix, so a pair that shares one of them is met there and left out here. What
+    remains has its whole product in the given term and those after it.
+    """
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        at, low, high = (k.as_py() for k in key)
+        group = group.combine_chunks()
+        ids, sizes, slices = (group.column(c).to_numpy() for c in ("class_id", "size", "slice"))
+        listed = group.column("terms").combine_chunks()
+        line = np.repeat(np.arange(len(ids)), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        cells, held = np.zeros((len(ids), terms)), np.zeros((len(ids), terms), bool)
+        cells[line, listed.flatten().to_numpy()] = group.column("weights").combine_chunks().flatten().to_numpy()
+        held[line, listed.flatten().to_numpy()] = True
+        rest, rarer = np.ascontiguousarray(cells[:, at:]), held[:, :at]
+        first, second = np.flatnonzero(slices == low), np.flatnonzero(slices == high)
+        found = []
+        for start in range(0, len(first), strip):
+            a = first[start:start + strip]
+            b = second[start:] if low == high else second
+            near = rest[a] @ rest[b].T
+            i, j = np.nonzero(near >= threshold - 10.0 ** -places)
+            close, i, j = near[i, j].round(places), a[i], b[j]
+            kept = (i < j) if low == high else np.ones(len(i), bool)
+            kept &= (close >= threshold) & (ids[i] != ids[j])
+            i, j, close = i[kept], j[kept], close[kept]
+            kept = np.concatenate([~(rarer[i[s:s + strip]] & rarer[j[s:s + strip]]).any(axis=1)
+                                   for s in range(0, len(i), strip)] or [np.zeros(0, bool)])
+            found.append((i[kept], j[kept], close[kept]))
+        i, j, close = (np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int),) * 2 + (np.zeros(0),)
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        return pa.table([ids[i], ids[j], sizes[i], sizes[j], close],
+                        names=["class_a", "class_b", "size_a", "size_b", "similarity"])
+    return run
+
+
 def one_per_row(name: str, kernel: Callable[[np.ndarray], np.ndarray]
                 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Map ``id, vector`` to ``id`` and one double per row, NULL without a vector."""

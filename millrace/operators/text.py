@@ -20,12 +20,15 @@ import numpy as np
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.functions import vector_kernels as kernels
 from millrace.functions.vector_kernels import SCORE_PLACES
 from millrace.operators.ranking import best_per_id, top_n_per_group
 from millrace.sources.shared import shared_folder
 
 #: Bands of weights, and slices of documents, over which a term's postings spread.
 _BANDS = 16
+#: About as many classes of one term are scored against as many others by one task at a time.
+_SLICE = 8192
 # Two or more letters, digits or underscores of any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -340,49 +343,75 @@ def similar_classes(classes: DataFrame, model: TextModel, threshold: float = 0.8
 
 
 def likely_pairs(classes: DataFrame, model: TextModel, threshold: float) -> DataFrame:
-    """All pairs of classes whose cosine reaches ``threshold``, with others that had to be scored to tell.
-
-    A prefix-filter join. Terms are put in the order of their rarity; a class's
-    prefix ends where the rest of its vector is shorter than the threshold, so
-    two classes that reach it share a term of both prefixes. Only prefixes are
-    joined, a pair is met under its first shared term alone, and the cosine of
-    each pair met is computed in full. Nothing is missed.
-
-    Two unit vectors of cosine t are sqrt(2 - 2t) apart, so no weight differs by
-    more. Where that width is small, prefixes are the terms within two widths of
-    the heaviest instead (one's heaviest term is such a term of the other), and
-    terms are joined by cells as well, of this width in the term's weight and along
-    one fixed direction, each with those beside it.
+    """All pairs of classes whose cosine reaches ``threshold``, perhaps with others that were scored to tell.
+
+    Terms are put in the order of their rarity. Two unit vectors of cosine t are
+    sqrt(2 - 2t) apart, so no weight differs by more. Where that width is small,
+    classes are joined by cells of it (``_pairs_by_cells``), else by prefixes
+    (``_pairs_by_prefix``). Nothing is missed.
     """
     order = rarest_first(model)
     places = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*[F.lit(i) for i in range(len(order))]))
-    line = F.col("weights") if "weights" in classes.columns else line_of_weights(order)
-    ranked = classes.select("class_id", "size", line.alias("weights"), F.array_sort(F.transform(
-        "entries", lambda e: F.struct(F.element_at(places, e["term"]).alias("at"), e["w"].alias("w")))).alias("ranked"))
-    none = F.array().cast("array<int>")
+    ranked = classes.where(F.col("class_id").isNotNull()).withColumn("ranked", F.array_sort(F.transform(
+        "entries", lambda e: F.struct(F.element_at(places, e["term"]).alias("at"), e["w"].alias("w")))))
+    width = math.sqrt(2 * (1 - threshold) + 4e-6) + 1e-6
+    return _pairs_by_cells(ranked, order, width) if width < 0.1 else _pairs_by_prefix(ranked, len(order), threshold)
+
+
+def _pairs_by_prefix(ranked: DataFrame, terms: int, threshold: float) -> DataFrame:
+    """The pairs that reach ``threshold``, by a prefix-filter join.
 
+    A class's prefix ends where the rest of its vector is shorter than the
+    threshold, so two classes that reach it share a term of both prefixes. The
+    classes under a term are dealt into slices of about ``_SLICE``, and every two
+    slices meet in a group of their own, which scores them as matrices and
+    passes on the pairs that reach the threshold and share no rarer term.
+    """
     def longer(seen, e):  # from the end: a term belongs to the prefix if the vector from it on is long enough
         square = seen["square"] + e["w"] * e["w"]
         return F.struct(square.alias("square"), F.when(
             square >= (threshold - 1e-6) ** 2, F.array_append(seen["kept"], e["at"])).otherwise(seen["kept"]).alias("kept"))
 
-    width = math.sqrt(2 * (1 - threshold) + 4e-6) + 1e-6
-    fine = width < 0.1
-    cut = ranked.withColumn("_top", F.array_max("weights")).withColumn("prefix", F.transform(F.filter(
-        "ranked", lambda e: (F.col("_top") > 0) & (e["w"] >= F.col("_top") - 2 * width)), lambda e: e["at"]) if fine else F.aggregate(
-        F.reverse("ranked"), F.struct(F.lit(0.0).alias("square"), none.alias("kept")), longer, lambda seen: seen["kept"]))
-    listed = cut.select("class_id", "size", "weights", "prefix", F.explode("prefix").alias("at"))
-    if fine:
-        across = np.random.default_rng(7).normal(size=len(order))
-        along = F.aggregate(F.zip_with("weights", F.array(*[F.lit(float(x)) for x in across / np.linalg.norm(across)]),
-                                       lambda w, x: w * x), F.lit(0.0), lambda total, x: total + x)
-        listed = listed.withColumn("cell", F.floor(F.get("weights", F.col("at")) / width)).withColumn(
-            "band", F.floor(along / width))
-        shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        beside = listed.withColumn("_by", F.explode(shifts)).withColumn("cell", F.col("cell") + F.col("_by.i")).withColumn(
-            "band", F.col("band") + F.col("_by.j"))
-    else:
-        beside = listed = listed.withColumn("cell", F.lit(0)).withColumn("band", F.lit(0))
+    prefix = F.aggregate(F.reverse("ranked"), F.struct(F.lit(0.0).alias("square"), F.array().cast("array<int>").alias("kept")),
+                         longer, lambda seen: seen["kept"])
+    path = shared_folder(ranked.sparkSession, "prefixes")
+    ranked.select("class_id", "size", F.col("ranked.at").alias("terms"), F.col("ranked.w").alias("weights"),
+                  prefix.alias("prefix")).write.parquet(path)
+    listed = ranked.sparkSession.read.parquet(path).select("class_id", "size", "terms", "weights", F.explode("prefix").alias("at"))
+    slices = [0] * terms
+    for r in listed.groupBy("at").count().collect():
+        slices[r["at"]] = math.ceil(r["count"] / _SLICE)
+    n = F.get(F.array(*map(F.lit, slices)), F.col("at")) if terms else F.lit(0)
+    own = listed.withColumn("_n", n).withColumn("slice", F.pmod(F.xxhash64("class_id"), "_n").cast("int"))
+    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
+        "at", F.least("slice", "_other").alias("low"), F.greatest("slice", "_other").alias("high"), "slice",
+        "class_id", "size", "terms", "weights")
+    key = ranked.schema["class_id"].dataType.simpleString()
+    return met.groupBy("at", "low", "high").applyInArrow(
+        kernels.pairs_of_slices(terms, threshold, SCORE_PLACES - 1),
+        f"class_a {key}, class_b {key}, size_a long, size_b long, similarity double")
+
+
+def _pairs_by_cells(ranked: DataFrame, order: Sequence[str], width: float) -> DataFrame:
+    """Pairs of classes in cells beside each other, among them all that are at most ``width`` apart.
+
+    Prefixes are the terms within two widths of the heaviest (one's heaviest term
+    is such a term of the other). Terms are joined by cells as well, of this width
+    in the term's weight and along one fixed direction, each with those beside
+    it. A pair is met under its first shared prefix term alone, and scored in full.
+    """
+    line = F.col("weights") if "weights" in ranked.columns else line_of_weights(order)
+    cut = ranked.select("class_id", "size", line.alias("weights"), "ranked").withColumn(
+        "_top", F.array_max("weights")).withColumn("prefix", F.transform(F.filter(
+            "ranked", lambda e: (F.col("_top") > 0) & (e["w"] >= F.col("_top") - 2 * width)), lambda e: e["at"]))
+    across = np.random.default_rng(7).normal(size=len(order))
+    along = F.aggregate(F.zip_with("weights", F.array(*[F.lit(float(x)) for x in across / np.linalg.norm(across)]),
+                                   lambda w, x: w * x), F.lit(0.0), lambda total, x: total + x)
+    listed = cut.select("class_id", "size", "weights", "prefix", F.explode("prefix").alias("at")).withColumn(
+        "cell", F.floor(F.get("weights", F.col("at")) / width)).withColumn("band", F.floor(along / width))
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    beside = listed.withColumn("_by", F.explode(shifts)).withColumn("cell", F.col("cell") + F.col("_by.i")).withColumn(
+        "band", F.col("band") + F.col("_by.j"))
     a, b = (side.select("at", "cell", "band", *[F.col(c).alias(f"{c}_{name}") for c in ("class_id", "size", "weights", "prefix")])
             for side, name in ((beside, "a"), (listed, "b")))
     met = a.join(b, ["at", "cell", "band"]).where((F.col("class_id_a") < F.col("class_id_b")) & (
