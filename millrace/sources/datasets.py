@@ -143,12 +143,15 @@ def _order_amounts(spark: SparkSession, sf_dir: str, since: Column | None) -> Da
     Lines are summed on the map side already, so a hot product or order shrinks
     before the shuffle, the orders join meets one row per pair, and a distinct
     order count turns into a row count. With ``since`` the lines of older
-    orders are dropped before any of that.
+    orders are dropped before any of that. A task hashes the recent order ids of
+    its partition for it and lets the lines stream past, as a sort-merge join
+    would sort the lines of all orders.
     """
-    lines = _with_dimensions(spark, sf_dir, order_lines(spark, sf_dir), {"product_category"})
+    lines = order_lines(spark, sf_dir)
     if since is not None:
-        lines = lines.join(orders(spark, sf_dir, since).select("order_id"), "order_id",
-                           "left_semi")
+        recent = orders(spark, sf_dir, since).select("order_id").hint("shuffle_hash")
+        lines = lines.join(recent, "order_id", "left_semi")
+    lines = _with_dimensions(spark, sf_dir, lines, {"product_category"})
     return lines.groupBy("order_id", "product_category").agg(
         F.sum("total_amount").alias("amount"))
 
