@@ -57,10 +57,13 @@ def neighbour_floor(lines: DataFrame) -> float | None:
 def _highest(classes: DataFrame, lines: DataFrame, model: TextModel) -> tuple[float | None, int]:
     """The highest similarity below one of two classes (none: no two share a term so), and how many pairs were scored.
 
-    The neighbours' best is the threshold of one prefix-filter join, which then holds the best pair.
+    The neighbours' best is the threshold of one join, which then holds the best pair, unless no rounded
+    similarity lies between it and one.
     """
     floor = neighbour_floor(lines)
-    pairs = likely_pairs(classes, model, max((floor or 0.0) - 1e-6, 1e-6))
+    if floor is not None and floor > 1 - 1.5 * 10.0 ** -PLACES:
+        return floor, 0
+    pairs = likely_pairs(classes, model, max((floor or 0.0) - 2 * 10.0 ** -PLACES, 1e-6))
     near = F.round("similarity", PLACES)
     found = pairs.agg(F.max(F.when(near < 1, near)), F.count("*")).first()
     return found[0], found[1]
@@ -111,7 +114,8 @@ def similarity_extremes(weighted: DataFrame, key: str, model: TextModel) -> Data
     without any term of the vocabulary, null and empty texts among them, has
     similarity 0 with every row and itself. ``max_below_one`` is null where all
     similarities are one, both extremes are where there is no row; a highest
-    below a millionth counts as 0.
+    below a millionth counts as 0. ``pairs_scored`` counts the pairs that the
+    joins handed on, without the neighbours that set the floor.
     """
     spark = weighted.sparkSession
     path, order = shared_folder(spark, "weight-classes"), rarest_first(model)

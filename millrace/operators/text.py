@@ -332,9 +332,13 @@ def rarest_first(model: TextModel) -> list[str]:
 
 
 def line_of_weights(order: Sequence[str]) -> Column:
-    """A class's ``entries`` as one weight per term of ``order``; a map is searched entry by entry, a line is not."""
-    return F.transform(F.array(*map(F.lit, order)), lambda t: F.coalesce(F.get(
-        F.col("entries.w"), (F.array_position(F.col("entries.term"), t) - 1).cast("int")), F.lit(0.0)))
+    """A class's ``entries`` as one weight per term of ``order``; a map is searched entry by entry, a line is not.
+
+    Terms and weights are taken out of the entries once, as the one element of an outer array, not for every term.
+    """
+    parts = F.struct(F.col("entries.term").alias("term"), F.col("entries.w").alias("w"))
+    return F.get(F.transform(F.array(parts), lambda e: F.transform(F.array(*map(F.lit, order)), lambda t: F.coalesce(
+        F.get(e["w"], (F.array_position(e["term"], t) - 1).cast("int")), F.lit(0.0)))), F.lit(0))
 
 
 def similar_classes(classes: DataFrame, model: TextModel, threshold: float = 0.8) -> DataFrame:
@@ -354,7 +358,8 @@ def likely_pairs(classes: DataFrame, model: TextModel, threshold: float) -> Data
     places = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*[F.lit(i) for i in range(len(order))]))
     ranked = classes.where(F.col("class_id").isNotNull()).withColumn("ranked", F.array_sort(F.transform(
         "entries", lambda e: F.struct(F.element_at(places, e["term"]).alias("at"), e["w"].alias("w")))))
-    width = math.sqrt(2 * (1 - threshold) + 4e-6) + 1e-6
+    # the weights' nine places move a length by 1e-8 at most, the similarity's eight places a cosine by 5e-9
+    width = math.sqrt(max(2 * (1 - threshold), 0) + 1e-7) + 1e-6
     return _pairs_by_cells(ranked, order, width) if width < 0.1 else _pairs_by_prefix(ranked, len(order), threshold)
 
 

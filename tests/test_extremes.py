@@ -66,3 +66,20 @@ def test_hot_class_and_repeated_ids(spark):
     weighted = weighted.unionByName(weighted.limit(5)).withColumn("id", F.col("id") % 70)
     got, want = run(weighted, model), brute(weighted)
     assert (got["row_count"], got["max_below_one"], got["min_similarity"]) == pytest.approx(want, abs=1e-6)
+
+
+def test_no_pair_is_joined_where_the_floor_cannot_be_beaten(spark, monkeypatch):
+    """0.9999999 is the highest that rounds below one: neighbours that have it settle the highest."""
+    monkeypatch.setattr(ex, "likely_pairs", lambda *a: pytest.fail("joined"))
+    texts = drawn(random.Random(3), 80, 3, 20) + ["aa " * 1400, "aa " * 1400 + "zz"] + ["zz w1"] * 9
+    weighted, model = fitted(spark, texts)
+    assert run(weighted, model)["max_below_one"] == brute(weighted)[1] == 0.9999999
+
+
+@pytest.mark.parametrize("other", [300, 900, 1300])
+def test_nearly_equal_rows_meet_in_narrow_cells(spark, other):
+    """The best pair differs by little and the floor lies just under it."""
+    texts = drawn(random.Random(6), 80, 3, 20) + ["aa " * other + "bb " * 7, "aa " * other + "bb " * 8, "aa " * other + "bb " * 9 + "cc"]
+    weighted, model = fitted(spark, texts)
+    got, want = run(weighted, model), brute(weighted)
+    assert (got["row_count"], got["max_below_one"], got["min_similarity"]) == pytest.approx(want, abs=1e-9)
